@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import lookalike, mixing, packing, residue, splits, tokens
+from pagewright.llm import lookalike, mixing, overlap, packing, residue, splits, tokens
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         splits.p2_found, splits.p2_splits, splits.p2_shares,
         tokens.p3_found, tokens.p3_tokens, tokens.p3_budget,
         lookalike.p5_found, lookalike.p5_canonical,
+        overlap.p6_found, overlap.p6_report,
         packing.p7_containers, packing.p7_fill,
         mixing.p8_mixture, mixing.p8_shares,
         residue.p9_found, residue.p9_marked, residue.p9_kept, residue.p9_hosts,
