@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pagewright.llm import lookalike, mixing, overlap, packing, residue, splits, tokens
+from pagewright.llm import languages, lookalike, mixing, overlap, packing, residue, splits, tokens
 
 QUERIES = {
     f.__name__: f
     for f in (
         splits.p2_found, splits.p2_splits, splits.p2_shares,
         tokens.p3_found, tokens.p3_tokens, tokens.p3_budget,
+        languages.p4_found, languages.p4_documents, languages.p4_segments,
         lookalike.p5_found, lookalike.p5_canonical,
         overlap.p6_found, overlap.p6_report,
         packing.p7_containers, packing.p7_fill,
