@@ -140,7 +140,8 @@ def mix(sizes: DataFrame, targets: list[tuple[str, float, int]], block: int = BL
         (F.greatest(F.col("before"), F.col("block") * block) - F.col("before")).alias("token_start"),
         (F.least(F.col("end"), (F.col("block") + 1) * block) - F.greatest(F.col("before"), F.col("block") * block)).alias("token_count"),
     )
-    return asked.join(parts, ["source", "block"]).select("shard", "position", "source", "block", "pass", "doc_id", "token_start", "token_count")
+    # the planner takes the slots for as small as the draws they grow from and would broadcast them
+    return asked.hint("merge").join(parts, ["source", "block"]).select("shard", "position", "source", "block", "pass", "doc_id", "token_start", "token_count")
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> list[tuple[str, float, int]]:
