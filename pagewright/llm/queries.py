@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pagewright.llm import languages, lookalike, mixing, overlap, packing, residue, splits, tokens
+from pagewright.llm import languages, lookalike, mixing, overlap, packing, residue, scans, splits, tokens
 
 QUERIES = {
     f.__name__: f
     for f in (
+        scans.p1_found, scans.p1_pages,
         splits.p2_found, splits.p2_splits, splits.p2_shares,
         tokens.p3_found, tokens.p3_tokens, tokens.p3_budget,
         languages.p4_found, languages.p4_documents, languages.p4_segments,
