@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from pagewright.operators.ranks import group_rank
 
 
+def _numbered(members: DataFrame, groups: DataFrame, group: list[str], order: list[str], block: int, buckets: int) -> DataFrame:
+    """Members of the given groups with their rank inside ``group`` and the block it falls into."""
+    kept = members.join(groups.select("key"), "key", "left_semi")
+    return group_rank(kept, group, order, buckets, "rank").withColumn("block", F.floor(F.col("rank") / block).cast("int"))
+
+
 def pairs_across(
     members: DataFrame, key: str, ident: str, side: str, block: int = 512, buckets: int = 16, extra: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -15,38 +21,36 @@ def pairs_across(
 
     Members are numbered inside (key, side) and cut into blocks of ``block`` rows; a task joins
     one block with another, so a group of any size is spread over the cluster. Only groups
-    with at least two sides enter; ``side`` is a label of few values, such as a split. Rows with a null key, ident or side name no group and
-    pair with nothing; repeated rows count once.
+    with at least two sides enter; ``side`` is a label of few values, such as a split. Rows with a null key, ident or side name
+    no group and pair with nothing; repeated rows count once.
     """
-    cols = [key, ident, side, *extra]
-    m = members.select(*cols).dropna(subset=[key, ident, side]).dropDuplicates([key, ident, side])
-    sides = m.groupBy(key, side).agg(F.count(F.lit(1)).alias("n"))
+    more = [f"x{i}" for i in range(len(extra))]
+    m = members.select(F.col(key).alias("key"), F.col(ident).alias("id"), F.col(side).alias("side"), *[F.col(c).alias(x) for c, x in zip(extra, more)])
+    m = m.dropna(subset=["key", "id", "side"]).dropDuplicates(["key", "id", "side"])
+    sides = m.groupBy("key", "side").agg(F.count(F.lit(1)).alias("n"))
     listed = (
-        sides.groupBy(key)
-        .agg(F.collect_list(F.struct(F.col(side).alias("s"), F.ceil(F.col("n") / block).cast("int").alias("k"))).alias("all"))
+        sides.groupBy("key")
+        .agg(F.collect_list(F.struct(F.col("side").alias("s"), F.ceil(F.col("n") / block).cast("int").alias("k"))).alias("all"))
         .filter(F.size("all") > 1)
     )
-    numbered = group_rank(m.join(listed.select(key), key, "left_semi"), [key, side], [ident], buckets, "__r")
-    numbered = numbered.withColumn("__block", F.floor(F.col("__r") / block).cast("int"))
+    numbered = _numbered(m, listed, ["key", "side"], ["id"], block, buckets)
     # one row per pair of blocks of two sides
     plan = (
-        listed.select(key, F.explode("all").alias("x"), "all")
-        .select(key, "x", F.explode("all").alias("y"))
+        listed.select("key", F.explode("all").alias("x"), "all")
+        .select("key", "x", F.explode("all").alias("y"))
         .filter(F.col("x.s") < F.col("y.s"))
-        .select(key, F.col("x.s").alias("sa"), F.col("y.s").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("x.k") - 1)).alias("ba"), F.col("y.k").alias("kb"))
-        .select(key, "sa", "sb", "ba", F.explode(F.sequence(F.lit(0), F.col("kb") - 1)).alias("bb"))
+        .select("key", F.col("x.s").alias("sa"), F.col("y.s").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("x.k") - 1)).alias("ba"), F.col("y.k").alias("kb"))
+        .select("key", "sa", "sb", "ba", F.explode(F.sequence(F.lit(0), F.col("kb") - 1)).alias("bb"))
     )
-    left = numbered.select(key, F.col(side).alias("sa"), F.col("__block").alias("ba"), *(F.col(c).alias(f"__l_{c}") for c in (ident, *extra)))
-    right = numbered.select(key, F.col(side).alias("sb"), F.col("__block").alias("bb"), *(F.col(c).alias(f"__r_{c}") for c in (ident, *extra)))
-    joined = plan.join(left, [key, "sa", "ba"]).join(right, [key, "sb", "bb"])
-    first = F.col(f"__l_{ident}") < F.col(f"__r_{ident}")
-    out = [key, F.least(f"__l_{ident}", f"__r_{ident}").alias(f"{ident}_a"), F.greatest(f"__l_{ident}", f"__r_{ident}").alias(f"{ident}_b")]
-    for c in extra:
-        out += [
-            F.when(first, F.col(f"__l_{c}")).otherwise(F.col(f"__r_{c}")).alias(f"{c}_a"),
-            F.when(first, F.col(f"__r_{c}")).otherwise(F.col(f"__l_{c}")).alias(f"{c}_b"),
-        ]
-    return joined.filter(F.col(f"__l_{ident}") != F.col(f"__r_{ident}")).select(*out)
+    left = numbered.select("key", F.col("side").alias("sa"), F.col("block").alias("ba"), F.col("id").alias("ia"), *[F.col(x).alias(f"{x}a") for x in more])
+    right = numbered.select("key", F.col("side").alias("sb"), F.col("block").alias("bb"), F.col("id").alias("ib"), *[F.col(x).alias(f"{x}b") for x in more])
+    joined = plan.join(left, ["key", "sa", "ba"]).join(right, ["key", "sb", "bb"]).filter("ia <> ib")
+    first = F.col("ia") < F.col("ib")
+    out = [F.col("key").alias(key), F.least("ia", "ib").alias(f"{ident}_a"), F.greatest("ia", "ib").alias(f"{ident}_b")]
+    for c, x in zip(extra, more):
+        a, b = F.col(f"{x}a"), F.col(f"{x}b")
+        out += [F.when(first, a).otherwise(b).alias(f"{c}_a"), F.when(first, b).otherwise(a).alias(f"{c}_b")]
+    return joined.select(*out)
 
 
 def pairs_within(members: DataFrame, key: str, ident: str, form: str, block: int = 512, buckets: int = 16) -> DataFrame:
@@ -56,22 +60,16 @@ def pairs_within(members: DataFrame, key: str, ident: str, form: str, block: int
     member is moved; the rest is numbered and joined block against block. Rows with a null in
     key, ident or form pair with nothing; repeated rows count once.
     """
-    m = members.select(key, ident, form).dropna().dropDuplicates()
+    m = members.select(F.col(key).alias("key"), F.col(ident).alias("id"), F.col(form).alias("form")).dropna().dropDuplicates()
     groups = (
-        m.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(form).alias("lo"), F.max(form).alias("hi"))
-        .filter(F.col("lo") != F.col("hi"))
-        .select(key, F.ceil(F.col("n") / block).cast("int").alias("k"))
-    )
-    numbered = group_rank(m.join(groups.select(key), key, "left_semi"), [key], [ident, form], buckets, "__r")
-    numbered = numbered.withColumn("__block", F.floor(F.col("__r") / block).cast("int"))
-    plan = groups.select(key, "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("ba")).select(
-        key, "ba", F.explode(F.sequence("ba", F.col("k") - 1)).alias("bb")
-    )
-    left = numbered.select(key, F.col("__block").alias("ba"), F.col("__r").alias("ra"), F.col(ident).alias("ia"), F.col(form).alias("fa"))
-    right = numbered.select(key, F.col("__block").alias("bb"), F.col("__r").alias("rb"), F.col(ident).alias("ib"), F.col(form).alias("fb"))
-    joined = plan.join(left, [key, "ba"]).join(right, [key, "bb"])
-    return (
-        joined.filter((F.col("ra") < F.col("rb")) & (F.col("fa") != F.col("fb")) & (F.col("ia") != F.col("ib")))
-        .select(F.least("ia", "ib").alias(f"{ident}_a"), F.greatest("ia", "ib").alias(f"{ident}_b"))
+        m.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("form").alias("lo"), F.max("form").alias("hi"))
+        .filter("lo <> hi")
+        .select("key", F.ceil(F.col("n") / block).cast("int").alias("k"))
     )
+    numbered = _numbered(m, groups, ["key"], ["id", "form"], block, buckets)
+    plan = groups.select("key", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("ba")).select("key", "ba", F.explode(F.sequence("ba", F.col("k") - 1)).alias("bb"))
+    left = numbered.select("key", F.col("block").alias("ba"), F.col("rank").alias("ra"), F.col("id").alias("ia"), F.col("form").alias("fa"))
+    right = numbered.select("key", F.col("block").alias("bb"), F.col("rank").alias("rb"), F.col("id").alias("ib"), F.col("form").alias("fb"))
+    joined = plan.join(left, ["key", "ba"]).join(right, ["key", "bb"])
+    return joined.filter("ra < rb and fa <> fb and ia <> ib").select(F.least("ia", "ib").alias(f"{ident}_a"), F.greatest("ia", "ib").alias(f"{ident}_b"))
