@@ -241,6 +241,12 @@ def styled(line: str) -> bool:
     return capitals or between or beside or pair
 
 
+def titled(line: str) -> bool:
+    """Whether a line is a few words that all begin with a capital, but short ones, as names and titles do."""
+    words = re.sub(r"^[\W\d]+|[\W\d]+$", "", line).split()
+    return 0 < len(words) <= 8 and words[0][:1].isupper() and all(w[:1].isupper() for w in words if len(w) > 4)
+
+
 def page_notes(pages: DataFrame, words: Words) -> DataFrame:
     """What one look at each page tells.
 
@@ -330,7 +336,7 @@ def decide_furniture(edges: list[dict], names: list[str], back: set[str]) -> lis
                 out[k] = (False, True)
                 continue
             m = _WITH_NUMBER.match(e["text"])
-            title = not heading and (repeats_name(e["text"], names) or e["styled"] or title_key(e["text"]) in back and not e["sentence"])
+            title = not heading and (repeats_name(e["text"], names) or e["styled"] or titled(e["text"]) and not e["sentence"] and title_key(e["text"]) in back)
             if title:
                 out[k] = (True, bool(m))
                 continue
