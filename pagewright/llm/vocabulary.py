@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.sources.tables import settle
+
 #: A vocabulary word makes up at least this share of all tokens, so there are at most 1 / SHARE of them.
 SHARE = 2e-6
 #: Distinct tokens a worker holds before it hands its counts on.
@@ -43,6 +45,7 @@ def token_table(df: DataFrame, text: str, cut: Callable[[str], list[str]], longe
 
 def frequent(counts: DataFrame, share: float = SHARE, least: int = 4) -> list[tuple[str, int]]:
     """Tokens that make up at least ``share`` of all, with their counts: at most 1 / share of them by definition."""
+    counts = settle(counts, "tokens")
     total = counts.agg(F.sum("n")).first()[0] or 0
     floor = max(least, int(share * total))
     return [(r[0], r[1]) for r in counts.filter(F.col("n") >= floor).collect()]
