@@ -75,7 +75,7 @@ class Machines:
     slope: np.ndarray
 
 
-def train_machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 120) -> tuple[np.ndarray, float]:
+def train_machine(x: np.ndarray, y: np.ndarray, penalty: float = 0.03, rounds: int = 120) -> tuple[np.ndarray, float]:
     """Linear SVM (squared hinge, L2) by accelerated gradient; y in {-1, 1}; classes weighted to balance."""
     n, d = x.shape
     if n == 0 or abs(y.sum()) == n:
@@ -111,32 +111,40 @@ def features(texts: list[str]) -> np.ndarray:
     return out
 
 
-def train(rows: list[tuple[str, str]]) -> Machines:
+def fit(x: np.ndarray, labels: np.ndarray) -> Machines:
+    """Machines from features and labels: one for each family against the rest, one for each pair inside a family."""
+    family = np.array([next((f for f, cs in FAMILIES.items() if c in cs), "") for c in labels], object)
+    weights, bias = np.zeros((MACHINES, DIMENSIONS), np.float32), np.zeros(MACHINES)
+    slope = np.ones(MACHINES)
+    sides = [(np.ones(len(labels), bool), family == f) for f in FAMILIES] + [((labels == a) | (labels == b), labels == a) for _, a, b in PAIRS]
+    for k, (own, positive) in enumerate(sides):
+        weights[k], bias[k] = train_machine(x[own], np.where(positive[own], 1.0, -1.0).astype(np.float32))
+        margins = np.abs(x[own] @ weights[k] + bias[k])
+        slope[k] = 3.0 / max(float(np.median(margins)) if len(margins) else 1.0, 1e-3)
+    return Machines(weights, bias, slope)
+
+
+def predict(x: np.ndarray, model: Machines) -> np.ndarray:
+    return np.array([CODES[k] for k in decide(x @ model.weights.T + model.bias, model.slope)[0]], object)
+
+
+def train(rows: list[tuple[str, str]], folds: int = 3) -> Machines:
     """Machines from (language, paragraph) rows with some wrong labels.
 
-    Two passes: what the first machines place elsewhere is left out of the second.
+    A row stays only if machines that have not seen it agree with its label; the rest trains the machines that are kept.
+    Where no row would stay, all do.
     """
     labels = np.array([r[0] for r in rows], object)
     x = features([r[1] for r in rows])
-    family = np.array([next((f for f, cs in FAMILIES.items() if c in cs), "") for c in labels], object)
-    use = np.ones(len(rows), bool)
-    model = None
-    for _ in range(2):
-        weights, bias = np.zeros((MACHINES, DIMENSIONS), np.float32), np.zeros(MACHINES)
-        for k, f in enumerate(FAMILIES):
-            weights[k], bias[k] = train_machine(x[use], np.where(family[use] == f, 1.0, -1.0).astype(np.float32))
-        for k, (_, a, b) in enumerate(PAIRS, len(FAMILIES)):
-            own = use & ((labels == a) | (labels == b))
-            weights[k], bias[k] = train_machine(x[own], np.where(labels[own] == a, 1.0, -1.0).astype(np.float32))
-        margins = x @ weights.T + bias
-        slope = np.ones(MACHINES)
-        for k in range(MACHINES):
-            own = np.abs(margins[use, k]) if k < len(FAMILIES) else np.abs(margins[use & np.isin(labels, PAIRS[k - len(FAMILIES)][1:]), k])
-            slope[k] = 3.0 / max(float(np.median(own)) if len(own) else 1.0, 1e-3)
-        model = Machines(weights, bias, slope)
-        names, _ = decide(margins, model.slope)
-        use = np.array([CODES[n] == c for n, c in zip(names, labels)], bool)
-    return model
+    fold = np.array([zlib.crc32(r[1].encode("utf-8", "surrogatepass")) % folds for r in rows], int)
+    agreed = np.zeros(len(rows), bool)
+    for k in range(folds):
+        held = fold == k
+        if held.any() and (~held).any():
+            agreed[held] = predict(x[held], fit(x[~held], labels[~held])) == labels[held]
+    if not agreed.any():
+        agreed[:] = True
+    return fit(x[agreed], labels[agreed])
 
 
 def decide(margins: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,6 +182,9 @@ class Scorer:
         self.table = np.zeros((1024, MACHINES + 2), np.float32)
 
     def row(self, token: str) -> int:
+        """Place of a token's scores in the table."""
+        if token in self.rows:
+            return self.rows[token]
         at = len(self.rows)
         if at == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])

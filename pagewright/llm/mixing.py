@@ -145,9 +145,10 @@ def mix(sizes: DataFrame, targets: list[tuple[str, float, int]], block: int = BL
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> list[tuple[str, float, int]]:
-    """The target table: one row per source by definition."""
+    """The target table: one row per source by definition; rows that name no source are left out."""
     rows = table(spark, sf_dir, "mix_targets", "source", "target_share", "max_repeats")
-    rows = rows.groupBy(slug(F.col("source")).alias("source")).agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("r"))
+    rows = rows.filter(F.length(F.trim("source")) > 0).groupBy(slug(F.col("source")).alias("source"))
+    rows = rows.agg(F.coalesce(F.max("target_share"), F.lit(0.0)).alias("w"), F.coalesce(F.max("max_repeats"), F.lit(0)).alias("r"))
     return [tuple(r) for r in rows.orderBy("source").collect()]
 
 

@@ -117,13 +117,13 @@ def test_found_on_no_pages(spark, tables):
 
 
 def test_repair():
-    words = S.Words([(w, 100) for w in ("balıkçı", "yağmur", "geldi", "ber-vech", "defter")])
+    words = S.Words([(w, 100) for w in ("balıkçı", "yağmur", "geldi", "ber-vech", "defter")], floor=1)
     text, joined, repaired = S.repair("BAŞLIK\nbalık-\nçı yağrnur\ngeldi ber-\nvech. Def†er\n\n   geldi\n12", [0, -1], words)
     assert text == "balıkçı yağmur geldi ber-vech. Defter\n\ngeldi" and (joined, repaired) == (1, 2)
     assert S.repair("", [], words) == ("", 0, 0)
 
 
 def test_frequent_misreading_is_no_word():
-    words = S.Words([("yağmur", 1000), ("yağrnur", 9), ("cümle", 30), ("eümle", 29)])
+    words = S.Words([("yağmur", 1000), ("yağrnur", 9), ("cümle", 30), ("eümle", 29)], floor=1)
     assert "yağrnur" not in words.known and {"yağmur", "cümle", "eümle"} <= set(words.known)
     assert words.candidates("yağrnur") == ("yağmur",) and words.candidates("yağmur") is None

@@ -37,7 +37,9 @@ def test_classes():
 def test_exact_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "<|endoftext|>")], "id long, t string")
     got = {r.id: r.n_tokens for r in tokens.token_counts(df, "t", ["id"]).collect()}
-    assert got[2] == got[3] == 0 and got[1] == 2 and got[4] > 1
+    enc = tokens.encoder(tokens.TOKENIZER)
+    ids = enc.encode_ordinary("hello world")
+    assert got[2] == got[3] == 0 and got[1] == len(ids) and enc.decode(ids) == "hello world" and got[4] > 1
 
 
 def test_estimates_are_close_on_texts_not_seen(spark, small):
