@@ -54,11 +54,16 @@ def combinations(units: np.ndarray, full: int, window: int) -> np.ndarray:
 
 
 def solve_nnls(combos: np.ndarray, histogram: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """x >= 0 that minimises |A x - h|^2, A counting the units of each combination, by accelerated projected gradient."""
+    """x >= 0 that minimises |W (A x - h)|^2 by accelerated projected gradient.
+
+    A counts the units of each combination; W weighs an item left over by its length, since a long one costs most of a container
+    while short ones still fill gaps.
+    """
     n, size = len(combos), len(histogram)
     if not n:
         return np.zeros(0)
     flat = combos.ravel()
+    weight = np.square(np.arange(size) / max(size - 1, 1))
 
     def forward(x: np.ndarray) -> np.ndarray:
         used = np.bincount(flat, np.repeat(x, 3), size)
@@ -66,9 +71,7 @@ def solve_nnls(combos: np.ndarray, histogram: np.ndarray, rounds: int = ROUNDS)
         return used
 
     def back(r: np.ndarray) -> np.ndarray:
-        r = r.copy()
-        r[0] = 0
-        return r[combos].sum(1)
+        return (r * weight)[combos].sum(1)
 
     v = np.ones(n)
     for _ in range(12):
@@ -154,6 +157,8 @@ def fill_containers(sizes: DataFrame, capacities: list[tuple[str, int]]) -> Data
     each = each.withColumn("whole", F.when(F.col("n_tokens") > F.col("capacity"), F.expr("n_tokens div capacity")).otherwise(F.lit(0)).cast("bigint"))
     each = each.withColumn("rest", F.col("n_tokens") - F.col("whole") * F.col("capacity")).withColumn("unit", F.ceil(F.col("rest") / F.col("grain")).cast("int"))
     counted = each.groupBy("container", "unit").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("whole")).collect()
+    # a group may be most of the rows; no task numbers more than about two million of them
+    buckets = max(16, sum(r["n"] for r in counted) // 2_000_000)
     plans: dict[str, Plan] = {}
     for name, capacity in capacities:
         grain = -(-capacity // UNITS)
@@ -165,7 +170,7 @@ def fill_containers(sizes: DataFrame, capacities: list[tuple[str, int]]) -> Data
         plans[str(name)] = plan_containers(histogram[: full + 1], full)
     rests = group_rank(
         each.filter("rest > 0").withColumn("unit", F.least(F.col("unit"), F.expr("cast(capacity div grain as int)"))),
-        ["container", "unit"], ["doc_id"], 64, "rank",
+        ["container", "unit"], ["doc_id"], buckets, "rank",
     ).select("container", "unit", "rank", "doc_id", "whole", "capacity", "rest")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +195,7 @@ def fill_containers(sizes: DataFrame, capacities: list[tuple[str, int]]) -> Data
     packed = rests.mapInArrow(assign, "container string, container_no bigint, doc_id bigint, piece bigint, token_start bigint, token_count bigint")
     # full pieces take containers of their own, numbered behind the packed ones
     after = F.create_map(*[x for n, _ in capacities for x in (F.lit(str(n)), F.lit(plans[str(n)].containers).cast("bigint"))])
-    cut = running_total(each.filter("whole > 0"), ["container"], F.col("whole"), ["doc_id"], 64, "before")
+    cut = running_total(each.filter("whole > 0"), ["container"], F.col("whole"), ["doc_id"], buckets, "before")
     pieces = cut.select(
         "container", "doc_id", "capacity", "before", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)).alias("piece")
     ).select(

@@ -63,7 +63,7 @@ def check(rows, sizes, capacities):
             if sizes[doc] <= capacity:
                 assert len(parts) == 1
         # no filling needs fewer than the tokens ask for, nor than the pieces that cannot share a container
-        large = sum(1 for r in own if 2 * r.token_count > capacity)
+        large = sum(1 if 2 * r.token_count > capacity else 0.5 for r in own if 2 * r.token_count >= capacity)
         assert len(load) <= 1.03 * max(-(-sum(sizes.values()) // capacity), large) + 2
 
 
