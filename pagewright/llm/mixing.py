@@ -99,7 +99,9 @@ def mix(sizes: DataFrame, targets: list[tuple[str, float, int]], block: int = BL
     targets = [(s, float(w or 0), int(r or 0)) for s, w, r in targets]
     # several hot sources: numbering inside hash buckets of each source
     rows = sizes.filter(F.col("source").isin(*[s for s, _, _ in targets]) & (F.col("n_tokens") > 0)).dropDuplicates(["doc_id"])
-    placed = settle(running_total(rows, ["source"], F.col("n_tokens"), ["doc_id"], 64, "before"), "placed")
+    rows = settle(rows.select("doc_id", "source", "n_tokens"), "sizes")
+    buckets = max(16, rows.count() // 2_000_000)
+    placed = settle(running_total(rows, ["source"], F.col("n_tokens"), ["doc_id"], buckets, "before"), "placed")
     have = {r[0]: r[1] for r in placed.groupBy("source").agg(F.sum("n_tokens")).collect()}
     quota = quotas(have, targets, block)
     total = sum(n for _, n in quota.values())
