@@ -19,4 +19,6 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"p3_found": tokens.P3_FOUND_SQL}
+ORACLE_SQL = {
+    "p2_found": splits.P2_FOUND_SQL, "p2_splits": splits.P2_SPLITS_SQL, "p3_found": tokens.P3_FOUND_SQL, "p5_found": lookalike.found_sql(),
+}

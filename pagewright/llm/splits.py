@@ -82,8 +82,8 @@ def entity_links(documents: DataFrame) -> DataFrame:
 
 
 def split_of(component: Column, proportions=PROPORTIONS) -> Column:
-    """The split whose cumulative range of the proportions holds the hash of the component."""
-    at = F.pmod(F.xxhash64(component), F.lit(1_000_000)).cast("double") / 1e6
+    """The split whose cumulative range of the proportions holds the hash of the component, 32 bits of its SHA-256."""
+    at = F.conv(F.substring(F.sha2(component.cast("string").cast("binary"), 256), 1, 8), 16, 10).cast("double") / 2.0**32
     total, edge, ladder = sum(p for _, p in proportions), 0.0, None
     for name, share in proportions[:-1]:
         edge += share / total
@@ -152,3 +152,42 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         | (F.least(F.length(given("name_a")), F.length(given("name_b"))) <= 1)
     )
     return pairs.filter(same).select("doc_id_a", "doc_id_b").distinct()
+
+
+# ---------------------------------------------------------------- SQL
+
+_TITLES_SQL = "|".join(TITLES)
+_NAMELESS_SQL = ", ".join(f"'{x}'" for x in NAMELESS)
+
+
+def _plain_sql(c: str) -> str:
+    folded = f"lower(regexp_replace(strip_accents(replace(replace({c}, 'ı', 'i'), 'İ', 'i')), '[\\p{{M}}\\p{{Cf}}ʿʾ’‘''`´]', '', 'g'))"
+    text = f"regexp_replace({folded}, '\\([^)]*\\)|\\[[^\\]]*\\]', ' ', 'g')"
+    return f"regexp_replace({text}, '\\b1[0-9]{{3}}\\b(\\s*[-–—]\\s*(1[0-9]{{3}}|20[0-9]{{2}})?)?|\\b20[0-9]{{2}}\\b', ' ', 'g')"
+
+
+def _named_sql(c: str) -> str:
+    return f"CASE WHEN length({c}) > 0 AND {c} NOT IN ({_NAMELESS_SQL}) AND regexp_matches({c}, '\\p{{L}}{{2}}') THEN {c} END"
+
+
+LINKS_SQL = f"""
+raw AS (SELECT doc_id, {_plain_sql("author")} AS a, {_plain_sql("work")} AS w FROM documents),
+turned AS (SELECT doc_id, CASE WHEN len(string_split(a, ',')) = 2 THEN string_split(a, ',')[2] || ' ' || string_split(a, ',')[1] ELSE a END AS a,
+  regexp_replace(regexp_replace(w, '[,;:.\\s]+(vol|volume|cilt|c|bd|band|tome|t|cuz|kisim|part|no)\\b\\.?\\s*([0-9]+|[ivxl]+)\\b\\.?', ' ', 'g'), '[,;:\\s]+[0-9]+\\s*\\.?\\s*(cilt|band|tome|volume|cuz|kisim)\\b', ' ', 'g') AS w FROM raw),
+bare AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(a, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), '\\b({_TITLES_SQL})\\b', ' ', 'g'), ' +', ' ', 'g')) AS a, trim(regexp_replace(w, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS w FROM turned),
+named AS (SELECT doc_id, {_named_sql("a")} AS a, {_named_sql("w")} AS w FROM bare),
+links AS (SELECT DISTINCT doc_id, 'a:' || string_split(a, ' ')[-1] || CASE WHEN len(string_split(a, ' ')) > 1 THEN ' ' || substr(a, 1, 1) ELSE '' END AS entity, a AS name FROM named WHERE a IS NOT NULL
+  UNION SELECT DISTINCT doc_id, 'w:' || w, w FROM named WHERE w IS NOT NULL)"""
+
+P2_FOUND_SQL = f"""
+WITH {LINKS_SQL}, now AS (SELECT DISTINCT doc_id, split FROM documents JOIN pages USING (document_id) WHERE split IS NOT NULL)
+SELECT DISTINCT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b FROM links x JOIN links y USING (entity) JOIN now p ON p.doc_id = x.doc_id JOIN now q ON q.doc_id = y.doc_id
+WHERE x.doc_id < y.doc_id AND p.split <> q.split AND (starts_with(entity, 'w:') OR string_split(x.name, ' ')[1] = string_split(y.name, ' ')[1] OR least(length(string_split(x.name, ' ')[1]), length(string_split(y.name, ' ')[1])) <= 1)"""
+
+P2_SPLITS_SQL = f"""
+WITH RECURSIVE {LINKS_SQL}, heads AS (SELECT entity, min(doc_id) AS head FROM links GROUP BY entity),
+edges AS (SELECT DISTINCT doc_id AS a, head AS b FROM links JOIN heads USING (entity) UNION SELECT DISTINCT head, doc_id FROM links JOIN heads USING (entity)),
+reach AS (SELECT doc_id AS node, doc_id AS m FROM documents WHERE doc_id IS NOT NULL UNION SELECT e.b, r.m FROM reach r JOIN edges e ON e.a = r.node),
+found AS (SELECT node AS doc_id, min(m) AS component FROM reach GROUP BY node),
+placed AS (SELECT *, ('0x' || substr(sha256(component::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS place FROM found)
+SELECT doc_id, component, CASE WHEN place < 0.9 THEN 'train' WHEN place < 0.95 THEN 'validation' ELSE 'test' END AS split FROM placed"""

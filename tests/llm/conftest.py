@@ -24,3 +24,16 @@ def tables(spark, tmp_path):
         return str(tmp_path)
 
     return put
+
+
+@pytest.fixture(scope="session")
+def duck(small):
+    from pathlib import Path
+
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("SET timezone = 'UTC'")
+    for p in Path(small).glob("*.parquet"):
+        c.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
+    return c
