@@ -51,3 +51,18 @@ def domain(group_path: Column) -> Column:
 def pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Distinct rows of ``pages`` over the given columns."""
     return table(spark, sf_dir, "pages", *columns).dropDuplicates()
+
+
+class Once:
+    """A value to broadcast, and what a worker makes of it: built at first use and kept for its later tasks."""
+
+    def __init__(self, make, value):
+        self.make, self.value, self.made = make, value, None
+
+    def __getstate__(self):
+        return {"make": self.make, "value": self.value, "made": None}
+
+    def get(self):
+        if self.made is None:
+            self.made = self.make(self.value)
+        return self.made

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import glyphs
-from pagewright.llm.inputs import language_set
+from pagewright.llm.inputs import Once, language_set
 from pagewright.llm.residue import residue_documents
 from pagewright.sources.tables import settle, table
 
@@ -257,10 +257,10 @@ def segments(documents: DataFrame, model: Machines) -> DataFrame:
     Neighbouring pieces stay apart; a piece without any letter has a null language and confidence 0. Null and empty
     texts give no rows; repeated rows are kept as they are.
     """
-    held = documents.sparkSession.sparkContext.broadcast(model)
+    held = documents.sparkSession.sparkContext.broadcast(Once(Scorer, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
+        scorer = held.value.get()
         for b in batches:
             rows = [
                 (d, i, s[0], s[1], CODES[s[2]] if s[2] >= 0 else None, s[3] if s[2] >= 0 else 0.0, s[4], s[5], s[6])
