@@ -33,11 +33,24 @@ def dominant_character(text: Column) -> Column:
     return F.array_max(counted)
 
 
+def repeated_unit(text: Column) -> Column:
+    """Whether a piece without blanks, with the blanks behind it if any, stands eleven times or more in a row.
+
+    Said in one pattern this backtracks over every length of every word. Said in two it hardly does: a unit without blanks lies
+    inside a word of eleven characters or more, and one with blanks ends where its word ends.
+    """
+    inside = rf"(?={NOT_SPACE}{{11}})({NOT_SPACE}+?)\1{{10,}}"
+    across = rf"({NOT_SPACE}++{SPACE}++)\1{{10,}}"
+    return text.rlike(inside) | text.rlike(across)
+
+
 def with_quality(df: DataFrame, text: str, page: str) -> DataFrame:
     """Add ``quality``: a struct of status, issues, flags and metrics.
 
     A text shorter than 20 characters when stripped is ``empty``, has one issue and no metrics but its length. Null counts as
-    empty. Extra columns stay; names starting with ``__q`` are used inside.
+    empty. Extra columns stay; names starting with ``__q`` are used inside. To keep only some
+    pages, filter before the rules or write their result first: the optimizer pushes a filter on ``quality`` below them and
+    evaluates every rule again for it.
     """
     t = F.col("__q_text")
     step1 = df.withColumn("__q_text", strip(F.coalesce(F.col(text), F.lit(""))))
@@ -45,7 +58,7 @@ def with_quality(df: DataFrame, text: str, page: str) -> DataFrame:
         step1.withColumn("__q_lines", text_lines(t))
         .withColumn("__q_top", dominant_character(t))
         .withColumn("__q_all", F.length(F.regexp_replace(t, "[ \n]", "")))
-        .withColumn("__q_artifact", t.rlike(r"(<\|det\|>){3,}|(<\|grounding\|>){2,}") | t.rlike(rf"({NOT_SPACE}+{SPACE}*)\1{{10,}}"))
+        .withColumn("__q_artifact", t.rlike(r"(<\|det\|>){3,}|(<\|grounding\|>){2,}") | repeated_unit(t))
         .withColumn(
             "__q_hyphens",
             F.regexp_count(t, F.lit(rf"{LETTER}{{2,}}-{SPACE}*\n{SPACE}*{LETTER}{{2,}}")) + F.regexp_count(t, F.lit(rf"{LETTER}{{2,}}-{SPACE}{{1,3}}{LETTER}{{2,}}")),

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pagewright.functions import clean as C
 from pagewright.functions import labels as L
 from pagewright.functions import script as S
-from pagewright.functions.classes import text_lines
-from pagewright.functions.quality import longest_run, with_quality
+from pagewright.functions.classes import strip, text_lines
+from pagewright.functions.quality import LEAST_CHARS, longest_run, with_quality
 from pagewright.operators import catalog as K
 from pagewright.operators import pages as P
 from pagewright.operators import rollup as R
@@ -777,7 +777,8 @@ FROM q LEFT JOIN c USING (run_id, page_id) WHERE length(t) >= 20"""
 def vl_metrics(spark, d):
     """Metrics of every page that is not empty."""
     p = table(spark, d, "pages", "run_id", "page_id", "page_num", "clean_text").distinct()
-    q = with_quality(p, "clean_text", "page_num").filter("quality.status <> 'empty'")
+    # the cheap test goes before the rules: a filter on their result would be pushed below them and repeat them all
+    q = with_quality(p.filter(F.length(strip(F.coalesce("clean_text", F.lit("")))) >= LEAST_CHARS), "clean_text", "page_num")
     return q.select("run_id", "page_id", *[f"quality.{c}" for c in ("text_length", "total_lines", "unique_lines", "dominant_char_count", "line_hyphenation_count")], F.array_contains("quality.flags", "markup_leak").alias("markup"))
 
 

@@ -5,7 +5,6 @@ import re
 import unicodedata
 from collections import Counter
 
-import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -13,7 +12,8 @@ from pyspark.sql import functions as F
 from pagewright.functions import clean as C
 from pagewright.functions import labels as L
 from pagewright.functions import script as S
-from pagewright.functions.quality import with_quality
+from pagewright.functions.classes import SPACE
+from pagewright.functions.quality import repeated_unit, with_quality
 
 
 def run(spark, f, *texts):
@@ -122,6 +122,13 @@ def test_quality_metrics_agree_with_plain_counts(spark, texts):
         assert (q.dominant_char, q.dominant_char_count) == top
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.text("ab \n", max_size=5), st.text("ab. \t\n", min_size=1, max_size=4), st.integers(8, 13), st.text("ab ", max_size=4)), min_size=30, max_size=60))
+def test_repeated_units_agree_with_the_single_pattern(spark, parts):
+    texts = [a + unit * n + b for a, unit, n, b in parts]
+    assert run(spark, repeated_unit, *texts) == [bool(re.search(r"(\S+\s*){1}\1{10,}", t)) for t in texts]
+
+
 def scripts(spark, *texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, t string").withColumn("c", S.script_counts("t"))
     return [r.a for r in df.withColumn("a", S.analysis(F.col("t"), F.col("c"))).orderBy("n").collect()]
@@ -152,8 +159,13 @@ def test_page_id_pads(spark):
     assert spark.range(1).select(L.page_id(F.lit("d"), F.lit(7))).first()[0] == "d_page_0007"
 
 
-@pytest.mark.parametrize("n", [1])
-def test_word_classes_follow_unicode(spark, n):
+def test_white_space_is_that_of_split(spark):
+    points = [cp for cp in range(0x10000) if not 0xD800 <= cp < 0xE000]
+    got = spark.createDataFrame([(cp, chr(cp)) for cp in points], "n int, t string").filter(F.col("t").rlike(SPACE)).select("n").collect()
+    assert {r.n for r in got} == {cp for cp in points if chr(cp).isspace()}
+
+
+def test_word_classes_follow_unicode(spark):
     from pagewright.functions.fold import word_count
 
     texts = ["a b c​d", " x ", "", None, "\x1cy\x1dz"]
