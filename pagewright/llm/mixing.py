@@ -174,12 +174,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     goal = spark.createDataFrame([(s, float(w), int(r)) for s, w, r in targets], "source string, target_share double, max_repeats int")
     mixed = settle(p8_mixture(spark, sf_dir), "mixture")
     got = mixed.groupBy("source").agg(F.sum("token_count").alias("tokens"), F.count_distinct("doc_id").alias("documents"), (F.max("pass") + 1).alias("most_repeats"))
-    total = mixed.agg(F.sum("token_count").alias("all_tokens"))
+    total = mixed.agg(F.sum("token_count")).first()[0] or 1
     return (
         goal.join(got, "source", "left")
-        .join(F.broadcast(total))
         .select(
             "source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
-            (F.coalesce("tokens", F.lit(0)) / F.col("all_tokens")).alias("actual_share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
+            (F.coalesce("tokens", F.lit(0)) / F.lit(total)).alias("actual_share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
         )
     )

@@ -22,7 +22,7 @@ from pagewright.sources.tables import settle, table
 
 #: Lengths are planned on a grid of at most so many units per container, rounded up.
 UNITS = 2048
-ROUNDS = 250
+ROUNDS = 80
 
 
 @dataclass
