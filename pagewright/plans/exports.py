@@ -11,7 +11,7 @@ import shutil
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.clean import normalize
@@ -66,7 +66,7 @@ def dataset_documents(pages: DataFrame, documents: DataFrame) -> DataFrame:
     raw = join_pages(p, keys, "raw_text", out="raw_text")
     text = join_pages(p, keys, "clean_text", out="clean_text")
     about = p.groupBy(*keys).agg(F.min("pipeline_version").alias("pipeline_version"), F.min("model_used").alias("model_used"))
-    joined = totals.join(way, keys).join(script, keys).join(raw, keys).join(text, keys).join(about, keys).join(_catalog(documents), "document_id")
+    joined = totals.join(way, keys).join(script, keys).join(raw, keys).join(text, keys).join(about, keys).join(markdown_documents(pages, documents), keys).join(_catalog(documents), "document_id")
     return joined.select(
         F.concat(F.lit("run-"), "run_id").alias("dataset_export_id"), "run_id", "document_id", F.col("filename").alias("document_name"),
         first_filled(F.col("cat_title"), F.col("pdf_title")).alias("title"), F.col("cat_group_path").alias("group_path"),
@@ -75,7 +75,7 @@ def dataset_documents(pages: DataFrame, documents: DataFrame) -> DataFrame:
         language_or(language_list(F.col("cat_language")), F.col("languages_detected")).alias("language"),
         first_filled(F.col("cat_script"), F.col("dominant_script")).alias("script"), F.col("cat_license").alias("license"), F.col("cat_source_citation").alias("source_citation"), F.col("cat_notes").alias("notes"),
         F.col("file_sha256").alias("source_pdf_sha256"), F.col("pages").alias("page_count"), "raw_text", "clean_text",
-        text_hash(F.col("raw_text")).alias("raw_text_sha256"), text_hash(F.col("clean_text")).alias("clean_text_sha256"),
+        text_hash(F.col("raw_text")).alias("raw_text_sha256"), text_hash(F.col("clean_text")).alias("clean_text_sha256"), "markdown",
         "pages_pass", "pages_warn", "pages_fail", "pages_empty", "dominant_script", "dominant_direction", "languages_detected",
         F.col("total_tokens").alias("total_tokens_cl100k"), "pipeline_version", "model_used", hash_split(F.col("file_sha256")).alias("split"),
     )
@@ -152,6 +152,14 @@ def pair_rows(pages: DataFrame, run_documents: DataFrame, documents: DataFrame,
     )
 
 
+def direction_wrap(text: Column, direction: Column) -> Column:
+    """Right-to-left text inside an element that says so; of mixed text only the blocks that are."""
+    body = F.coalesce(text, F.lit(""))
+    arabic = lambda b: F.regexp_count(b, F.lit(r"[\p{IsArabic}\p{IsHebrew}]")) > 4 * F.regexp_count(b, F.lit(r"[\p{IsLatin}]"))
+    mixed = F.array_join(F.transform(F.split(body, "\n\n", -1), lambda b: F.when(arabic(b), F.concat(F.lit('<div dir="rtl">\n'), b, F.lit("\n</div>"))).otherwise(b)), "\n\n")
+    return F.when(direction == "rtl", F.concat(F.lit('<div dir="rtl">\n\n'), body, F.lit("\n\n</div>"))).when(direction == "mixed", mixed).otherwise(body)
+
+
 def markdown_documents(pages: DataFrame, documents: DataFrame) -> DataFrame:
     """``run_id, document_id, markdown``: front matter and one section per page, right-to-left text marked."""
     p = unique_pages(pages)
@@ -160,10 +168,7 @@ def markdown_documents(pages: DataFrame, documents: DataFrame) -> DataFrame:
         "<!-- Page %d | direction: %s | script: %s | tokens: %s | status: %s -->", "page_num", F.coalesce("script_direction", F.lit("undetermined")),
         F.coalesce("primary_script", F.lit("undetermined")), F.coalesce(F.col("token_count_cl100k").cast("string"), F.lit("0")), "status",
     )
-    arabic = lambda b: F.regexp_count(b, F.lit(r"[\p{IsArabic}\p{IsHebrew}]")) > 4 * F.regexp_count(b, F.lit(r"[\p{IsLatin}]"))
-    mixed = F.array_join(F.transform(F.split(body, "\n\n", -1), lambda b: F.when(arabic(b), F.concat(F.lit('<div dir="rtl">\n'), b, F.lit("\n</div>"))).otherwise(b)), "\n\n")
-    shown = F.when(F.col("script_direction") == "rtl", F.concat(F.lit('<div dir="rtl">\n\n'), body, F.lit("\n\n</div>"))).when(F.col("script_direction") == "mixed", mixed).otherwise(body)
-    sections = p.withColumn("section", F.concat(head, F.lit("\n"), shown))
+    sections = p.withColumn("section", F.concat(head, F.lit("\n"), direction_wrap(body, F.col("script_direction"))))
     ordered = F.array_sort(F.collect_list(F.struct("page_num", "section")))
     whole = sections.groupBy("run_id", "document_id").agg(F.array_join(F.transform(ordered, lambda x: x["section"]), "\n\n---\n\n").alias("body"), F.count(F.lit(1)).alias("n"), F.min("model_used").alias("m"), F.min("pipeline_version").alias("v"))
     front = F.format_string("---\nsource: %s\npages: %d\nmodel: %s\npipeline_version: %s\n---\n", "filename", "n", "m", "v")

@@ -7,6 +7,7 @@ express there (a back-reference, a full entity table, Unicode character classes)
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,11 @@ SPLIT_SQL = "CASE WHEN {0} < 90 THEN 'train' WHEN {0} < 95 THEN 'validation' ELS
 LIST_SQL = "list_filter(list_transform(string_split(coalesce({0}, ''), ','), lambda x: trim(x)), lambda x: x <> '')"
 
 
+def lines_sql(text: str) -> str:
+    """The stripped lines of a text that hold anything, as a list."""
+    return f"list_filter(list_transform(string_split({text}, chr(10)), lambda x: regexp_replace(x, '^[{SPACE_SQL}]+|[{SPACE_SQL}]+$', '', 'g')), lambda x: x <> '')"
+
+
 def query(sql: str | None = None):
     """Register a query under the name of its function, with its SQL."""
 
@@ -89,11 +95,22 @@ def snk1_join_pages(spark, d):
     return joined.select("run_id", "document_id", L.text_hash(F.col("text")).alias("hash"))
 
 
-@query()
+BLOCK_SQL = "CASE WHEN len(regexp_extract_all(b, '[\\p{Arabic}\\p{Hebrew}]')) > 4 * len(regexp_extract_all(b, '\\p{Latin}')) THEN '<div dir=\"rtl\">' || chr(10) || b || chr(10) || '</div>' ELSE b END"
+NL_SQL = "chr(10)"
+
+
+@query(f"""
+WITH {PAGES_SQL}, s AS (SELECT *, coalesce(clean_text, '') AS body FROM pages_once),
+ t AS (SELECT run_id, document_id, page_num, pipeline_version, model_used, '<!-- Page ' || page_num || ' | direction: ' || coalesce(script_direction, 'undetermined') || ' | script: ' || coalesce(primary_script, 'undetermined') || ' | tokens: ' || coalesce(token_count_cl100k::VARCHAR, '0')
+  || ' | status: ' || coalesce(status, 'null') || ' -->' || {NL_SQL} || CASE WHEN script_direction = 'rtl' THEN '<div dir="rtl">' || {NL_SQL} || {NL_SQL} || body || {NL_SQL} || {NL_SQL} || '</div>'
+  WHEN script_direction = 'mixed' THEN array_to_string(list_transform(string_split(body, {NL_SQL} || {NL_SQL}), lambda b: {BLOCK_SQL}), {NL_SQL} || {NL_SQL}) ELSE body END AS section FROM s),
+ m AS (SELECT run_id, document_id, '---' || {NL_SQL} || 'source: ' || min(filename) || {NL_SQL} || 'pages: ' || count(*) || {NL_SQL} || 'model: ' || coalesce(min(model_used), 'null') || {NL_SQL} || 'pipeline_version: ' || coalesce(min(pipeline_version), 'null') || {NL_SQL} || '---' || {NL_SQL}
+  || string_agg(section, {NL_SQL} || {NL_SQL} || '---' || {NL_SQL} || {NL_SQL} ORDER BY page_num) AS markdown FROM t JOIN documents USING (document_id) GROUP BY run_id, document_id)
+SELECT run_id, document_id, length(markdown)::BIGINT AS chars, sha256(markdown) AS hash FROM m""".replace("t JOIN documents USING", "t JOIN (SELECT document_id, filename FROM documents) d USING"))
 def snk2_markdown(spark, d):
     """Markdown of every document of every run, by its hash and length."""
     rows = X.markdown_documents(table(spark, d, "pages"), table(spark, d, "documents", "document_id", "filename"))
-    return rows.select("run_id", "document_id", F.length("markdown").alias("chars"), L.text_hash(F.col("markdown")).alias("hash"))
+    return rows.select("run_id", "document_id", F.length("markdown").cast("bigint").alias("chars"), L.text_hash(F.col("markdown")).alias("hash"))
 
 
 @query()
@@ -506,11 +523,6 @@ def ag13_rates(spark, d):
 
 # ---------------------------------------------------------------- windows, order, sets
 
-def lines_sql(text: str) -> str:
-    """The stripped lines of a text that hold anything, as a list."""
-    return f"list_filter(list_transform(string_split({text}, chr(10)), lambda x: regexp_replace(x, '^[{SPACE_SQL}]+|[{SPACE_SQL}]+$', '', 'g')), lambda x: x <> '')"
-
-
 
 @query(f"""
 WITH l AS (SELECT doc_id, i, x[i] AS line FROM (SELECT doc_id, {lines_sql("coalesce(text, '')")} AS x FROM documents), unnest(range(1, len(x) + 1)) AS t(i)),
@@ -656,7 +668,12 @@ def tx2_tx4_markers(spark, d):
     return p.select("run_id", "page_id", L.text_hash(C.clean_markers(F.coalesce("raw_text", F.lit("")))).alias("hash")).distinct()
 
 
-@query()
+CELLS_SQL = f"array_to_string(list_filter(list_transform(string_split(l, ' '), lambda c: trim(regexp_replace(regexp_replace(c, '</?(?:{C.CLEAN_TAGS})\\b[^>]*>', '', 'gi'), '[{SPACE_SQL}]+', ' ', 'g'))), lambda c: c <> ''), ' | ')"
+
+
+@query(f"""
+SELECT run_id, page_id, sha256(array_to_string(list_filter(list_transform({lines_sql("coalesce(clean_text, '')")}, lambda l: {CELLS_SQL}), lambda r: r <> ''), chr(10))) AS hash
+FROM (SELECT DISTINCT run_id, page_id, clean_text FROM pages)""")
 def tx5_tables(spark, d):
     """Tables made of the lines of every page, and back to lines of cells."""
     p = table(spark, d, "pages", "run_id", "page_id", "clean_text").distinct()
@@ -716,6 +733,17 @@ def tx10_normalize(spark, d):
     return p.select("run_id", "page_id", L.text_hash(C.normalize(F.col("clean_text"))).alias("hash")).distinct()
 
 
+ORACLE_SQL["snk6_bundle_documents"] = f"""
+WITH {PAGES_SQL}, done AS (SELECT DISTINCT run_id, document_id FROM run_documents WHERE status = 'completed'), p AS (SELECT * FROM pages_once SEMI JOIN done USING (run_id, document_id)),
+ filled AS (SELECT DISTINCT run_id, document_id FROM p WHERE length(coalesce(raw_text, '')) > 0 OR length(coalesce(clean_text, '')) > 0),
+ t AS (SELECT run_id, document_id, count(*) AS page_count, string_agg(coalesce(clean_text, ''), {BREAK_SQL} ORDER BY page_num) AS clean_text,
+  coalesce(array_to_string(list_sort(list_distinct(flatten(list(coalesce(quality_flags, []))))), '|'), '') AS quality_flags FROM p SEMI JOIN filled USING (run_id, document_id) GROUP BY ALL),
+ d AS (SELECT document_id, coalesce(nullif(display_title, ''), nullif(pdf_title, '')) AS title, coalesce(nullif(display_title, ''), nullif(filename, ''), '') AS shown, language FROM documents),
+ n AS (SELECT *, coalesce(nullif(regexp_replace(regexp_replace(shown, '[^\\p{{L}}\\p{{N}}_.-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'document') || '__' || substr(document_id, 1, 8) || '.txt' AS stem FROM t LEFT JOIN d USING (document_id))
+SELECT run_id, document_id, title, array_to_string({LIST_SQL.format('language')}, '|') AS language, page_count, 'raw/' || stem AS raw_file, 'clean/' || stem AS clean_file, 'normalized/' || stem AS normalized_file,
+ sha256({NORMAL_SQL}) AS normalized_text_sha256, quality_flags FROM n"""
+
+
 @query()
 def tx_clean(spark, d):
     """The full and the least cleaning of every raw page."""
@@ -755,10 +783,11 @@ def tx16_size_bucket(spark, d):
     return table(spark, d, "run_events", "id").distinct().select("id", L.size_bucket(F.col("id") * 37).alias("bucket"))
 
 
-@query()
+@query("SELECT DISTINCT run_id, page_id, sha256(CASE WHEN script_direction = 'rtl' THEN '<div dir=\"rtl\">' || chr(10) || chr(10) || coalesce(clean_text, '') || chr(10) || chr(10) || '</div>' ELSE coalesce(clean_text, '') END) AS hash FROM pages WHERE script_direction IS NULL OR script_direction <> 'mixed'")
 def tx18_direction_wrap(spark, d):
-    """Pages with right-to-left text marked; part of the Markdown of a document."""
-    return snk2_markdown(spark, d).select("run_id", "document_id", "hash")
+    """Pages of one direction, right-to-left text marked."""
+    p = table(spark, d, "pages", "run_id", "page_id", "clean_text", "script_direction").filter("script_direction is null or script_direction <> 'mixed'")
+    return p.select("run_id", "page_id", L.text_hash(X.direction_wrap(F.col("clean_text"), F.col("script_direction"))).alias("hash")).distinct()
 
 
 # ---------------------------------------------------------------- quality
@@ -840,7 +869,7 @@ def sc8_block_scripts(spark, d):
     """Direction and script of every block of every document."""
     b = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(S.blocks(F.col("text"))).alias("block", "text"))
     a = b.withColumn("n", S.script_counts("text")).withColumn("a", S.analysis(F.col("text"), F.col("n")))
-    return a.select("doc_id", "block", "a.direction", "a.primary_script")
+    return a.select("doc_id", F.col("block").cast("bigint").alias("block"), "a.direction", "a.primary_script")
 
 
 # ---------------------------------------------------------------- metadata and events
@@ -889,3 +918,41 @@ def ev6_retries(spark, d):
     return e.groupBy("run_id", doc.alias("document_id")).agg(F.count(F.lit(1)).alias("retries"), F.max(attempt).alias("last_attempt"))
 
 
+# ---------------------------------------------------------------- SQL that takes the Unicode tables to write
+
+
+@lru_cache(1)
+def _script_classes() -> list[str]:
+    """For each trait of a character, all code points that have it, as the inside of a character class."""
+    spans: list[list[list[int]]] = [[] for _ in range(5)]
+    for cp in range(0x110000):
+        if 0xD800 <= cp < 0xE000:
+            continue
+        for found, hit in zip(spans, S.traits.__wrapped__(chr(cp))):
+            if hit:
+                if found and found[-1][1] == cp - 1:
+                    found[-1][1] = cp
+                else:
+                    found.append([cp, cp])
+    return ["".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in found) for found in spans]
+
+
+def _script_sql(source: str, keys: str, columns: str) -> str:
+    n = ", ".join(f"len(regexp_extract_all(t, '[{c}]'))::BIGINT AS {name}" for name, c in zip(("ltr", "rtl", "arabic", "latin", "extended"), _script_classes()))
+    return f"""
+WITH p AS ({source}), n AS (SELECT *, {n} FROM p),
+ d AS (SELECT *, CASE WHEN ltr + rtl = 0 THEN 'undetermined' WHEN rtl / (ltr + rtl) > 0.8 THEN 'rtl' WHEN ltr / (ltr + rtl) > 0.8 THEN 'ltr' WHEN rtl / (ltr + rtl) > 0.15 AND ltr / (ltr + rtl) > 0.15 THEN 'mixed' WHEN rtl > ltr THEN 'rtl' ELSE 'ltr' END AS direction,
+  regexp_matches(t, '[{S.OTTOMAN_LATIN}]') AS ottoman, regexp_matches(t, '[{S.TURKISH}]') AS turkish FROM n),
+ s AS (SELECT *, CASE WHEN arabic > latin AND arabic > 20 THEN 'arabic' WHEN ottoman AND extended > 5 THEN 'latin_extended' WHEN direction = 'mixed' THEN 'mixed' WHEN latin > 0 THEN 'latin' ELSE 'undetermined' END AS primary_script,
+  array_to_string(list_filter([CASE WHEN turkish THEN 'tr' END, CASE WHEN arabic > 50 THEN 'ar' END, CASE WHEN turkish AND arabic > 50 THEN 'ota' END, CASE WHEN ottoman THEN 'ota-latn' END], lambda x: x IS NOT NULL), '|') AS languages FROM d)
+SELECT {keys}, direction, primary_script{columns} FROM s"""
+
+
+def oracle_sql() -> dict[str, str]:
+    """All SQL, with that which is generated."""
+    blocks = f"SELECT doc_id, i::BIGINT AS block, x[i + 1] AS t FROM (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda x: regexp_replace(x, '^[{SPACE_SQL}]+|[{SPACE_SQL}]+$', '', 'g')), lambda x: x <> '') AS x FROM documents), unnest(range(len(x))) AS u(i)"
+    counted = ", arabic AS arabic_char_count, latin AS latin_char_count, extended AS extended_latin_count, extended > 5 AS has_diacritics, languages"
+    return ORACLE_SQL | {
+        "sc_analysis": _script_sql("SELECT DISTINCT run_id, page_id, coalesce(clean_text, '') AS t FROM pages", "run_id, page_id", counted),
+        "sc8_block_scripts": _script_sql(blocks, "doc_id, block", ""),
+    }
