@@ -33,6 +33,11 @@ def dominant_character(text: Column) -> Column:
     return F.array_max(counted)
 
 
+def marker_artifacts(text: Column) -> Column:
+    """Whether a marker of the model stands several times in a row."""
+    return text.rlike(r"(<\|det\|>){3,}|(<\|grounding\|>){2,}")
+
+
 def repeated_unit(text: Column) -> Column:
     """Whether a piece without blanks, with the blanks behind it if any, stands eleven times or more in a row.
 
@@ -58,7 +63,7 @@ def with_quality(df: DataFrame, text: str, page: str) -> DataFrame:
         step1.withColumn("__q_lines", text_lines(t))
         .withColumn("__q_top", dominant_character(t))
         .withColumn("__q_all", F.length(F.regexp_replace(t, "[ \n]", "")))
-        .withColumn("__q_artifact", t.rlike(r"(<\|det\|>){3,}|(<\|grounding\|>){2,}") | repeated_unit(t))
+        .withColumn("__q_artifact", marker_artifacts(t) | repeated_unit(t))
         .withColumn(
             "__q_hyphens",
             F.regexp_count(t, F.lit(rf"{LETTER}{{2,}}-{SPACE}*\n{SPACE}*{LETTER}{{2,}}")) + F.regexp_count(t, F.lit(rf"{LETTER}{{2,}}-{SPACE}{{1,3}}{LETTER}{{2,}}")),

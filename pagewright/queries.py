@@ -6,6 +6,8 @@ express there (a back-reference, a full entity table, Unicode character classes)
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -16,12 +18,13 @@ from pagewright.functions import clean as C
 from pagewright.functions import labels as L
 from pagewright.functions import script as S
 from pagewright.functions.classes import strip, text_lines
-from pagewright.functions.quality import LEAST_CHARS, longest_run, with_quality
+from pagewright.functions.quality import LEAST_CHARS, longest_run, marker_artifacts, with_quality
 from pagewright.operators import catalog as K
 from pagewright.operators import pages as P
 from pagewright.operators import rollup as R
 from pagewright.plans import exports as X
-from pagewright.sources.tables import table
+from pagewright.sources import files
+from pagewright.sources.tables import local_shared_dir, table
 from pagewright.streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +72,37 @@ def linked(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- sources and pages
 
 
+def artifacts(spark: SparkSession, d: str, suffix: str) -> str:
+    """A folder with the text of every document in a file of its own, named by its id."""
+    folder = f"{local_shared_dir(spark)}/artifacts-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents", "document_id", "text").withColumn("path", F.concat("document_id", F.lit(suffix)))
+    os.makedirs(folder, exist_ok=True)
+    X.write_texts(docs, folder, "path", "text")
+    return folder
+
+
+@query("SELECT document_id || '.PDF' AS name, strlen(coalesce(text, ''))::BIGINT AS size FROM documents WHERE coalesce(text, '') <> ''")
+def src1_list_files(spark, d):
+    """The listing of a folder of files, their names and sizes; nothing of them is read."""
+    return files.list_pdfs(spark, artifacts(spark, d, ".PDF")).select("name", F.col("size").cast("bigint").alias("size"))
+
+
+@query("SELECT document_id, sha256(coalesce(text, '')) AS sha256, substr(sha256(coalesce(text, '')), 1, 16) AS content_id FROM documents WHERE coalesce(text, '') <> ''")
+def src4_file_hash(spark, d):
+    """Hashes of files and the ids they give."""
+    hashed = files.hash_files(spark, artifacts(spark, d, ".txt"))
+    return hashed.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("document_id"), "sha256", F.col("document_id").alias("content_id"))
+
+
+@query("SELECT document_id, sha256(CASE WHEN doc_id % 7 = 0 THEN '' ELSE coalesce(text, '') END) AS hash FROM documents")
+def src6_text_artifacts(spark, d):
+    """Text files read back by their paths; a seventh of the paths name no file."""
+    folder = artifacts(spark, d, ".txt")
+    docs = table(spark, d, "documents", "document_id", "doc_id")
+    paths = docs.select("document_id", F.concat(F.lit(folder + "/"), F.when(F.col("doc_id") % 7 == 0, F.lit("none_")).otherwise(F.lit("")), "document_id", F.lit(".txt")).alias("path"))
+    return files.read_texts(spark, paths, "path", folder).select("document_id", L.text_hash(F.col("text")).alias("hash"))
+
+
 @query(f"""
 SELECT document_id, (i + 1)::BIGINT AS page_num, length(parts[i + 1])::BIGINT AS chars, sha256(parts[i + 1]) AS hash
 FROM (SELECT document_id, string_split(coalesce(text, ''), {BREAK_SQL}) AS parts FROM documents), unnest(range(len(parts))) AS t(i)""")
@@ -821,6 +855,15 @@ def vl2_repetition(spark, d):
     return with_quality(p, "clean_text", "page_num").select("run_id", "page_id", label.alias("repetition"))
 
 
+@query("SELECT DISTINCT run_id, page_id, regexp_matches(coalesce(raw_text, ''), '(<\\|det\\|>){3,}|(<\\|grounding\\|>){2,}') AS artifact FROM (SELECT run_id, page_id, CASE WHEN page_num % 5 = 0 THEN repeat('<|det|>', page_num % 6) || raw_text WHEN page_num % 5 = 1 THEN repeat('<|grounding|>', page_num % 4) || raw_text ELSE raw_text END AS raw_text FROM pages)")
+def vl5_marker_artifacts(spark, d):
+    """Repeated markers of the model, some put before the raw texts."""
+    p = table(spark, d, "pages", "run_id", "page_id", "page_num", "raw_text").distinct()
+    n = F.col("page_num")
+    made = F.when(n % 5 == 0, F.concat(F.expr("repeat('<|det|>', page_num % 6)"), "raw_text")).when(n % 5 == 1, F.concat(F.expr("repeat('<|grounding|>', page_num % 4)"), "raw_text")).otherwise(F.col("raw_text"))
+    return p.select("run_id", "page_id", marker_artifacts(F.coalesce(made, F.lit(""))).alias("artifact")).distinct()
+
+
 @query()
 def vl_validate(spark, d):
     """Status, issues and flags of every page, all rules."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def list_pdfs(spark: SparkSession, folder: str, documents: DataFrame | None = None) -> DataFrame:
     """``path, name, size, modified`` of the PDF files of a folder, whatever the case of the suffix; with ``documents`` the name the catalog has.
 
-    Only the listing is read, not the files.
+    Only the listing is read, not the files. Files of no bytes hold no page and are not listed.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
     listed = files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
@@ -21,7 +21,7 @@ def list_pdfs(spark: SparkSession, folder: str, documents: DataFrame | None = No
 
 
 def hash_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """``path, size, sha256, document_id`` by content; the id is the first 16 digits of the hash."""
+    """``path, size, sha256, document_id`` by content; the id is the first 16 digits of the hash. Files of no bytes give no row."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     hashed = files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
     return hashed.withColumn("document_id", F.substring("sha256", 1, 16))

@@ -34,6 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def local_shared_dir(spark: SparkSession) -> str:
+    """The shared folder as a path that Python can open; only a mounted file system has one."""
+    folder = shared_dir(spark)
+    if "://" in folder and not folder.startswith("file://") or folder.startswith(("hdfs:", "s3")):
+        raise ValueError(f"{folder} is not on a mounted file system")
+    return "/" + folder.removeprefix("file:").lstrip("/") if folder.startswith("file:") else folder
+
+
 def settle(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
