@@ -95,14 +95,23 @@ def split_of(component: Column, proportions=PROPORTIONS) -> Column:
 def assign_splits(documents: DataFrame, proportions=PROPORTIONS) -> DataFrame:
     """``(doc_id, component, split)`` for every document; related documents share both.
 
-    Proportions are met as closely as whole components allow: one that is larger than a share goes whole
-    to a single split. Documents that name nobody and nothing stand alone; repeated rows count once;
-    an empty table gives an empty result.
+    Proportions are met as closely as whole components allow: a component with more documents than the share of the split its
+    hash falls into goes to the split with the greatest share instead. Documents that name nobody and nothing stand
+    alone; repeated rows count once; an empty table gives an empty result.
     """
     links = entity_links(documents).select("node", "entity")
     alone = documents.select(F.col("doc_id").alias("node"), F.lit(None).cast("string").alias("entity"))
-    found = connected_components(links.unionByName(alone))
-    return found.select(F.col("node").alias("doc_id"), "component", split_of(F.col("component"), proportions).alias("split"))
+    found = settle(connected_components(links.unionByName(alone)), "components")
+    total, shares = found.count(), {s: p / sum(p for _, p in proportions) for s, p in proportions}
+    most = max(shares, key=shares.get)
+    # components above the least share: fewer than 1 / share of them, whatever the data
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min(shares.values()) * total).collect()
+    split = split_of(F.col("component"), proportions)
+    for name, share in shares.items():
+        large = [r["component"] for r in sizes if r["n"] > share * total]
+        if name != most and large:
+            split = F.when((split == name) & F.col("component").isin(large), most).otherwise(split)
+    return found.select(F.col("node").alias("doc_id"), "component", split.alias("split"))
 
 
 def document_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,5 +198,5 @@ WITH RECURSIVE {LINKS_SQL}, heads AS (SELECT entity, min(doc_id) AS head FROM li
 edges AS (SELECT DISTINCT doc_id AS a, head AS b FROM links JOIN heads USING (entity) UNION SELECT DISTINCT head, doc_id FROM links JOIN heads USING (entity)),
 reach AS (SELECT doc_id AS node, doc_id AS m FROM documents WHERE doc_id IS NOT NULL UNION SELECT e.b, r.m FROM reach r JOIN edges e ON e.a = r.node),
 found AS (SELECT node AS doc_id, min(m) AS component FROM reach GROUP BY node),
-placed AS (SELECT *, ('0x' || substr(sha256(component::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS place FROM found)
-SELECT doc_id, component, CASE WHEN place < 0.9 THEN 'train' WHEN place < 0.95 THEN 'validation' ELSE 'test' END AS split FROM placed"""
+placed AS (SELECT *, count(*) OVER (PARTITION BY component) / (count(*) OVER ())::DOUBLE AS part, ('0x' || substr(sha256(component::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS place FROM found)
+SELECT doc_id, component, CASE WHEN place < 0.9 OR part > 0.05 THEN 'train' WHEN place < 0.95 THEN 'validation' ELSE 'test' END AS split FROM placed"""

@@ -62,6 +62,14 @@ def test_shares_follow_the_proportions(spark):
     assert abs(n["train"] / 20_000 - 0.9) < 0.01 and abs(n["test"] / 20_000 - 0.05) < 0.01
 
 
+def test_a_large_component_goes_where_it_fits(spark):
+    # a tenth of the rows hangs together: whatever its hash, it can only go to train
+    for first in range(0, 60, 7):
+        rows = [(first * 1000 + i, "Ali Veli" if i < 40 else None, None) for i in range(400)]
+        got = S.assign_splits(spark.createDataFrame(rows, "doc_id long, author string, work string")).filter(f"component = {first * 1000}")
+        assert {r.split for r in got.select("split").distinct().collect()} == {"train"} and got.count() == 40
+
+
 def test_empty(spark, tables):
     d = tables(documents=spark.createDataFrame([], DOCS), pages=spark.createDataFrame([], PAGES))
     assert S.p2_found(spark, d).count() == 0 and S.p2_splits(spark, d).count() == 0
