@@ -149,7 +149,7 @@ def looks_misread(token: str) -> bool:
     if len(_LETTERS.findall(token)) < 3 or _HEX.fullmatch(token) or re.search(r"[_\\^`%+*]", token):
         return False
     signs = _SYMBOL.findall(token)
-    return 0 < len(signs) <= 2 and not re.search(r"\d{2}", token) and not re.fullmatch(r"[^\W\d_]*\d", token[-3:] if len(token) < 4 else "-") and token[0] not in "#$&!"
+    return 0 < len(signs) <= 2 and not re.search(r"\d{2}", token) and token[0] not in "#$&!"
 
 
 def edge_lines(lines: list[str]) -> list[int]:
