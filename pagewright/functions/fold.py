@@ -31,16 +31,21 @@ def fold_letters(c: Column) -> Column:
 
 def py_fold(text: str) -> str:
     """The same folding for a Python string."""
-    source, target = latin_fold_table()
-    text = text.translate(_py_table(source, target))
-    return "".join(
-        ch for ch in text if unicodedata.category(ch) not in ("Mn", "Mc", "Me", "Cf") and ch not in "ʿʾ’‘'`´"
-    ).lower()
+    return text.translate(_py_table()).lower()
+
+
+class _Folded(dict):
+    """Code point -> what it folds to, None where it is dropped; filled as code points are met."""
+
+    def __missing__(self, cp: int) -> int | None:
+        ch = chr(cp)
+        self[cp] = out = None if unicodedata.category(ch) in ("Mn", "Mc", "Me", "Cf") or ch in "ʿʾ’‘'`´" else cp
+        return out
 
 
 @lru_cache(1)
-def _py_table(source: str, target: str) -> dict:
-    return str.maketrans(source, target)
+def _py_table() -> _Folded:
+    return _Folded(str.maketrans(*latin_fold_table()))
 
 
 #: Inside of a character class for every character that Python's ``str.split`` takes as white space. Said by properties, which

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -105,17 +106,39 @@ def masked(folded: str) -> str:
     return re.sub(r"\W+", " ", re.sub(r"\b(?=\w*\d)[0-9a-f]{6,}\b|\d+", "#", folded)).strip()
 
 
-# Literals, one of which stands in every line the patterns above can mark (lower case; i and dotless i cut off).
-SCREEN = (
-    "{{", "}}", "${", "#{", "{%", "<%", "@@", "[[", "__", "<insert", "giriniz]", "[insert", "[enter", "[your",
-    "lorem", "ipsum", "adipiscing", "eiusmod", "consectetu", "nostrud", "incididunt", "text goes here", "your text", "your content", "your title", "sample text", "dummy text", "placeholder text", "example text", "insert text",
-    "metin gelecek", "icerik gelecek", "yazı gelecek", "içerik gelecek", "örnek paragraf", "örnek metin", "örnek yazı", "içerik haz", "yakında eklenecek", "texte à venir", "texte d", "faux texte", "blindtext", "platzhalter", "beispieltext", "mustertext", "bla bla", "asdf", "qwer", "xxx", "test test", "deneme",
-    "not found", "could not be", "no longer", " moved", "removed", "deleted", "to sign in", "to log in", "not available", "unavailable", "temporarily", "denied", "forbidden", "too many req", "did not answer", "did not respond", "timed out", "time out", "timeout", "crashed", "reload", "gateway", "server error", "unexpected error", "internal error", "expired", "went wrong", "try again", "permission", "error ",
-    "bulunamad", "yüklen", "kaldırıl", "kaldiril", "yetkiniz", "izniniz", "zaman aş", "sunucu", "hatası oluş", "hata oluş", "hatasi oluş", "giriş yap", "oturumunuz", "deneyin", "hata ", "erişile", "gösterile",
-    "introuvable", "est pas disponible", "est pas accessible", "été déplac", "été supprim", "ete deplac", "accès refus", "accès interdit", "erreur ", "session expir", "réessayer", "indisponible",
-    "nicht gefunden", "nicht erreichbar", "nicht verfügbar", "nicht geladen", "verschoben", "entfernt", "gelöscht", "verweigert", "fehler ", "abgelaufen", "erneut versuchen",
-    "javascript", "scripts", "script ", "cookies", "your browser", "browser", "human", "robot", "captcha", "verify", "betik", "tarayıc", "tarayic", "insan old", "çerez", "navigateur", "humain", "aktivieren sie", "roboter", "mensch sind",
-)
+def needed(pattern: str) -> frozenset[str]:
+    """Literals, one of which stands in every match of a pattern; read off the parsed pattern, so they cover every alternative.
+
+    Of what a sequence holds one after the other, the literals whose shortest is longest are taken. Raises ValueError where
+    a pattern can match without any literal.
+    """
+    out = _needed(list(_parser.parse(pattern)))
+    if not out:
+        raise ValueError(f"no literal stands in every match of {pattern}")
+    return out
+
+
+def _needed(parts: list) -> frozenset[str]:
+    found, run = [], ""
+    for op, value in parts:
+        if op is _parser.LITERAL:
+            run += chr(value)
+            continue
+        if op is _parser.AT:  # takes no room, so the literals on both sides touch
+            continue
+        found.append(frozenset({run} - {""}))
+        run = ""
+        if op is _parser.BRANCH:
+            each = [_needed(list(p)) for p in value[1]]
+            found.append(frozenset().union(*each) if all(each) else frozenset())
+        elif op is _parser.SUBPATTERN:
+            found.append(_needed(list(value[-1])))
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0] > 0:
+            found.append(_needed(list(value[2])))
+        elif op is _parser.IN and all(o is _parser.LITERAL for o, _ in value):
+            found.append(frozenset(chr(v) for _, v in value))
+    found.append(frozenset({run} - {""}))
+    return max(found, key=lambda s: min(map(len, s), default=0))
 
 
 @lru_cache(1)
@@ -123,37 +146,53 @@ def _screen():
     import ahocorasick
 
     a = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for word in SCREEN:
+    for word in frozenset().union(*(needed(p.pattern) for p in (MARKS, FILLER_PHRASES, FAILURE, DEMAND))):
         a.add_word(word)
     a.make_automaton()
     return a
 
 
-def screened_lines(text: str) -> list[str]:
-    """The lines of a text that hold a literal of SCREEN or two field marks, found in one pass."""
-    lowered = text.replace("İ", "i").lower()
-    if len(lowered) != len(text):
-        return text.split("\n")
-    spots = {end for end, _ in _screen().iter(lowered)}
-    for mark in ("[", "<", "{", "«", "%"):
-        at = text.find(mark)
-        while at >= 0:
-            spots.add(at)
-            at = text.find(mark, at + 1)
-    out, until = [], -1
-    for at in sorted(spots):
-        if at >= until:
-            until = text.find("\n", at)
-            until = len(text) if until < 0 else until
-            out.append(text[text.rfind("\n", 0, at) + 1 : until])
+def _held(folded: str) -> list[bool]:
+    """For each line of a folded text, whether it holds a literal that a field mark, a phrase, a message or a demand needs."""
+    ends = sorted({end for end, _ in _screen().iter(folded)})
+    out, k, until = [], 0, -1
+    for line in folded.split("\n"):
+        until += len(line) + 1
+        first = k
+        while k < len(ends) and ends[k] < until:
+            k += 1
+        out.append(k > first)
     return out
 
 
+def screened_lines(text: str) -> list[str]:
+    """The lines of a text that hold a literal one of the patterns needs, found in one pass over the folded text."""
+    return [line for line, held in zip(text.split("\n"), _held(py_fold(text))) if held]
+
+
+def kinds_of(text: str) -> Iterator[tuple[str, str, str | None]]:
+    """``(line, folded line, kind)`` of every line of a text that is not blank, with the kind ``kind_of`` gives.
+
+    A line without any literal the patterns need can only be filler by its words: two different stock words, or at most four
+    words again and again.
+    """
+    text = text.replace("\f", "")
+    folded = py_fold(text)
+    for line, small, held in zip(text.split("\n"), folded.split("\n"), _held(folded)):
+        if not line.strip():
+            continue
+        if held:
+            yield line, small, kind_of(line, small)
+            continue
+        words = set(WORDS.findall(small))
+        by_words = len(words) <= 4 or len(words & FILLER_WORDS) >= 2
+        yield line, small, "filler" if by_words and is_filler(small) else None
+
+
 def document_evidence(documents: DataFrame) -> DataFrame:
     """One row per document with its marked characters by kind, and the unmarked lines of low-information bodies.
 
-    ``doc_id, source, n, field, filler, failure, demand, mismatch, short array<struct<key, chars>>``. A text of more than
-    FEW_WORDS distinct words is screened first by one automaton over its whole length.
+    ``doc_id, source, n, field, filler, failure, demand, mismatch, short array<struct<key, chars>>``. Every line of every text is judged.
     """
     names = ["field", "filler", "failure", "demand"]
     schema = "doc_id bigint, source string, n bigint, " + ", ".join(f"`{k}` bigint" for k in names) + ", mismatch boolean, title string, short array<struct<key: string, chars: bigint>>"
@@ -167,23 +206,15 @@ def document_evidence(documents: DataFrame) -> DataFrame:
                 few = len(text) < 40 * FEW_WORDS and len(set(text.split())) <= FEW_WORDS
                 chars = dict.fromkeys(names, 0)
                 short: list[dict] = []
-                mismatch = False
-                lines = text.split("\n") if few else screened_lines(text)
-                if lines:
-                    terms = set(WORDS.findall(py_fold(f"{filename or ''} {title or ''}".replace("_", " ")))) - {"pdf"}
-                    body_has = False
-                    for line in lines:
-                        line = line.replace("\f", "")
-                        if not line.strip():
-                            continue
-                        folded = py_fold(line)
-                        kind = kind_of(line, folded)
-                        if kind:
-                            chars[kind] += len(line)
-                        elif few:
-                            body_has = body_has or any(len(w) > 3 and w in terms for w in WORDS.findall(folded))
-                            short.append({"key": masked(folded), "chars": len(line)})
-                    mismatch = few and not body_has
+                body_has = False
+                terms = set(WORDS.findall(py_fold(f"{filename or ''} {title or ''}".replace("_", " ")))) - {"pdf"} if few else set()
+                for line, folded, kind in kinds_of(text):
+                    if kind:
+                        chars[kind] += len(line)
+                    elif few:
+                        body_has = body_has or any(len(w) > 3 and w in terms for w in WORDS.findall(folded))
+                        short.append({"key": masked(folded), "chars": len(line)})
+                mismatch = few and not body_has
                 out.append((doc, source, len(text), *(chars[k] for k in names), mismatch, py_fold(title or filename or ""), short if mismatch else []))
             columns = list(zip(*out)) if out else [[] for _ in range(10)]
             types = [pa.int64(), pa.string(), pa.int64(), *[pa.int64()] * 4, pa.bool_(), pa.string(), pa.list_(pa.struct([("key", pa.string()), ("chars", pa.int64())]))]

@@ -1,5 +1,7 @@
 """Lines of templates, filler, failures and demands; documents made of them."""
 
+import unicodedata
+
 import pytest
 
 from pagewright.functions.fold import py_fold
@@ -29,6 +31,36 @@ def test_lines(line, kind):
         assert line in X.screened_lines("Düz bir satır.\n" + line + "\nDüz bir satır daha.")
 
 
+LONG = [
+    "metin metin metin metin metin metin", "alt üst alt üst alt üst", "Duis aute irure dolor in reprehenderit in voluptate velit esse", "Excepteur sint occaecat cupidatat non proident",
+    unicodedata.normalize("NFD", "Görüntü yüklenemedi"), "ÖRNEK METİN", "Sayfa\u00ad bulu\u00adnamadı", "bla  bla", "texte d’exemple",
+]
+
+
+@pytest.mark.parametrize("line", LONG)
+def test_length_of_a_text_hides_no_line(line):
+    kind = X.kind_of(line, py_fold(line))
+    many = "\n".join([line] * (3000 // len(line)))
+    assert {k for _, _, k in X.kinds_of(many)} == {kind}
+    prose = "\n".join(f"Satır {i}: " + " ".join(f"söz{chr(97 + i % 26)}{chr(97 + j)}" for j in range(9)) for i in range(60))
+    assert [x for x, _, k in X.kinds_of(prose + "\n" + line + "\n\f\n" + prose) if k] == ([line] if kind else [])
+
+
+def test_literals_cover_every_alternative():
+    assert X.needed("(ab|cde)f?|g+hi") == {"ab", "cde", "hi"} and X.needed(r"\bx+ (no|yes)\w*") == {"no", "yes"}
+    with pytest.raises(ValueError):
+        X.needed(r"abc|\d+")
+    for pattern in (X.MARKS, X.FILLER_PHRASES, X.FAILURE, X.DEMAND):
+        assert X.needed(pattern.pattern)
+
+
+def test_long_filler_is_found(spark, tables):
+    rows = [(i, "S", f"kitap_{i}.pdf", f"Başlık {i}", None, None, "\n".join([t] * (3000 // len(t))), 1, "x") for i, t in enumerate(LONG[:5])]
+    rows += [(9, "S", "k.pdf", "B", None, None, "metin " * 2000, 1, "x")]
+    d = tables(documents=spark.createDataFrame(rows, FIELDS))
+    assert sorted(r.doc_id for r in X.p9_found(spark, d).collect()) == [0, 1, 2, 3, 4, 9]
+
+
 def test_found(spark, tables):
     prose = "\n".join(f"Bu {i}. satır gerçek bir kitabın içinden alınmış {w} bir metindir." for i, w in enumerate("uzun kısa eski yeni derin geniş dar ince kalın büyük küçük sessiz".split() * 4))
     rows = [
