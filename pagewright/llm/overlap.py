@@ -1,11 +1,14 @@
 """Same or near-same records across splits (problem 6).
 
-The normalised words of a page are cut into chunks where a rolling hash over two neighbouring words says so, so an
-inserted or changed word moves no cut but its own. Chunk digests are joined across splits; the lengths of the chunks
-a page shares with the other side give its overlap fraction, and only pages that reach the least fraction go on. Their pairs meet
-on a prefix of rare chunks: two pages that share a fraction of at least t share a chunk among the rarest that make up
-1 - t of either, so chunks a third of all pages holds are met only by pages that hold little else. An exact
-longest common subsequence of words decides.
+Pages meet on pairs of neighbouring words. Two sequences with at least L words in common in order hold at least
+3 L - |a| - |b| - 1 pairs of neighbours in common, since a word that only one of them has parts at most one pair of the common words.
+Four fifths of the longer one therefore leave two fifths of the pairs, so both hold a common pair among the rarest
+three fifths of theirs, whatever order is called rare. Length, place and parity bits of the words, which bound the common words too,
+drop most of those that meet; an exact longest common subsequence of words decides. Nothing that reaches four fifths is missed.
+
+For the report the words are also cut into chunks where a rolling hash over two neighbouring words says so, so an inserted or changed
+word moves no cut but its own. Chunk digests are joined across splits; the lengths of the chunks a page shares with the other
+side give its overlap fraction.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import glyphs
@@ -27,12 +30,13 @@ from pagewright.sources.tables import settle, table
 
 #: Pages share at least this part of the longer one's words, in order.
 SAME = 0.8
-#: Chunks shared by such pages make up at least this part of the longer one: chunks have about five words, and even of evenly
-#: spread changes to a fifth of the words a quarter of the chunks stay whole; changes that come in stretches leave more.
-LEAST = 0.1
 LEAST_CHARS = 200
 #: A chunk has at least three words and ends where the rolling hash has one value of three, at last after twelve.
 SHORTEST, ONE_OF, LONGEST = 3, 3, 12
+#: Records whose pairs of words are counted to order pairs by rarity, and pairs that are held for it; no result depends on either.
+SAMPLE, HELD = 40_000, 300_000
+#: Parity bits of the words of a record, in 64s.
+BITS = 4
 _DIVIDED = re.compile(r"(?<=\w)[-‐‑\xad¬=–~][^\S\n]*\n\s*(?=[^\W\d])")
 _WORD = re.compile(r"\w+")
 _MEMO = 500_000
@@ -91,12 +95,12 @@ def chunks_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """``page_id, split, record, n_words, words, chunks, lengths``; ``record`` is equal for pages of equal words."""
+    """``page_id, split, record, n_words, words``; ``record`` is equal for pages of equal words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         for b in batches:
-            records, counts, words, chunks, lengths = [], [], [], [], []
+            records, counts, words = [], [], []
             for t in b.column(2).to_pylist():
                 ws = words_of(t or "")
                 ids = []
@@ -108,25 +112,124 @@ def page_records(pages: DataFrame) -> DataFrame:
                         h = memo[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
                     ids.append(h)
                 hs = np.array(ids, np.int64)
-                d, n = chunks_of(hs)
-                if len(d):  # a chunk that comes again in a page counts with its whole length
-                    d, where = np.unique(d, return_inverse=True)
-                    n = np.bincount(where, n).astype(np.int32)
                 records.append(int.from_bytes(hashlib.blake2b(hs.tobytes(), digest_size=8).digest(), "little", signed=True))
                 counts.append(len(ws))
                 words.append(hs.astype(np.uint32).view(np.int32))
-                chunks.append(d)
-                lengths.append(n)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(records, pa.int64()), pa.array(counts, pa.int32()), pa.array(words, pa.list_(pa.int32())), pa.array(chunks, pa.list_(pa.int64())), pa.array(lengths, pa.list_(pa.int32()))],
-                names=["page_id", "split", "record", "n_words", "words", "chunks", "lengths"],
+                [b.column(0), b.column(1), pa.array(records, pa.int64()), pa.array(counts, pa.int32()), pa.array(words, pa.list_(pa.int32()))],
+                names=["page_id", "split", "record", "n_words", "words"],
+            )
+
+    return pages.select("page_id", "split", "clean_text").mapInArrow(run, "page_id string, split string, record bigint, n_words int, words array<int>")
+
+
+def chunk_rows(records: DataFrame) -> DataFrame:
+    """``record, chunk, length`` of ``records(record, words)``; a chunk that comes again in a record counts with its whole length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owners, chunks, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for record, words in zip(b.column(0).to_pylist(), _lists(b.column(1))):
+                d, n = chunks_of(words.astype(np.int32).view(np.uint32).astype(np.int64))
+                if len(d):
+                    d, where = np.unique(d, return_inverse=True)
+                    owners.append(np.full(len(d), record, np.int64))
+                    chunks.append(d)
+                    lengths.append(np.bincount(where, n).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (owners, chunks, lengths)], names=["record", "chunk", "length"])
+
+    return records.select("record", "words").mapInArrow(run, "record bigint, chunk bigint, length int")
+
+
+def _neighbours(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, owner of each, pairs of neighbouring words, owner of each, place of each) of the lists of a column."""
+    flat, at = column.flatten().to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32).astype(np.uint64), column.offsets.to_numpy()
+    at = at - at[0]
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    inside = np.flatnonzero(owner[:-1] == owner[1:])
+    pairs = (flat[inside] << np.uint64(32) | flat[inside + 1]).view(np.int64)
+    return flat, owner, pairs, owner[inside], inside - at[owner[inside]]
+
+
+def frequent_pairs(records: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted pairs of neighbouring words that return in a sample of ``n`` records(record, words), and how often: at most HELD."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs, counts = np.unique(_neighbours(b.column(0))[2], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts.astype(np.int64))], names=["pair", "n"])
+
+    drawn = records.filter(F.pmod("record", F.lit(1_000_000)) < int(1e6 * min(1.0, SAMPLE / max(n, 1)))).select("words")
+    counted = drawn.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 1")
+    got = counted.orderBy(F.desc("n"), "pair").limit(HELD).toArrow()
+    pairs, counts = got["pair"].to_numpy(), got["n"].to_numpy()
+    order = np.argsort(pairs)
+    return pairs[order], counts[order]
+
+
+def rare_pairs(records: DataFrame, known: tuple[np.ndarray, np.ndarray], same: float) -> DataFrame:
+    """Of ``records(record, train, eval, words)`` the pairs of neighbouring words one of which two records have in common that share ``same`` of the longer one.
+
+    ``pair, record, train, eval, n`` (words), ``rarer`` (places with rarer pairs), ``first`` and ``last`` place, and ``b0 …``: parity bits.
+    """
+    held = records.sparkSession.sparkContext.broadcast(known)
+    bits = [f"b{i}" for i in range(BITS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, times = held.value
+        for b in batches:
+            flat, of_word, pairs, owner, place = _neighbours(b.column(3))
+            n = np.bincount(of_word, minlength=b.num_rows)
+            slot = of_word * (64 * BITS) + ((flat * np.uint64(_BASE)) >> np.uint64(40)).astype(np.int64) % (64 * BITS)
+            odd = np.bincount(slot, minlength=b.num_rows * 64 * BITS) % 2 == 1
+            signs = np.packbits(odd.reshape(b.num_rows, 64 * BITS), axis=1).view(np.int64)
+            often = np.zeros(len(pairs), np.int64)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, pairs), len(names) - 1)
+                often = np.where(names[at] == pairs, times[at], 0)
+            order = np.lexsort((place, pairs, often, owner))
+            pairs, owner, place = pairs[order], owner[order], place[order]
+            start = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]) | (owner[1:] != owner[:-1])]) if len(pairs) else np.zeros(0, np.int64)
+            end = np.r_[start[1:], len(pairs)] - 1 if len(start) else start
+            who = owner[start]
+            rarer = start - (np.cumsum(np.maximum(n - 1, 0)) - np.maximum(n - 1, 0))[who]
+            keep = rarer <= 3 * (1 - same) * n[who] + 1e-6
+            start, end, who, rarer = start[keep], end[keep], who[keep], rarer[keep]
+            rows = pa.array(who)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pairs[start]), *(b.column(i).take(rows) for i in range(3)), *(pa.array(c.astype(np.int32)) for c in (n[who], rarer, place[start], place[end])), *(pa.array(np.ascontiguousarray(signs[who, i])) for i in range(BITS))],
+                names=["pair", "record", "train", "eval", "n", "rarer", "first", "last", *bits],
             )
 
-    return pages.select("page_id", "split", "clean_text").mapInArrow(
-        run, "page_id string, split string, record bigint, n_words int, words array<int>, chunks array<bigint>, lengths array<int>"
+    return records.select("record", "train", "eval", "words").mapInArrow(
+        run, "pair bigint, record bigint, train boolean, eval boolean, n int, rarer int, first int, last int, " + ", ".join(f"{x} bigint" for x in bits)
     )
 
 
+def candidates(records: DataFrame, known: tuple[np.ndarray, np.ndarray], same: float) -> DataFrame:
+    """``train_record, eval_record``: at least all that share ``same`` of the longer one's words in order, and are not equal."""
+    if same < 0.8:
+        raise ValueError("below four fifths short records need not have two neighbouring words in common")
+    rows = rare_pairs(records, known, same)
+    names = [c for c in rows.columns if c not in ("pair", "train", "eval")]
+    left, right = (rows.filter(side).select("pair", *(F.col(c).alias(f"{side}_{c}") for c in names)) for side in ("train", "eval"))
+    tn, en = F.col("train_n"), F.col("eval_n")
+    longest = F.greatest(tn, en)
+    slack = 1e-6
+    differ = sum((F.bit_count(F.col(f"train_b{i}").bitwiseXOR(F.col(f"eval_b{i}"))) for i in range(BITS)), F.lit(0))
+    near = (
+        (F.col("train_record") != F.col("eval_record"))
+        & (F.least(tn, en) >= same * longest - slack)
+        # a common word stands at most as many places off as words are left out of one of the two
+        & (F.col("train_first") - F.col("eval_last") <= (1 - same) * longest + slack) & (F.col("eval_first") - F.col("train_last") <= (1 - same) * longest + slack)
+        # all rarer places are such as the two have not in common
+        & (F.col("train_rarer") <= 2 * tn + en - 3 * same * longest + slack) & (F.col("eval_rarer") <= 2 * en + tn - 3 * same * longest + slack)
+        # each word only one of them has turns one bit
+        & (differ <= tn + en - 2 * same * longest + slack)
+    )
+    return left.join(right, "pair").filter(near).select("train_record", "eval_record").distinct()
+
+
 def common_words(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, a whole row of the table at a time in one long integer."""
     where: dict[int, int] = {}
@@ -150,7 +253,7 @@ def _usable(pages: DataFrame) -> DataFrame:
     return pages.filter((F.length("clean_text") >= LEAST_CHARS) & F.col("page_id").isNotNull() & F.col("split").isin("train", "validation", "test"))
 
 
-def cross_split(pages: DataFrame, least: float = LEAST, same: float = SAME) -> tuple[DataFrame, DataFrame, DataFrame]:
+def cross_split(pages: DataFrame, same: float = SAME) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(members, fractions, links)`` of ``pages(page_id, split, clean_text)``.
 
     ``members(page_id, split, record)``: each usable page with its record; equal pages share one.
@@ -158,38 +261,17 @@ def cross_split(pages: DataFrame, least: float = LEAST, same: float = SAME) -> t
     ``links(train_record, eval_record)``: records, equal or not, that share at least ``same`` of the longer one's words in order.
     Pages with fewer than 200 characters, a null id or no split take no part; repeated rows count once.
     """
-    told = settle(page_records(_usable(pages)), "records")
+    told = settle(page_records(_usable(pages)), "pages")
     members = told.select("page_id", "split", "record").distinct()
-    sides = told.groupBy("record").agg(
-        F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval"), F.max("n_words").alias("n_words")
-    )
-    rows = told.select("record", (F.col("split") == "train").alias("train"), F.explode(F.arrays_zip("chunks", "lengths")).alias("c")).select("record", "train", F.col("c.chunks").alias("chunk"), F.col("c.lengths").alias("length"))
-    rows = rows.groupBy("chunk", "record").agg(F.max("length").alias("length"), F.max("train").alias("train"), F.max(~F.col("train")).alias("eval"))
-    held = settle(rows, "chunks")
-    shared = (
-        held.groupBy("chunk").agg(F.count_if("train").alias("nt"), F.count_if("eval").alias("ne"))
-        .filter("nt > 0 and ne > 0").select("chunk", (F.col("nt") + F.col("ne")).alias("held_by"))
+    records = settle(
+        told.groupBy("record").agg(F.max(F.col("split") == "train").alias("train"), F.max(F.col("split") != "train").alias("eval"), F.max("n_words").alias("n_words"), F.first("words").alias("words")),
+        "records",
     )
-    kept = held.join(shared, "chunk")
-    by_record = Window.partitionBy("record")
-    before = by_record.orderBy("held_by", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    kept = (
-        kept.join(sides.select("record", "n_words"), "record")
-        .withColumn("shared", F.sum("length").over(by_record))
-        .filter(F.col("shared") >= least * F.col("n_words"))
-        .withColumn("rarer", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    )
-    kept = settle(kept, "shared")
-    fractions = kept.groupBy("record").agg((F.max("shared") / F.max("n_words")).alias("fraction"))
-    # the rarest chunks that, with the words in no shared chunk, make up 1 - least of the record
-    prefix = kept.filter(F.col("rarer") + F.col("n_words") - F.col("shared") <= (1 - least) * F.col("n_words")).select("chunk", "record", "n_words", "train", "eval")
-    left = prefix.filter("train").select("chunk", F.col("record").alias("train_record"), F.col("n_words").alias("tn"))
-    right = prefix.filter("eval").select("chunk", F.col("record").alias("eval_record"), F.col("n_words").alias("en"))
-    near = (F.col("tn") >= same * F.col("en")) & (F.col("en") >= same * F.col("tn")) & (F.col("train_record") != F.col("eval_record"))
-    candidates = left.join(right, "chunk").filter(near).select("train_record", "eval_record").distinct()
-    wanted = settle(candidates, "candidates")
-    needed = wanted.select(F.col("train_record").alias("record")).union(wanted.select("eval_record")).distinct()
-    texts = settle(told.join(needed, "record", "left_semi").groupBy("record").agg(F.first("words").alias("words")), "words")
+    held = chunk_rows(records).join(records.select("record", "train", "eval", "n_words"), "record")
+    shared = held.groupBy("chunk").agg(F.max("train").alias("t"), F.max("eval").alias("e")).filter("t and e").select("chunk")
+    fractions = held.join(shared, "chunk", "left_semi").groupBy("record").agg((F.sum("length") / F.max("n_words")).alias("fraction"))
+    wanted = settle(candidates(records, frequent_pairs(records, records.count()), same), "candidates")
+    texts = records.select("record", "words")
     paired = wanted.join(texts.select(F.col("record").alias("train_record"), F.col("words").alias("a")), "train_record").join(
         texts.select(F.col("record").alias("eval_record"), F.col("words").alias("b")), "eval_record"
     )
@@ -205,7 +287,7 @@ def cross_split(pages: DataFrame, least: float = LEAST, same: float = SAME) -> t
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     near_links = paired.select("train_record", "eval_record", "a", "b").mapInArrow(judge, "train_record bigint, eval_record bigint")
-    equal = sides.filter("in_train and in_eval and n_words > 0").select(F.col("record").alias("train_record"), F.col("record").alias("eval_record"))
+    equal = records.filter("train and eval and n_words > 0").select(F.col("record").alias("train_record"), F.col("record").alias("eval_record"))
     return members, fractions, near_links.unionByName(equal)
 
 

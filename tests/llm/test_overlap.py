@@ -67,6 +67,29 @@ def test_found_agrees_with_all_pairs(spark, tables):
     assert got == want and len(want) > 700
 
 
+def test_evenly_spread_changes_are_found(spark, tables):
+    rng = random.Random(5)
+    rows, want = [], set()
+    for k in range(60):
+        n = rng.randint(40, 160)
+        base = [f"w{k}x{i}" if rng.random() < 0.5 else f"oft{rng.randint(0, 50)}" for i in range(n)]
+        other = list(base)
+        step = 5 if k % 3 else 6
+        for i in range(k % 5 % step, n, step):
+            other[i] = f"neu{k}x{i}"
+        if k % 4 == 0:  # left out instead, on differing places of both
+            base = [w for i, w in enumerate(base) if i % 12 != 3]
+            other = [w for i, w in enumerate(other) if i % 12 != 9]
+        rows += [(f"a{k}", "train", " ".join(base), "x", "x"), (f"b{k}", "test", " ".join(other), "x", "x")]
+        if 5 * lcs(base, other) >= 4 * max(len(base), len(other)):
+            want.add((f"a{k}", f"b{k}"))
+    assert len(want) > 30
+    frame = spark.createDataFrame(rows, FIELDS)
+    d = tables(pages=frame, documents=spark.createDataFrame([("p", "s")], "document_id string, source string"))
+    long = {r[0] for r in rows if len(r[2]) >= 200}
+    assert {(r.page_id_a, r.page_id_b) for r in O.p6_found(spark, d).collect()} == {w for w in want if set(w) <= long}
+
+
 def test_report_counts(spark, tables):
     text = " ".join(f"söz{i}" for i in range(60))
     rows = [("a_page_0001", "train", text, "x", "x"), ("b_page_0001", "test", text, "x", "x"), ("c_page_0001", "test", " ".join(f"başka{i}" for i in range(60)), "x", "x")]
