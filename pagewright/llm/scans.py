@@ -2,7 +2,8 @@
 
 The tokens of all pages, divided words joined, give a vocabulary trie. An unknown token is intersected with it under an edit
 automaton whose cheap edits are the ways a reader machine takes one letter for other characters; every vocabulary
-word within the bound is a candidate, ranked by cost, by the language of the page and by frequency. Page furniture
+word within the bound is a candidate, ranked by cost, by the language of the page and by frequency. What is left without one is
+joined with the counts of all tokens on every word it may be a misreading of. Page furniture
 is told by place, shape, the titles and authors of the volume and by its return on other pages; what is left is reflowed.
 """
 
@@ -21,7 +22,7 @@ from pagewright.llm import glyphs
 from pagewright.llm.languages import CODES, Machines, bare, decide, grams, trained
 from pagewright.llm.residue import kind_of
 from pagewright.llm.trie import Trie, weighted
-from pagewright.llm.vocabulary import frequent, token_table
+from pagewright.llm.vocabulary import LEAST, settled_frequent, token_table
 from pagewright.sources.tables import settle, table
 
 # Letters and what scanning software reads in their place.
@@ -93,7 +94,7 @@ class Words:
     def __init__(self, counted: list[tuple[str, int]], floor: int | None = None, tags: dict[str, int] | None = None):
         known: dict[str, tuple[int, str, int]] = {}
         for surface, n in counted:
-            if _LETTERS.search(surface) and not re.search(r"[\d@†§|!$£¥&#%_\\^`]", surface) and not _mixed(surface):
+            if is_plain(surface):
                 w = fold_i(surface)
                 total, best, most = known.get(w, (0, surface, 0))
                 known[w] = (total + n, surface if n > most else best, max(n, most))
@@ -140,6 +141,28 @@ class Words:
         return not (right in ("i", "ı", "yi", "yı") or len(left) > 3 and len(right) > 3 and fold_i(left) in self.known and fold_i(right) in self.known)
 
 
+def is_plain(word: str) -> bool:
+    """Whether a token can be a word: letters of one alphabet and no sign that stands for a letter."""
+    return bool(_LETTERS.search(word)) and not re.search(r"[\d@†§|!$£¥&#%_\\^`]", word) and not _mixed(word)
+
+
+def sources_of(token: str) -> set[str]:
+    """Every plain word the automaton takes a folded token for, other than itself."""
+    out, seen = set(), {}
+    stack = [(0, "", 0)]
+    while stack:
+        i, made, cost = stack.pop()
+        if seen.get((i, made), BOUND + 1) <= cost:
+            continue
+        seen[i, made] = cost
+        if i == len(token):
+            if made != token and is_plain(made):
+                out.add(made)
+            continue
+        stack += [(i + used, made + text, cost + extra) for used, text, extra in confusion_edits(token, i) if cost + extra <= BOUND]
+    return out
+
+
 def _mixed(word: str) -> bool:
     return bool(re.search(r"[ء-ي]", word)) and bool(re.search(r"[a-z]", word))
 
@@ -250,48 +273,52 @@ def titled(line: str) -> bool:
 def page_notes(pages: DataFrame, words: Words) -> DataFrame:
     """What one look at each page tells.
 
-    ``page_id, document_id, line_hyphen, misread, edges array<struct<place, foot, text, number, styled, sentence, misread>>``: ``misread`` of the
-    page counts words of lines between the edges, each edge line tells of its own; ``place`` counts lines with text from the
+    ``page_id, document_id, line_hyphen, misread, unsure, edges array<struct<place, foot, text, number, styled, sentence, misread, unsure>>``:
+    ``misread`` and ``unsure`` (unknown words without a candidate) of the page tell of lines between the edges, each edge line tells of its own; ``place`` counts lines with text from the
     head (0, 1, …) and ``foot`` from the foot (-1, -2, …). Null and empty texts give false and no edges.
     """
     held = pages.sparkSession.sparkContext.broadcast(words)
-    kind = pa.list_(pa.struct([("place", pa.int32()), ("foot", pa.int32()), ("text", pa.string()), ("number", pa.bool_()), ("styled", pa.bool_()), ("sentence", pa.bool_()), ("misread", pa.bool_())]))
+    kind = pa.list_(pa.struct([("place", pa.int32()), ("foot", pa.int32()), ("text", pa.string()), ("number", pa.bool_()), ("styled", pa.bool_()), ("sentence", pa.bool_()), ("misread", pa.bool_()), ("unsure", pa.list_(pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
         for b in batches:
-            hyphens, misreads, edges = [], [], []
+            hyphens, misreads, unsure, edges = [], [], [], []
             for raw in b.column(2).to_pylist():
-                h, m, e = note(raw or "", known)
+                h, m, u, e = note(raw or "", known)
                 hyphens.append(h)
                 misreads.append(m)
+                unsure.append(u)
                 edges.append(e)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(hyphens, pa.bool_()), pa.array(misreads, pa.bool_()), pa.array(edges, kind)],
-                names=["page_id", "document_id", "line_hyphen", "misread", "edges"],
+                [b.column(0), b.column(1), pa.array(hyphens, pa.bool_()), pa.array(misreads, pa.bool_()), pa.array(unsure, pa.list_(pa.string())), pa.array(edges, kind)],
+                names=["page_id", "document_id", "line_hyphen", "misread", "unsure", "edges"],
             )
 
     return pages.select("page_id", "document_id", "raw_text").mapInArrow(
         run,
-        "page_id string, document_id string, line_hyphen boolean, misread boolean, edges array<struct<place: int, foot: int, text: string, number: boolean, styled: boolean, sentence: boolean, misread: boolean>>",
+        "page_id string, document_id string, line_hyphen boolean, misread boolean, unsure array<string>, edges array<struct<place: int, foot: int, text: string, number: boolean, styled: boolean, sentence: boolean, misread: boolean, unsure: array<string>>>",
     )
 
 
-def any_misread(text: str, words: Words) -> bool:
-    """Whether a lower-case stretch of running text holds a misread word."""
-    known = words.known
+def any_misread(text: str, words: Words, unsure: set[str]) -> bool:
+    """Whether a lower-case stretch of running text holds a misread word; unknown words without a candidate are put into ``unsure``."""
+    known, found = words.known, False
     for t in _TOKEN.findall(text):
         w = t.strip("-'’*_").replace("ı", "i")
-        if w not in known and len(w) > 1 and words.candidates(w) is not None:
-            return True
-    return False
+        if w not in known and len(w) > 1:
+            told = words.candidates(w)
+            found = found or told is not None
+            if not told and len(w) <= 64:
+                unsure.add(w)
+    return found
 
 
-def note(raw: str, words: Words) -> tuple[bool, bool, list[dict]]:
-    """(divided word, misread between the edges, edge lines) of one page."""
+def note(raw: str, words: Words) -> tuple[bool, bool, list[str], list[dict]]:
+    """(divided word, misread between the edges, unknown words there without a candidate, edge lines) of one page."""
     shown = glyphs.seen(MODEL_TOKENS.sub("", raw))
     if not shown.strip():
-        return False, False, []
+        return False, False, [], []
     small = lower(shown)
     hyphen = any(words.divided(m[1], m[2], m[3]) for m in DIVIDED.finditer(small) if not is_page_number(small[m.start(3) :].split("\n", 1)[0]))
     lines = shown.split("\n")
@@ -308,14 +335,18 @@ def note(raw: str, words: Words) -> tuple[bool, bool, list[dict]]:
         if number or own or (not sentence and short):
             skip.add(i)
             place = full.index(i)
+            left: set[str] = set()
+            wrong = False if number else any_misread(lower(t), words, left)
             edges.append(
                 {
                     "place": place, "foot": place - len(full), "text": t if short else t[:200], "number": number, "styled": own, "sentence": sentence,
-                    "misread": False if number else any_misread(lower(t), words),
+                    "misread": wrong, "unsure": sorted(left),
                 }
             )
     body = "\n".join("" if i in skip else t for i, t in enumerate(lines))
-    return hyphen, any_misread(DIVIDED.sub(_join, lower(body)), words), edges
+    unsure: set[str] = set()
+    wrong = any_misread(DIVIDED.sub(_join, lower(body)), words, unsure)
+    return hyphen, wrong, sorted(unsure), edges
 
 
 def decide_furniture(edges: list[dict], names: list[str], back: set[str]) -> list[tuple[bool, bool]]:
@@ -352,7 +383,35 @@ def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("document_id", F.array("display_title", "pdf_title", "work").alias("titles"), F.array("author").alias("authors"), "filename").dropDuplicates(["document_id"])
 
 
-def judge_edges(notes: DataFrame, books: DataFrame) -> DataFrame:
+def second_look(notes: DataFrame, counts: DataFrame, words: Words) -> DataFrame:
+    """``page_id, mends array<struct<token, word>>``: unknown words of pages without a candidate in the vocabulary that are misreadings of rarer ones.
+
+    Of all tokens counted, a folded word that occurs LEAST times and RATIO times as often as the unknown one, and is no misreading
+    itself, is a source; the most frequent one is taken. Joined by word, so the counts need not fit anywhere.
+    """
+    folded = counts.groupBy(F.translate("token", "ı", "i").alias("word")).agg(F.sum("n").alias("n"), F.max_by("token", F.struct("n", "token")).alias("surface"))
+    held = notes.sparkSession.sparkContext.broadcast(words)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [(t, n, w) for t, n in zip(*(c.to_pylist() for c in b.columns)) for w in sources_of(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], k) for i, k in enumerate((pa.string(), pa.int64(), pa.string()))], names=["token", "own", "word"])
+
+    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([w in held.value.known or held.value.candidates(w) is None for w in b.column(1).to_pylist()], pa.bool_()))
+
+    each = settle(notes.select("page_id", F.explode(F.array_distinct(F.concat("unsure", F.flatten("edges.unsure")))).alias("token")), "unsure")
+    # what is never counted as a token is the part of a word divided at an edge line, and what holds no letter a number
+    tokens = each.select("token").distinct().filter(F.col("token").rlike(r"\p{L}")).withColumn("word", F.expr("trim(BOTH '|' FROM token)"))
+    own = tokens.join(folded, "word").select("token", F.col("n").alias("own"))
+    reached = own.mapInArrow(spread, "token string, own bigint, word string").join(folded.filter(F.col("n") >= LEAST), "word").filter(F.col("n") >= RATIO * F.col("own"))
+    sound = reached.select("token", "word", "surface", "n").mapInArrow(right, "token string, word string, surface string, n bigint")
+    best = sound.groupBy("token").agg(F.max_by(F.struct("word", "surface"), F.struct("n", "word")).alias("s"))
+    return each.join(best, "token").groupBy("page_id").agg(F.collect_list(F.struct("token", F.col("s.surface").alias("word"))).alias("mends"))
+
+
+def judge_edges(notes: DataFrame, books: DataFrame, mends: DataFrame) -> DataFrame:
     """Notes with ``running_header, page_number, misread`` of each page and ``furniture``, the places of furniture lines.
 
     Edge lines are short; the text of pages is not moved. A line returns when its letters stand at the edge of two or more
@@ -369,7 +428,7 @@ def judge_edges(notes: DataFrame, books: DataFrame) -> DataFrame:
         .groupBy("document_id")
         .agg(F.collect_list("text").alias("back"))
     )
-    joined = notes.join(books, "document_id", "left").join(back, "document_id", "left")
+    joined = notes.join(books, "document_id", "left").join(back, "document_id", "left").join(mends, "page_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -379,20 +438,21 @@ def judge_edges(notes: DataFrame, books: DataFrame) -> DataFrame:
                 found = decide_furniture(edges, names_of(r["titles"] or [], r["authors"] or [], r["filename"]), {title_key(t) for t in r["back"] or []}) if edges else []
                 header.append(any(f[0] for f in found))
                 number.append(any(f[1] for f in found))
-                misread.append(bool(r["misread"]) or any(e["misread"] for e, f in zip(edges, found) if not any(f)))
+                rare = {m["token"] for m in r["mends"] or []}
+                misread.append(bool(r["misread"]) or not rare.isdisjoint(r["unsure"] or []) or any(e["misread"] or not rare.isdisjoint(e["unsure"]) for e, f in zip(edges, found) if not any(f)))
                 places.append([e["place"] for e, f in zip(edges, found) if any(f)])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(header, pa.bool_()), pa.array(number, pa.bool_()), pa.array(misread, pa.bool_()), pa.array(places, pa.list_(pa.int32()))],
                 names=["page_id", "line_hyphen", "running_header", "page_number", "misread", "furniture"],
             )
 
-    return joined.select("page_id", "line_hyphen", "misread", "edges", "titles", "authors", "filename", "back").mapInArrow(
+    return joined.select("page_id", "line_hyphen", "misread", "edges", "titles", "authors", "filename", "back", "unsure", "mends").mapInArrow(
         run, "page_id string, line_hyphen boolean, running_header boolean, page_number boolean, misread boolean, furniture array<int>"
     )
 
 
-def repair(raw: str, furniture: list[int], words: Words) -> tuple[str, int, int]:
-    """(continuous paragraphs, words joined, words repaired) of one page, the furniture at the given places left out."""
+def repair(raw: str, furniture: list[int], words: Words, mends: dict[str, str] | None = None) -> tuple[str, int, int]:
+    """(continuous paragraphs, words joined, words repaired) of one page, the furniture at the given places left out; ``mends``: token -> rare word."""
     lines = glyphs.seen(MODEL_TOKENS.sub("", raw)).split("\n")
     full = [i for i, t in enumerate(lines) if t.strip()]
     out = {full[p] for p in furniture if -len(full) <= p < len(full)}
@@ -422,10 +482,13 @@ def repair(raw: str, furniture: list[int], words: Words) -> tuple[str, int, int]
         if len(small) < 2 or fold_i(small) in words.known:
             return m[0]
         found = words.candidates(small)
-        if not found:
+        if found:
+            best = min(range(len(found)), key=lambda k: (words.tags.get(found[k], main) != main, k))
+            word = words.known[found[best]][1]
+        elif mends and fold_i(small) in mends:
+            word = mends[fold_i(small)]
+        else:
             return m[0]
-        best = min(range(len(found)), key=lambda k: (words.tags.get(found[k], main) != main, k))
-        word = words.known[found[best]][1]
         repaired += 1
         if core[:1].isupper():
             word = ("İ" if word[0] == "i" and main in (CODES.index("tr"), CODES.index("ota-latn")) else "I" if word[0] == "ı" else word[0].upper()) + word[1:]
@@ -436,10 +499,10 @@ def repair(raw: str, furniture: list[int], words: Words) -> tuple[str, int, int]
     return "\n\n".join(p for p in paragraphs if p), joined, repaired
 
 
-def vocabulary(pages: DataFrame) -> tuple[list[tuple[str, int]], int]:
-    """The frequent tokens of all raw pages and the least count among them."""
-    counted = frequent(token_table(pages, "raw_text", surface_tokens))
-    return counted, min((n for _, n in counted), default=1)
+def vocabulary(pages: DataFrame) -> tuple[list[tuple[str, int]], int, DataFrame]:
+    """The frequent tokens of all raw pages, the least count among them, and the counts of all tokens."""
+    counted, counts = settled_frequent(token_table(pages, "raw_text", surface_tokens))
+    return counted, min((n for _, n in counted), default=1), counts
 
 
 def language_tags(words: Words, model: Machines) -> dict[str, int]:
@@ -451,11 +514,12 @@ def language_tags(words: Words, model: Machines) -> dict[str, int]:
     return {k: int(n) for k, n in zip(keys, decide(margins, model.slope)[0])}
 
 
-def _notes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Words]:
+def _notes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Words, DataFrame]:
     pages = table(spark, sf_dir, "pages", "page_id", "document_id", "raw_text").filter("page_id is not null")
-    counted, floor = vocabulary(pages)
+    counted, floor, counts = vocabulary(pages)
     words = Words(counted, floor)
-    return settle(page_notes(pages, words).dropDuplicates(["page_id"]), "notes"), words
+    notes = settle(page_notes(pages, words).dropDuplicates(["page_id"]), "notes")
+    return notes, words, settle(second_look(notes, counts, words), "mends")
 
 
 # ---------------------------------------------------------------- queries
@@ -463,26 +527,26 @@ def _notes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Words]:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each page and kind of defect in its raw_text."""
-    notes, _ = _notes(spark, sf_dir)
-    each = judge_edges(notes, volumes(spark, sf_dir))
+    notes, _, mends = _notes(spark, sf_dir)
+    each = judge_edges(notes, volumes(spark, sf_dir), mends)
     kinds = ["line_hyphen", "misread", "running_header", "page_number"]
     return each.select("page_id", F.explode(F.filter(F.array(*[F.when(F.col(k), F.lit(k)) for k in kinds]), lambda x: x.isNotNull())).alias("defect")).distinct()
 
 
 def p1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as continuous paragraphs: ``page_id, text, joined, repaired, furniture_lines``."""
-    notes, words = _notes(spark, sf_dir)
+    notes, words, mends = _notes(spark, sf_dir)
     words.tags = language_tags(words, trained(table(spark, sf_dir, "documents", "doc_id", "language", "text")))
-    places = judge_edges(notes, volumes(spark, sf_dir)).select("page_id", "furniture")
+    places = judge_edges(notes, volumes(spark, sf_dir), mends).select("page_id", "furniture")
     pages = table(spark, sf_dir, "pages", "page_id", "raw_text").filter("page_id is not null").dropDuplicates(["page_id"])
     held = spark.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [repair(t or "", f or [], held.value) for t, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            done = [repair(t or "", f or [], held.value, {x["token"]: x["word"] for x in m or []}) for t, f, m in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.int32()), pa.array([len(f or []) for f in b.column(2).to_pylist()], pa.int32())],
                 names=["page_id", "text", "joined", "repaired", "furniture_lines"],
             )
 
-    return pages.join(places, "page_id").select("page_id", "raw_text", "furniture").mapInArrow(run, "page_id string, text string, joined int, repaired int, furniture_lines int")
+    return pages.join(places, "page_id").join(mends, "page_id", "left").select("page_id", "raw_text", "furniture", "mends").mapInArrow(run, "page_id string, text string, joined int, repaired int, furniture_lines int")

@@ -13,6 +13,8 @@ from pagewright.sources.tables import settle
 
 #: A vocabulary word makes up at least this share of all tokens, so there are at most 1 / SHARE of them.
 SHARE = 2e-6
+#: A word occurs at least so often.
+LEAST = 4
 #: Distinct tokens a worker holds before it hands its counts on.
 HELD = 200_000
 
@@ -43,9 +45,14 @@ def token_table(df: DataFrame, text: str, cut: Callable[[str], list[str]], longe
     return df.select(text).mapInArrow(run, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def frequent(counts: DataFrame, share: float = SHARE, least: int = 4) -> list[tuple[str, int]]:
+def frequent(counts: DataFrame, share: float = SHARE, least: int = LEAST) -> list[tuple[str, int]]:
     """Tokens that make up at least ``share`` of all, with their counts: at most 1 / share of them by definition."""
+    return settled_frequent(counts, share, least)[0]
+
+
+def settled_frequent(counts: DataFrame, share: float = SHARE, least: int = LEAST) -> tuple[list[tuple[str, int]], DataFrame]:
+    """The same, and the table of all counts it was taken from."""
     counts = settle(counts, "tokens")
     total = counts.agg(F.sum("n")).first()[0] or 0
     floor = max(least, int(share * total))
-    return [(r[0], r[1]) for r in counts.filter(F.col("n") >= floor).collect()]
+    return [(r[0], r[1]) for r in counts.filter(F.col("n") >= floor).collect()], counts

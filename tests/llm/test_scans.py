@@ -127,3 +127,28 @@ def test_frequent_misreading_is_no_word():
     words = S.Words([("yağmur", 1000), ("yağrnur", 9), ("cümle", 30), ("eümle", 29)], floor=1)
     assert "yağrnur" not in words.known and {"yağmur", "cümle", "eümle"} <= set(words.known)
     assert words.candidates("yağrnur") == ("yağmur",) and words.candidates("yağmur") is None
+
+
+def test_sources_are_all_the_automaton_reaches():
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choice("einrmcldhuko") for _ in range(rng.randint(2, 5))) for _ in range(3000)})
+    trie = Trie((w, 1) for w in words)
+    for token in rng.sample(words, 40) + ["ba1ıkçı".replace("ı", "i"), "yagrnnur"]:
+        reached = {trie.words[k] for k, c in weighted(trie, token, S.confusion_edits, S.BOUND).items() if c} - {token}
+        assert reached == S.sources_of(token) & set(words)
+
+
+def test_misreading_of_a_rare_word_is_found(spark, tables, turkish):
+    rng = random.Random(6)
+    rows = [(f"p{i}", "d", "\n".join(lines_of(turkish, rng)) + ("\nzümrüdüanka geldi." if i < 5 else "\ngemi."), "x") for i in range(40)]
+    rows += [("wrong", "d", rows[9][2] + "\nve züinrüdüanka ile zürnrüdüanka geldi.\n" + rows[8][2], "x"), ("other", "d", rows[9][2] + "\nzümrütoğlu geldi.\n" + rows[8][2], "x")]
+    d = tables(pages=spark.createDataFrame(rows, FIELDS), documents=spark.createDataFrame([("d", "Kitap Adı", None, None, "Ali Veli", "k.pdf", "x")], BOOKS).selectExpr("*", "1L AS doc_id", "'tr' AS language", "'' AS text"))
+    assert {r.page_id for r in S.p1_found(spark, d).collect() if r.defect == "misread"} == {"wrong"}
+    # five occurrences are too few for the vocabulary, which asks for RATIO times its least count
+    pages = spark.read.parquet(d + "/pages.parquet")
+    counted, floor, _ = S.vocabulary(pages)
+    assert not S.Words(counted, floor).candidates("zürnrüdüanka")
+    notes, words, mends = S._notes(spark, d)
+    held = {r.page_id: {m.token: m.word for m in r.mends} for r in mends.collect()}
+    assert held == {"wrong": {"zürnrüdüanka": "zümrüdüanka"}}
+    assert "ile zümrüdüanka geldi." in S.repair(rows[-2][2], [], words, held["wrong"])[0]
