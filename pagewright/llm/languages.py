@@ -328,6 +328,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     # where no piece is a whole paragraph, the language of the pieces together stands
     found = found.withColumn("languages", F.when(F.size("languages") > 0, F.col("languages")).otherwise(F.array("language")))
     labels = wanted.select("doc_id", language_set(F.col("language")).alias("named")).dropDuplicates(["doc_id"])
-    residue = residue_documents(wanted).filter("is_residue").select("doc_id")
+    # a response may return mostly in documents too short to be wanted
+    residue = residue_documents(documents).filter("is_residue").select("doc_id")
     wrong = found.join(labels, "doc_id").filter((F.size("languages") > 0) & (F.col("languages") != F.col("named")))
     return wrong.join(residue, "doc_id", "left_anti").select("doc_id", F.explode("languages").alias("language"))

@@ -109,6 +109,23 @@ def test_found(spark, tables):
     assert {r.language for r in G.p4_segments(spark, d).filter(f"doc_id = {mixed}").collect()} <= {"ar", "tr"}
 
 
+def test_responses_of_short_documents_count(spark, tables):
+    rng = random.Random(6)
+    rows = []
+    for c in ALPHABETS:
+        for _ in range(12):
+            text = "\n\n".join(paragraph(c, rng) for _ in range(3))
+            rows.append((len(rows), c, text, len(text), "s", "f.pdf", "t", None, None, "x", 1))
+    line = "This page of the harbour ledger rests behind the window glass {}"
+    short = [(900 + i, "de", line.format(i), 70, "s", f"k{i}.pdf", f"Kitap {i}", None, None, "x", 1) for i in range(6)]
+    text = "\n".join(line.format(i) for i in range(6))
+    long = (990, "de", text, len(text), "s", "uzun.pdf", "Uzun", None, None, "x", 1)
+    got = {r.doc_id for r in G.p4_found(spark, tables(documents=spark.createDataFrame([*rows, long], FIELDS))).collect()}
+    assert 990 in got
+    got = {r.doc_id for r in G.p4_found(spark, tables(documents=spark.createDataFrame([*rows, long, *short], FIELDS))).collect()}
+    assert 990 not in got
+
+
 def test_empty(spark, tables):
     d = tables(documents=spark.createDataFrame([], FIELDS))
     assert G.p4_found(spark, d).count() == 0 and G.p4_documents(spark, d).count() == 0
