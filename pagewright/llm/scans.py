@@ -1,28 +1,29 @@
 """Noise in text from scanned pages (problem 1).
 
-The tokens of all pages, divided words joined, give a vocabulary trie. An unknown token is intersected with it under an edit
-automaton whose cheap edits are the ways a reader machine takes one letter for other characters; every vocabulary
-word within the bound is a candidate, ranked by cost, by the language of the page and by frequency. What is left without one is
-joined with the counts of all tokens on every word it may be a misreading of. Page furniture
-is told by place, shape, the titles and authors of the volume and by its return on other pages; what is left is reflowed.
+The tokens of all pages, divided words joined, give a vocabulary trie. Every distinct token that is no word is intersected with it once,
+under a weighted Levenshtein automaton: letters that a reader machine takes for other characters are cheap edits, any other
+substitution, insertion or deletion a dear one. Every vocabulary word within the bound is a candidate. Candidates are ranked by cost, by
+how often they stand beside the neighbouring words anywhere in the corpus, and by frequency; a word that only a dear edit reaches
+counts as misread only where its neighbours speak for it. Tokens left without a candidate are joined with the counts of all
+tokens on every word they may be a cheap misreading of. Page furniture is told by place, shape, the titles and authors of the volume
+and by its return on other pages; what is left is reflowed.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.fold import py_fold
 from pagewright.llm import glyphs
-from pagewright.llm.languages import CODES, Machines, bare, decide, grams, trained
+from pagewright.llm.inputs import Once
 from pagewright.llm.residue import kind_of
 from pagewright.llm.trie import Trie, weighted
-from pagewright.llm.vocabulary import LEAST, settled_frequent, token_table
+from pagewright.llm.vocabulary import LEAST, floor_of, pair_key, token_and_pair_table
 from pagewright.sources.tables import settle, table
 
 # Letters and what scanning software reads in their place.
@@ -36,11 +37,24 @@ _BY_OUTPUT: dict[str, list[tuple[str, str]]] = {}
 for _letter, _outs in CONFUSIONS.items():
     for _o in _outs:
         _BY_OUTPUT.setdefault(_o[0], []).append((_o, _letter.lower()))
-#: Edits a misread word may hold.
+#: Costs of a confusion and of any other edit, and the cost that two confusions have: no plain edit is among what costs less.
+CONFUSION, PLAIN, SOUND = 2, 5, 4
+#: Letters from which on a token may hold a plain edit, and a confusion besides.
+ONE_PLAIN, ONE_MORE = 4, 8
+#: Confusions a misread word may hold where only confusions are tried.
 BOUND = 2
 #: A vocabulary word is this much more frequent than its misreadings.
 RATIO = 3
 CLEAN_RATIO = 20
+#: A word that only a plain edit reaches must stand at least so often beside the neighbours of the misread one.
+NEAR = 2
+#: Lines at the head, and at the foot, that may be furniture.
+EDGE = 3
+#: A token of more characters is no word of any language; it is neither counted nor judged.
+LONGEST = 64
+# Letters of Arabic script that differ in their dots only.
+_SKELETONS = ("بتثپن", "جحخچ", "دذ", "رزژ", "سش", "صض", "طظ", "عغ", "فق", "کكگ", "یيى")
+_DOTLESS = str.maketrans({ch: group[0] for group in _SKELETONS for ch in group})
 
 MODEL_TOKENS = re.compile(r"<\|ref\|>.*?<\|/ref\|>(?:\s*<\|det\|>\[\[.*?\]\]<\|/det\|>)?|<\|det\|>.*?<\|/det\|>|<\|/?[A-Za-z_]+\|>", re.S)
 _SIGNS = "-‐‑\xad¬=–~⸗"
@@ -49,6 +63,7 @@ _TOKEN = re.compile(r"[^\s.,;:?!()\[\]«»\"“”…،؛؟—/<>{}%~=¬]+")
 _SYMBOL = re.compile(r"[0-9@†§|!$£¥&#]|[a-z](?=[ء-ي])|(?<=[ء-ي])[a-z]")
 _LETTERS = re.compile(r"[^\W\d_]")
 _HEX = re.compile(r"[0-9a-f]{6,}")
+_PARTS = re.compile(r"\s/\s|\s\|\s|\s[—–·•]\s|\s{3,}")
 _SENTENCE_END = re.compile(r"[^\W\d_]{3}[,\"'»”’)]*[.?!;؟؛…]\s*$")
 
 # Numbers as pages print them, words that stand before them, and words of chapter headings.
@@ -63,6 +78,12 @@ def lower(text: str) -> str:
     return text.replace("İ", "i").lower()
 
 
+def bare(token: str) -> str:
+    """A token without the signs around it; a bar may be a letter misread, and goes only where it stands on both sides."""
+    token = token.strip("-'’*_")
+    return token.strip("|") if token[:1] == "|" == token[-1:] else token
+
+
 def fold_i(word: str) -> str:
     """Dotless i counts as i, since capitals do not tell them apart."""
     return word.replace("ı", "i")
@@ -71,7 +92,7 @@ def fold_i(word: str) -> str:
 def surface_tokens(raw: str) -> list[str]:
     """Lower-case tokens of a raw page as the vocabulary counts them: markers of the model dropped, divided words joined."""
     text = lower(glyphs.seen(MODEL_TOKENS.sub(" ", raw)))
-    return [t.strip("-'’|*_") for t in _TOKEN.findall(DIVIDED.sub(_join, text))]
+    return [w for t in _TOKEN.findall(DIVIDED.sub(_join, text)) if (w := bare(t))]
 
 
 def _join(m: re.Match) -> str:
@@ -88,47 +109,70 @@ def confusion_edits(token: str, i: int):
                 yield len(seen), letter, 1
 
 
+def scan_edits(token: str, i: int):
+    """The same with plain edits beside it: any letter for any other, left out or put in."""
+    for used, text, cost in confusion_edits(token, i):
+        yield used, text, CONFUSION * cost
+    if i < len(token):
+        yield 1, None, PLAIN
+        yield 1, "", PLAIN
+    yield 0, None, PLAIN
+
+
+def bound_of(token: str) -> int:
+    """The greatest cost of a candidate: two confusions, from ONE_PLAIN letters on one plain edit, from ONE_MORE on with a confusion."""
+    n = len(token)
+    return SOUND if n < ONE_PLAIN else PLAIN if n < ONE_MORE else PLAIN + CONFUSION
+
+
+def skeleton(word: str) -> str:
+    """A word without accents and dots: where these are all that differs, it is a spelling and no misreading."""
+    return py_fold(word).translate(_DOTLESS)
+
+
+class Lexicon:
+    """The vocabulary in a worker: its trie, and candidates of tokens."""
+
+    def __init__(self, known: dict[str, tuple[int, str]]):
+        self.known = known
+        self.trie = Trie((w, n) for w, (n, _) in known.items())
+
+    def near(self, token: str, plain: bool = True) -> list[tuple[str, int]]:
+        """(word, cost) of every vocabulary word within the bound, but the token itself."""
+        if plain:
+            reached = weighted(self.trie, token, scan_edits, bound_of(token), CONFUSION)
+        else:
+            reached = {k: CONFUSION * c for k, c in weighted(self.trie, token, confusion_edits, BOUND).items()}
+        words = self.trie.words
+        found = [(words[k], c) for k, c in reached.items() if words[k] != token]
+        if any(c > SOUND for _, c in found):
+            bones = skeleton(token)
+            found = [(w, c) for w, c in found if c <= SOUND or skeleton(w) != bones]
+        return found
+
+
 class Words:
-    """The vocabulary: folded word -> (count, most frequent surface), its trie, and what is known of unknown tokens."""
+    """The vocabulary: folded word -> (count, most frequent surface), and what is known of frequent tokens that are no words.
+
+    ``told`` holds tokens as frequent as words: the word each is a misreading of, or None where it is none.
+    """
 
-    def __init__(self, counted: list[tuple[str, int]], floor: int | None = None, tags: dict[str, int] | None = None):
+    def __init__(self, counted: list[tuple[str, int]], floor: int | None = None):
         known: dict[str, tuple[int, str, int]] = {}
         for surface, n in counted:
             if is_plain(surface):
                 w = fold_i(surface)
                 total, best, most = known.get(w, (0, surface, 0))
                 known[w] = (total + n, surface if n > most else best, max(n, most))
-        self.floor = floor if floor is not None else min((n for n, _, _ in known.values()), default=1)
-        trie = Trie((w, n) for w, (n, _, _) in known.items())
-        # a frequent misreading of a far more frequent word is no word
-        wrong = set()
-        for w, (n, _, _) in known.items():
-            reached = weighted(trie, w, confusion_edits, BOUND)
-            if any(trie.weight[k] >= CLEAN_RATIO * n for k, c in reached.items() if c):
-                wrong.add(w)
-        self.known = {w: (n, s) for w, (n, s, _) in known.items() if w not in wrong}
-        self.trie = Trie((w, n) for w, (n, _) in self.known.items())
-        self.tags = tags or {}
-        self.memo: dict[str, tuple[str, ...] | None] = {}
-
-    def candidates(self, token: str) -> tuple[str, ...] | None:
-        """Folded vocabulary words a lower-case token may be a misreading of, cheapest and most frequent first; None: it is a word or cannot be told."""
-        w = fold_i(token)
-        if w in self.known:
-            return None
-        if w in self.memo:
-            return self.memo[w]
-        reached = weighted(self.trie, w, confusion_edits, BOUND) if 2 <= len(w) <= 64 else {}
-        strong = sorted(
-            ((c, -self.trie.weight[k], self.trie.words[k]) for k, c in reached.items() if c and self.trie.weight[k] >= RATIO * self.floor),
-        )
-        out: tuple[str, ...] | None = tuple(v for _, _, v in strong) or None
-        if out is None and looks_misread(token):
-            out = ()
-        if len(self.memo) > 300_000:
-            self.memo.clear()
-        self.memo[w] = out
-        return out
+        self.known = {w: (n, s) for w, (n, s, _) in known.items()}
+        self.floor = floor if floor is not None else min((n for n, _ in self.known.values()), default=1)
+        self.told: dict[str, str | None] = {w: None for w in map(fold_i, (c[0] for c in counted)) if w not in self.known}
+
+    def drop(self, wrong: Iterable[str]) -> None:
+        """Take frequent misreadings of far more frequent words out of the vocabulary."""
+        for w in wrong:
+            if self.known.pop(w, None):
+                self.told[w] = None
 
     def divided(self, left: str, sign: str, right: str) -> bool:
         """Whether a word before and after a sign at a line end is one divided word, and no compound with its hyphen."""
@@ -176,9 +220,9 @@ def looks_misread(token: str) -> bool:
 
 
 def edge_lines(lines: list[str]) -> list[int]:
-    """Indices of up to three lines with text at the head and three at the foot."""
+    """Indices of up to EDGE lines with text at the head and as many at the foot."""
     full = [i for i, t in enumerate(lines) if t.strip()]
-    return sorted({*full[:3], *full[-3:]})
+    return sorted({*full[:EDGE], *full[-EDGE:]})
 
 
 def is_page_number(line: str) -> bool:
@@ -242,13 +286,19 @@ def repeats_name(line: str, names: list[str]) -> bool:
                     return True
             if len(key) <= 1.25 * len(n):
                 return True
-    return any(len(p) >= 5 and any(_alike(p, n) for n in names) for p in map(title_key, re.split(r"\s/\s|\s\|\s|\s[—–·•]\s|\s{3,}", line)) if p != key)
+    return any(len(p) >= 5 and any(_alike(p, n) for n in names) for p in map(title_key, _PARTS.split(line)) if p != key)
+
+
+def may_name(line: str, longest: int) -> bool:
+    """Whether a line is short enough to hold a name of at most ``longest`` letters, as ``repeats_name`` judges lines."""
+    most = 1.6 * longest + 12
+    return len(line) <= most or len(title_key(line)) <= most or any(len(title_key(p)) <= 1.34 * longest for p in _PARTS.split(line)[1:])
 
 
 def styled(line: str) -> bool:
     """Whether a line is set like a running title: capitals, spaced letters, between signs, beside a number or author / title."""
     t = line.strip()
-    if not t or len(t) > 90 or HEADINGS.search(py_fold(t)) or _SENTENCE_END.search(t):
+    if not t or HEADINGS.search(py_fold(t)) or _SENTENCE_END.search(t):
         return False
     core = re.sub(r"^[\W\d]+|[\W\d]+$", "", t)
     if len(_LETTERS.findall(core)) < 5 or kind_of(t, py_fold(t)):
@@ -270,52 +320,52 @@ def titled(line: str) -> bool:
     return 0 < len(words) <= 8 and words[0][:1].isupper() and all(w[:1].isupper() for w in words if len(w) > 4)
 
 
-def page_notes(pages: DataFrame, words: Words) -> DataFrame:
-    """What one look at each page tells.
+UNSURE = "array<struct<token: string, left: string, right: string, name: boolean>>"
+EDGES = f"array<struct<place: int, foot: int, text: string, number: boolean, styled: boolean, sentence: boolean, misread: boolean, unsure: {UNSURE}>>"
 
-    ``page_id, document_id, line_hyphen, misread, unsure, edges array<struct<place, foot, text, number, styled, sentence, misread, unsure>>``:
-    ``misread`` and ``unsure`` (unknown words without a candidate) of the page tell of lines between the edges, each edge line tells of its own; ``place`` counts lines with text from the
-    head (0, 1, …) and ``foot`` from the foot (-1, -2, …). Null and empty texts give false and no edges.
+
+def page_notes(pages: DataFrame, words: Words, longest: int) -> DataFrame:
+    """What one look at each page tells: ``page_id, document_id, line_hyphen, misread, unsure, edges``.
+
+    ``misread`` (a token that no word can be) and ``unsure`` (rare unknown tokens with the tokens beside them) of the page tell of
+    lines between the edges, each edge line tells of its own; ``place`` counts lines with text from the head (0, 1, …) and ``foot`` from the
+    foot (-1, -2, …). ``longest``: letters of the longest title or author. Null and empty texts give false and no edges.
     """
     held = pages.sparkSession.sparkContext.broadcast(words)
-    kind = pa.list_(pa.struct([("place", pa.int32()), ("foot", pa.int32()), ("text", pa.string()), ("number", pa.bool_()), ("styled", pa.bool_()), ("sentence", pa.bool_()), ("misread", pa.bool_()), ("unsure", pa.list_(pa.string()))]))
+    unknown = pa.list_(pa.struct([*((k, pa.string()) for k in ("token", "left", "right")), ("name", pa.bool_())]))
+    kind = pa.list_(pa.struct([("place", pa.int32()), ("foot", pa.int32()), ("text", pa.string()), *((k, pa.bool_()) for k in ("number", "styled", "sentence", "misread")), ("unsure", unknown)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
         for b in batches:
-            hyphens, misreads, unsure, edges = [], [], [], []
-            for raw in b.column(2).to_pylist():
-                h, m, u, e = note(raw or "", known)
-                hyphens.append(h)
-                misreads.append(m)
-                unsure.append(u)
-                edges.append(e)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(hyphens, pa.bool_()), pa.array(misreads, pa.bool_()), pa.array(unsure, pa.list_(pa.string())), pa.array(edges, kind)],
-                names=["page_id", "document_id", "line_hyphen", "misread", "unsure", "edges"],
-            )
+            told = [note(raw or "", held.value, longest) for raw in b.column(2).to_pylist()]
+            columns = [pa.array([t[i] for t in told], k) for i, k in enumerate((pa.bool_(), pa.bool_(), unknown, kind))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["page_id", "document_id", "line_hyphen", "misread", "unsure", "edges"])
 
-    return pages.select("page_id", "document_id", "raw_text").mapInArrow(
-        run,
-        "page_id string, document_id string, line_hyphen boolean, misread boolean, unsure array<string>, edges array<struct<place: int, foot: int, text: string, number: boolean, styled: boolean, sentence: boolean, misread: boolean, unsure: array<string>>>",
-    )
+    return pages.select("page_id", "document_id", "raw_text").mapInArrow(run, f"page_id string, document_id string, line_hyphen boolean, misread boolean, unsure {UNSURE}, edges {EDGES}")
 
 
-def any_misread(text: str, words: Words, unsure: set[str]) -> bool:
-    """Whether a lower-case stretch of running text holds a misread word; unknown words without a candidate are put into ``unsure``."""
-    known, found = words.known, False
-    for t in _TOKEN.findall(text):
-        w = t.strip("-'’*_").replace("ı", "i")
-        if w not in known and len(w) > 1:
-            told = words.candidates(w)
-            found = found or told is not None
-            if not told and len(w) <= 64:
-                unsure.add(w)
-    return found
+def any_misread(text: str, words: Words) -> tuple[bool, list[dict]]:
+    """Whether a stretch of running text holds what no word can be or a frequent misreading; and its rare unknown tokens.
+
+    ``name`` tells of those that begin with a capital.
+    """
+    known, told, found = words.known, words.told, False
+    shown = [w for t in _TOKEN.findall(text) if (w := bare(t))]
+    tokens = fold_i(lower("\n".join(shown))).split("\n") if shown else []
+    unsure = {}
+    for i, w in enumerate(tokens):
+        if w not in known and 1 < len(w) <= LONGEST and _LETTERS.search(w):
+            if w in told:
+                found = found or told[w] is not None or looks_misread(w)
+                continue
+            found = found or looks_misread(w)
+            near = (w, tokens[i - 1] if i else "", tokens[i + 1] if i + 1 < len(tokens) else "", shown[i][:1].isupper())
+            unsure[near] = dict(zip(("token", "left", "right", "name"), near))
+    return found, list(unsure.values())
 
 
-def note(raw: str, words: Words) -> tuple[bool, bool, list[str], list[dict]]:
-    """(divided word, misread between the edges, unknown words there without a candidate, edge lines) of one page."""
+def note(raw: str, words: Words, longest: int) -> tuple[bool, bool, list[dict], list[dict]]:
+    """(divided word, misread between the edges, unknown tokens there, edge lines) of one page."""
     shown = glyphs.seen(MODEL_TOKENS.sub("", raw))
     if not shown.strip():
         return False, False, [], []
@@ -323,30 +373,20 @@ def note(raw: str, words: Words) -> tuple[bool, bool, list[str], list[dict]]:
     hyphen = any(words.divided(m[1], m[2], m[3]) for m in DIVIDED.finditer(small) if not is_page_number(small[m.start(3) :].split("\n", 1)[0]))
     lines = shown.split("\n")
     full = [i for i, t in enumerate(lines) if t.strip()]
-    at = edge_lines(lines)
     edges = []
     skip = set()
-    for i in at:
+    for i in edge_lines(lines):
         t = lines[i]
         number = is_page_number(t)
-        short = len(t) <= 90
-        own = styled(t) if short and not number else False
-        sentence = bool(_SENTENCE_END.search(t)) or len(t) > 90
-        if number or own or (not sentence and short):
+        own = not number and styled(t)
+        sentence = bool(_SENTENCE_END.search(t))
+        if number or own or may_name(t, longest):
             skip.add(i)
             place = full.index(i)
-            left: set[str] = set()
-            wrong = False if number else any_misread(lower(t), words, left)
-            edges.append(
-                {
-                    "place": place, "foot": place - len(full), "text": t if short else t[:200], "number": number, "styled": own, "sentence": sentence,
-                    "misread": wrong, "unsure": sorted(left),
-                }
-            )
+            wrong, unsure = (False, []) if number else any_misread(t, words)
+            edges.append({"place": place, "foot": place - len(full), "text": t, "number": number, "styled": own, "sentence": sentence, "misread": wrong, "unsure": unsure})
     body = "\n".join("" if i in skip else t for i, t in enumerate(lines))
-    unsure: set[str] = set()
-    wrong = any_misread(DIVIDED.sub(_join, lower(body)), words, unsure)
-    return hyphen, wrong, sorted(unsure), edges
+    return hyphen, *any_misread(DIVIDED.sub(_join, body), words), edges
 
 
 def decide_furniture(edges: list[dict], names: list[str], back: set[str]) -> list[tuple[bool, bool]]:
@@ -383,32 +423,74 @@ def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("document_id", F.array("display_title", "pdf_title", "work").alias("titles"), F.array("author").alias("authors"), "filename").dropDuplicates(["document_id"])
 
 
-def second_look(notes: DataFrame, counts: DataFrame, words: Words) -> DataFrame:
-    """``page_id, mends array<struct<token, word>>``: unknown words of pages without a candidate in the vocabulary that are misreadings of rarer ones.
+def candidates(tokens: DataFrame, words: Words, plain: bool = True) -> DataFrame:
+    """``token, own, word, surface, cost, weight, sole`` of ``tokens(word, n)``: the candidates of every token that is no word.
+
+    Each is RATIO times as frequent as the token. With ``plain`` false words are judged too, by confusions alone.
+    """
+    held = tokens.sparkSession.sparkContext.broadcast(Once(Lexicon, words.known))
+    names = ["token", "own", "word", "surface", "cost", "weight", "sole"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = held.value.get()
+        for b in batches:
+            rows = []
+            for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if len(t) < 2 or not _LETTERS.search(t) or plain and t in lexicon.known:
+                    continue
+                found = [(w, c, *lexicon.known[w]) for w, c in lexicon.near(t, plain)]
+                found = [(t, n, w, s, c, k) for w, c, k, s in found if k >= RATIO * n]
+                rows += [(*f, len(found) == 1) for f in found]
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    return tokens.select("word", "n").mapInArrow(run, "token string, own bigint, word string, surface string, cost int, weight bigint, sole boolean")
+
 
-    Of all tokens counted, a folded word that occurs LEAST times and RATIO times as often as the unknown one, and is no misreading
-    itself, is a source; the most frequent one is taken. Joined by word, so the counts need not fit anywhere.
+def second_look(tokens: DataFrame, counts: DataFrame, wrong: DataFrame) -> DataFrame:
+    """``token, word, surface, n``: the word outside the vocabulary that a token of ``tokens(token)`` is a misreading of.
+
+    Of all ``counts(word, n, surface)`` a word that occurs LEAST times and RATIO times as often as the token and is no misreading itself
+    (``wrong(token)``) is a source; the most frequent one is taken. Joined by word, so the counts need not fit anywhere.
     """
-    folded = counts.groupBy(F.translate("token", "ı", "i").alias("word")).agg(F.sum("n").alias("n"), F.max_by("token", F.struct("n", "token")).alias("surface"))
-    held = notes.sparkSession.sparkContext.broadcast(words)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = [(t, n, w) for t, n in zip(*(c.to_pylist() for c in b.columns)) for w in sources_of(t)]
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], k) for i, k in enumerate((pa.string(), pa.int64(), pa.string()))], names=["token", "own", "word"])
 
-    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([w in held.value.known or held.value.candidates(w) is None for w in b.column(1).to_pylist()], pa.bool_()))
-
-    each = settle(notes.select("page_id", F.explode(F.array_distinct(F.concat("unsure", F.flatten("edges.unsure")))).alias("token")), "unsure")
     # what is never counted as a token is the part of a word divided at an edge line, and what holds no letter a number
-    tokens = each.select("token").distinct().filter(F.col("token").rlike(r"\p{L}")).withColumn("word", F.expr("trim(BOTH '|' FROM token)"))
-    own = tokens.join(folded, "word").select("token", F.col("n").alias("own"))
-    reached = own.mapInArrow(spread, "token string, own bigint, word string").join(folded.filter(F.col("n") >= LEAST), "word").filter(F.col("n") >= RATIO * F.col("own"))
-    sound = reached.select("token", "word", "surface", "n").mapInArrow(right, "token string, word string, surface string, n bigint")
-    best = sound.groupBy("token").agg(F.max_by(F.struct("word", "surface"), F.struct("n", "word")).alias("s"))
-    return each.join(best, "token").groupBy("page_id").agg(F.collect_list(F.struct("token", F.col("s.surface").alias("word"))).alias("mends"))
+    own = tokens.filter(F.col("token").rlike(r"\p{L}")).join(counts.select(F.col("word").alias("token"), F.col("n").alias("own")), "token")
+    reached = own.mapInArrow(spread, "token string, own bigint, word string").join(counts.filter(F.col("n") >= LEAST), "word").filter(F.col("n") >= RATIO * F.col("own"))
+    sound = reached.join(wrong.select(F.col("token").alias("word")), "word", "left_anti")
+    return sound.groupBy("token").agg(F.max_by(F.struct("word", "surface", "n"), F.struct("n", "word")).alias("s")).select("token", "s.*")
+
+
+def _beside(left: Column, right: Column) -> Column:
+    return F.when((left != "") & (right != ""), pair_key(left, right))
+
+
+def mends_of(notes: DataFrame, counts: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """``page_id, mends array<struct<token, word>>``: the unknown tokens of each page that are misread, and the word of each.
+
+    Of the candidates ``found`` of a token the one with the least score is taken: its cost, less for every doubling of how
+    often it stands beside the token's neighbours (``pairs``), less for frequency. One that takes a plain edit needs NEAR such
+    occurrences, and a token in lower case: a rare word with a capital is a name. A token that occurs as often as a word never comes here, so no key of the joins holds more than a small share of the rows.
+    """
+    each = settle(notes.select("page_id", F.explode(F.array_distinct(F.concat("unsure", F.flatten("edges.unsure")))).alias("u")).select("page_id", "u.*"), "unsure")
+    hits = settle(each.join(found, "token"), "hits")
+    clear = F.col("sole") & (F.col("cost") <= SOUND)
+    plain = hits.filter(clear).select("page_id", "token", F.col("surface").alias("word"), F.lit(0.0).alias("score"))
+    open_ = hits.filter(~clear).withColumn("beside", F.array(_beside(F.col("left"), F.col("word")), _beside(F.col("word"), F.col("right"))))
+    asked = open_.select("token", "left", "right", "name", "word", "surface", "cost", "weight", F.explode("beside").alias("pair"), "page_id")
+    told = asked.join(pairs, "pair", "left").groupBy("page_id", "token", "left", "right", "name", "word", "surface", "cost", "weight").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("near"))
+    score = F.col("cost") - 2 * F.log2(1.0 + F.col("near")) - F.log10(F.col("weight").cast("double"))
+    ranked = told.filter((F.col("cost") <= SOUND) | ((F.col("near") >= NEAR) & ~F.col("name"))).select("page_id", "token", F.col("surface").alias("word"), score.alias("score"))
+    wrong = found.filter(F.col("cost") <= SOUND).select("token").distinct()
+    rest = each.select("page_id", "token").distinct().join(wrong, "token", "left_anti")
+    rare = rest.join(second_look(rest.select("token").distinct(), counts, wrong), "token").select("page_id", "token", F.col("surface").alias("word"), (F.lit(float(SOUND)) - F.log10(F.col("n").cast("double"))).alias("score"))
+    best = plain.unionByName(ranked).unionByName(rare).groupBy("page_id", "token").agg(F.min_by("word", F.struct("score", "word")).alias("word"))
+    return best.groupBy("page_id").agg(F.collect_list(F.struct("token", "word")).alias("mends"))
 
 
 def judge_edges(notes: DataFrame, books: DataFrame, mends: DataFrame) -> DataFrame:
@@ -438,8 +520,9 @@ def judge_edges(notes: DataFrame, books: DataFrame, mends: DataFrame) -> DataFra
                 found = decide_furniture(edges, names_of(r["titles"] or [], r["authors"] or [], r["filename"]), {title_key(t) for t in r["back"] or []}) if edges else []
                 header.append(any(f[0] for f in found))
                 number.append(any(f[1] for f in found))
-                rare = {m["token"] for m in r["mends"] or []}
-                misread.append(bool(r["misread"]) or not rare.isdisjoint(r["unsure"] or []) or any(e["misread"] or not rare.isdisjoint(e["unsure"]) for e, f in zip(edges, found) if not any(f)))
+                bad = {m["token"] for m in r["mends"] or []}
+                wrong = lambda x: x["misread"] or any(u["token"] in bad for u in x["unsure"] or [])  # noqa: B023, E731
+                misread.append(bool(wrong(r) or any(wrong(e) for e, f in zip(edges, found) if not any(f))))
                 places.append([e["place"] for e, f in zip(edges, found) if any(f)])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(header, pa.bool_()), pa.array(number, pa.bool_()), pa.array(misread, pa.bool_()), pa.array(places, pa.list_(pa.int32()))],
@@ -452,7 +535,7 @@ def judge_edges(notes: DataFrame, books: DataFrame, mends: DataFrame) -> DataFra
 
 
 def repair(raw: str, furniture: list[int], words: Words, mends: dict[str, str] | None = None) -> tuple[str, int, int]:
-    """(continuous paragraphs, words joined, words repaired) of one page, the furniture at the given places left out; ``mends``: token -> rare word."""
+    """(continuous paragraphs, words joined, words repaired) of one page, the furniture at the given places left out; ``mends``: token -> word."""
     lines = glyphs.seen(MODEL_TOKENS.sub("", raw)).split("\n")
     full = [i for i, t in enumerate(lines) if t.strip()]
     out = {full[p] for p in furniture if -len(full) <= p < len(full)}
@@ -466,32 +549,19 @@ def repair(raw: str, furniture: list[int], words: Words, mends: dict[str, str] |
         return m[1] + ("" if whole else "-") + m[3]
 
     text = DIVIDED.sub(join, text)
-    page = np.zeros(len(CODES))
-    if words.tags:
-        for t in _TOKEN.findall(lower(text)):
-            tag = words.tags.get(fold_i(t))
-            if tag is not None:
-                page[tag] += 1
-    main = int(page.argmax())
+    dotted = bool(re.search("[ğışĞİŞ]", text))
     repaired = 0
 
     def mend(m: re.Match) -> str:
         nonlocal repaired
-        core = m[0].strip("-'’*_")
-        small = lower(core)
-        if len(small) < 2 or fold_i(small) in words.known:
-            return m[0]
-        found = words.candidates(small)
-        if found:
-            best = min(range(len(found)), key=lambda k: (words.tags.get(found[k], main) != main, k))
-            word = words.known[found[best]][1]
-        elif mends and fold_i(small) in mends:
-            word = mends[fold_i(small)]
-        else:
+        core = bare(m[0])
+        small = fold_i(lower(core))
+        word = None if len(small) < 2 or small in words.known else (mends or {}).get(small) or words.told.get(small)
+        if word is None:
             return m[0]
         repaired += 1
         if core[:1].isupper():
-            word = ("İ" if word[0] == "i" and main in (CODES.index("tr"), CODES.index("ota-latn")) else "I" if word[0] == "ı" else word[0].upper()) + word[1:]
+            word = ("İ" if word[0] == "i" and dotted else word[0].upper()) + word[1:]
         return m[0].replace(core, word, 1)
 
     text = _TOKEN.sub(mend, text)
@@ -499,27 +569,37 @@ def repair(raw: str, furniture: list[int], words: Words, mends: dict[str, str] |
     return "\n\n".join(p for p in paragraphs if p), joined, repaired
 
 
-def vocabulary(pages: DataFrame) -> tuple[list[tuple[str, int]], int, DataFrame]:
-    """The frequent tokens of all raw pages, the least count among them, and the counts of all tokens."""
-    counted, counts = settled_frequent(token_table(pages, "raw_text", surface_tokens))
-    return counted, min((n for _, n in counted), default=1), counts
-
+def vocabulary(pages: DataFrame) -> tuple[Words, DataFrame, DataFrame, DataFrame]:
+    """``(words, counts, pairs, found)`` of all raw pages: the vocabulary, ``counts(word, n, surface)`` of all tokens, ``pairs(pair, n)`` of neighbouring ones and the candidates of each that is no word.
 
-def language_tags(words: Words, model: Machines) -> dict[str, int]:
-    """The language each vocabulary word looks like, as index into CODES."""
-    keys = list(words.known)
-    if not keys:
-        return {}
-    margins = np.stack([model.weights[:, grams(bare(words.known[k][1]) or k)].sum(1) for k in keys]) + model.bias
-    return {k: int(n) for k, n in zip(keys, decide(margins, model.slope)[0])}
-
-
-def _notes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Words, DataFrame]:
+    The vocabulary is made of tokens that make up a fixed share of all, so it is bounded; only of these anything comes to the driver.
+    """
+    both = settle(token_and_pair_table(pages, "raw_text", surface_tokens, fold_i, LONGEST), "tokens")
+    surfaces = both.filter(F.col("token").isNotNull()).select("token", "n")
+    pairs = both.filter(F.col("pair").isNotNull()).select("pair", "n")
+    floor = floor_of(surfaces)
+    words = Words([(r[0], r[1]) for r in surfaces.filter(F.col("n") >= floor).collect()], floor)
+    counts = settle(surfaces.groupBy(F.translate("token", "ı", "i").alias("word")).agg(F.sum("n").alias("n"), F.max_by("token", F.struct("n", "token")).alias("surface")), "counts")
+    often = counts.filter(F.col("n") >= floor)
+    # a frequent misreading of a far more frequent word is no word
+    wrong = candidates(often, words, plain=False).filter(F.col("weight") >= CLEAN_RATIO * F.col("own"))
+    words.drop(r[0] for r in wrong.select("token").distinct().collect())
+    found = settle(candidates(counts, words), "candidates")
+    frequent = found.filter((F.col("own") >= floor) & (F.col("cost") <= SOUND)).groupBy("token").agg(F.min_by("surface", F.struct("cost", -F.col("weight"), "word")).alias("word"))
+    words.told |= {r[0]: r[1] for r in frequent.collect()}
+    return words, counts, pairs, found
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Words, DataFrame]:
+    """(notes, volumes, words, mends) of the pages of a folder."""
     pages = table(spark, sf_dir, "pages", "page_id", "document_id", "raw_text").filter("page_id is not null")
-    counted, floor, counts = vocabulary(pages)
-    words = Words(counted, floor)
-    notes = settle(page_notes(pages, words).dropDuplicates(["page_id"]), "notes")
-    return notes, words, settle(second_look(notes, counts, words), "mends")
+    words, counts, pairs, found = vocabulary(pages)
+    books = volumes(spark, sf_dir)
+    names = F.greatest(*[F.max(F.length(c)) for c in ("display_title", "pdf_title", "work", "author", "filename")])
+    # a compatibility form may show as up to three letters
+    longest = 3 * (table(spark, sf_dir, "documents", "display_title", "pdf_title", "work", "author", "filename").agg(names).first()[0] or 0)
+    notes = settle(page_notes(pages, words, longest).dropDuplicates(["page_id"]), "notes")
+    return notes, books, words, settle(mends_of(notes, counts, pairs, found), "mends")
 
 
 # ---------------------------------------------------------------- queries
@@ -527,17 +607,16 @@ def _notes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Words, DataFram
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each page and kind of defect in its raw_text."""
-    notes, _, mends = _notes(spark, sf_dir)
-    each = judge_edges(notes, volumes(spark, sf_dir), mends)
+    notes, books, _, mends = _notes(spark, sf_dir)
+    each = judge_edges(notes, books, mends)
     kinds = ["line_hyphen", "misread", "running_header", "page_number"]
     return each.select("page_id", F.explode(F.filter(F.array(*[F.when(F.col(k), F.lit(k)) for k in kinds]), lambda x: x.isNotNull())).alias("defect")).distinct()
 
 
 def p1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as continuous paragraphs: ``page_id, text, joined, repaired, furniture_lines``."""
-    notes, words, mends = _notes(spark, sf_dir)
-    words.tags = language_tags(words, trained(table(spark, sf_dir, "documents", "doc_id", "language", "text")))
-    places = judge_edges(notes, volumes(spark, sf_dir), mends).select("page_id", "furniture")
+    notes, books, words, mends = _notes(spark, sf_dir)
+    places = judge_edges(notes, books, mends).select("page_id", "furniture")
     pages = table(spark, sf_dir, "pages", "page_id", "raw_text").filter("page_id is not null").dropDuplicates(["page_id"])
     held = spark.sparkContext.broadcast(words)
 

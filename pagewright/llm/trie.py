@@ -10,6 +10,8 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterable
 
 END = "\U0010ffff"
+#: Nodes whose children are held.
+HELD = 100_000
 
 
 class Trie:
@@ -20,7 +22,7 @@ class Trie:
         self.words = [w for w, _ in pairs]
         self.weight = [n for _, n in pairs]
         self.letters = sorted({ch for w in self.words for ch in w})
-        self._steps: dict[tuple[int, int, str], tuple[int, int] | None] = {}
+        self._children: dict[str, list[tuple[str, tuple[int, int, str]]]] = {}
 
     def root(self) -> tuple[int, int, str]:
         return 0, len(self.words), ""
@@ -48,34 +50,51 @@ class Trie:
         lo, hi, prefix = node
         return lo if lo < hi and self.words[lo] == prefix else -1
 
-    def children(self, node: tuple[int, int, str]) -> Iterable[tuple[str, tuple[int, int, str]]]:
-        """All children, by bisection from one to the next."""
+    def children(self, node: tuple[int, int, str]) -> list[tuple[str, tuple[int, int, str]]]:
+        """All children, by bisection from one to the next; kept for the nodes walked most often, those near the root."""
         lo, hi, prefix = node
-        at, depth = lo, len(prefix)
-        if at < hi and len(self.words[at]) == depth:
-            at += 1
-        while at < hi:
-            ch = self.words[at][depth]
-            child = self.walk((at, hi, ""), prefix + ch)
-            yield ch, child
-            at = child[1]
-
-
-def weighted(
-    trie: Trie, token: str, edits: Callable[[str, int], Iterable[tuple[int, str, int]]], bound: int
-) -> dict[int, int]:
+        out = self._children.get(prefix)
+        if out is None:
+            out, at, depth = [], lo, len(prefix)
+            if at < hi and len(self.words[at]) == depth:
+                at += 1
+            while at < hi:
+                ch = self.words[at][depth]
+                child = self.walk((at, hi, ""), prefix + ch)
+                out.append((ch, child))
+                at = child[1]
+            if len(self._children) > HELD:
+                self._children.clear()
+            self._children[prefix] = out
+        return out
+
+
+#: Transitions of an edit automaton at one position: (characters of the token used, text walked in the trie or None for any one letter, cost).
+Edits = Callable[[str, int], Iterable[tuple[int, str | None, int]]]
+
+
+def weighted(trie: Trie, token: str, edits: Edits, bound: int, least: int = 1) -> dict[int, int]:
     """Intersect the trie with a weighted edit automaton of ``token``: index of each word within ``bound`` -> least cost.
 
-    ``edits(token, i)`` lists the automaton's transitions at position i as (characters of the token used, string
-    walked in the trie, cost). States are (position, node), explored with their least cost, so every word that any
-    sequence of edits within the bound reaches is found.
+    States are (position, node), explored with their least cost, so every word that any sequence of edits within the
+    bound reaches is found. ``least`` is the cost of the cheapest edit that is not free: where it no longer fits, and a letter that
+    matches is the only free transition, what is left of the token is looked up as a whole. Automata with other free
+    transitions give ``least`` 0.
     """
     best: dict[tuple[int, str], int] = {}
     out: dict[int, int] = {}
+    words = trie.words
     stack = [(0, trie.root(), 0)]
     while stack:
         i, node, cost = stack.pop()
-        state = (i, node[2])
+        lo, hi, prefix = node
+        if least and cost + least > bound:
+            word = prefix + token[i:]
+            at = bisect_left(words, word, lo, hi)
+            if at < hi and words[at] == word and out.get(at, bound + 1) > cost:
+                out[at] = cost
+            continue
+        state = (i, prefix)
         if best.get(state, bound + 1) <= cost:
             continue
         best[state] = cost
@@ -84,24 +103,26 @@ def weighted(
             if at >= 0:
                 out[at] = min(cost, out.get(at, bound))
         for used, text, extra in edits(token, i):
-            if cost + extra <= bound:
+            now = cost + extra
+            if now > bound:
+                continue
+            if text is None:
+                stack.extend((i + used, child, now) for _, child in trie.children(node))
+            else:
                 child = trie.walk(node, text) if text else node
                 if child is not None:
-                    stack.append((i + used, child, cost + extra))
+                    stack.append((i + used, child, now))
     return out
 
 
-def levenshtein_edits(trie: Trie) -> Callable[[str, int], Iterable[tuple[int, str, int]]]:
-    """The plain automaton: a match costs 0; a substitution, an insertion and a deletion cost 1 each."""
+def levenshtein_edits(cost: int = 1) -> Edits:
+    """The plain automaton: a match is free; a substitution, an insertion and a deletion have one cost each."""
 
     def edits(token: str, i: int):
         if i < len(token):
             yield 1, token[i], 0
-            yield 1, "", 1
-            for ch in trie.letters:
-                if ch != token[i]:
-                    yield 1, ch, 1
-        for ch in trie.letters:
-            yield 0, ch, 1
+            yield 1, None, cost
+            yield 1, "", cost
+        yield 0, None, cost
 
     return edits

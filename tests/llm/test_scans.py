@@ -24,7 +24,7 @@ def test_automaton_finds_every_word_within_the_bound():
     rng = random.Random(1)
     words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))) for _ in range(200)})
     trie = Trie((w, 1) for w in words)
-    edits = levenshtein_edits(trie)
+    edits = levenshtein_edits()
     for _ in range(40):
         token = "".join(rng.choice("abcde") for _ in range(rng.randint(0, 6)))
         for bound in (0, 1, 2):
@@ -118,15 +118,82 @@ def test_found_on_no_pages(spark, tables):
 
 def test_repair():
     words = S.Words([(w, 100) for w in ("balıkçı", "yağmur", "geldi", "ber-vech", "defter")], floor=1)
-    text, joined, repaired = S.repair("BAŞLIK\nbalık-\nçı yağrnur\ngeldi ber-\nvech. Def†er\n\n   geldi\n12", [0, -1], words)
+    mends = {"yağrnur": "yağmur", "def†er": "defter"}
+    text, joined, repaired = S.repair("BAŞLIK\nbalık-\nçı yağrnur\ngeldi ber-\nvech. Def†er\n\n   geldi\n12", [0, -1], words, mends)
     assert text == "balıkçı yağmur geldi ber-vech. Defter\n\ngeldi" and (joined, repaired) == (1, 2)
     assert S.repair("", [], words) == ("", 0, 0)
 
 
-def test_frequent_misreading_is_no_word():
-    words = S.Words([("yağmur", 1000), ("yağrnur", 9), ("cümle", 30), ("eümle", 29)], floor=1)
+def test_frequent_misreading_is_no_word(spark, tables):
+    text = " ".join(["yağmur"] * 1000 + ["yağrnur"] * 9 + ["cümle"] * 30 + ["eümle"] * 29 + ["ad_soyad"] * 8)
+    words, _, _, found = S.vocabulary(spark.createDataFrame([(text,)], "raw_text string"))
     assert "yağrnur" not in words.known and {"yağmur", "cümle", "eümle"} <= set(words.known)
-    assert words.candidates("yağrnur") == ("yağmur",) and words.candidates("yağmur") is None
+    assert words.told == {"yağrnur": "yağmur", "ad_soyad": None} and {r.token for r in found.collect()} == {"yağrnur"}
+
+
+def test_candidates_are_complete():
+    """All words within the bound come out, whatever the edit; brute force over the vocabulary."""
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("aeiklmnrt") for _ in range(rng.randint(2, 9))) for _ in range(400)})
+    lexicon = S.Lexicon({w: (50, w) for w in words})
+    for w in rng.sample(words, 60):
+        i = rng.randrange(len(w))
+        token = rng.choice([w[:i] + "z" + w[i:], w[:i] + w[i + 1 :], w[:i] + "z" + w[i + 1 :]])
+        got = {x for x, _ in lexicon.near(token)}
+        want = {x for x in words if x != token and distance(token, x) == 1 and len(token) >= S.ONE_PLAIN}
+        assert want <= got, (token, want - got)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_edits_outside_the_table_are_found(spark, tables, turkish, seed):
+    rng = random.Random(seed)
+    rows, spoiled = [], set()
+    confusable = set(S.CONFUSIONS) | {o for outs in S.CONFUSIONS.values() for o in outs}
+    for k in range(300):
+        lines = [" ".join(rng.choice(turkish) for _ in range(8)) for _ in range(12)]
+        if k % 2:
+            row, at = rng.randrange(4, 8), rng.randrange(1, 7)
+            words = lines[row].split()
+            w = words[at]
+            while True:
+                i, ch = rng.randrange(len(w)), rng.choice([x for x in "cfjvyzpxğ" if x not in confusable])
+                made = rng.choice([w[:i] + ch + w[i:], w[:i] + w[i + 1 :], w[:i] + ch + w[i + 1 :]])
+                if len(made) >= S.ONE_PLAIN and made not in turkish:
+                    break
+            words[at] = made
+            lines[row] = " ".join(words)
+            spoiled.add(f"p{k}")
+        rows.append((f"p{k}", f"d{k}", "\n".join(lines) + ".", "x"))
+    d = tables(pages=spark.createDataFrame(rows, FIELDS), documents=spark.createDataFrame([], BOOKS))
+    got = {r.page_id for r in S.p1_found(spark, d).collect() if r.defect == "misread"}
+    assert len(got & spoiled) >= 0.9 * len(spoiled) and len(got - spoiled) <= 0.02 * len(rows)
+
+
+def test_pages_come_out_as_they_were_written(spark, tables, turkish):
+    rng = random.Random(9)
+    rows, wanted = [], {}
+    for k in range(120):
+        paragraphs = [" ".join(rng.choice(turkish) for _ in range(40)).capitalize() + "." for _ in range(2)]
+        wanted[f"p{k}"] = "\n\n".join(paragraphs)
+        printed = []
+        for p in paragraphs:
+            lines, line = [], ""
+            for w in p.split(" "):
+                if len(line) + len(w) > 50:
+                    if len(w) > 5 and w.isalpha():
+                        line, w = f"{line} {w[:3]}-", w[3:]
+                    lines, line = [*lines, line], w
+                else:
+                    line = f"{line} {w}".strip()
+            printed.append("\n".join([*lines, line]))
+        body = "\n\n".join(printed)
+        if k % 20 == 0:
+            body = body.replace("yağmur", "yağrnur", 1).replace(" defter ", " def†er ", 1)
+        rows.append((f"p{k}", "d", f"KİTAP ADI\n{body}\n— {k + 1} —", "x"))
+    d = tables(pages=spark.createDataFrame(rows, FIELDS), documents=spark.createDataFrame([("d", "Kitap Adı", None, None, "Ali Veli", "k.pdf", "x")], BOOKS))
+    got = {r.page_id: r.text for r in S.p1_pages(spark, d).collect()}
+    bad = [(k, got.get(k), wanted[k]) for k in wanted if got.get(k) != wanted[k]]
+    assert got.keys() == wanted.keys() and len(bad) <= 0.02 * len(wanted), bad[:2]
 
 
 def test_sources_are_all_the_automaton_reaches():
@@ -144,11 +211,21 @@ def test_misreading_of_a_rare_word_is_found(spark, tables, turkish):
     rows += [("wrong", "d", rows[9][2] + "\nve züinrüdüanka ile zürnrüdüanka geldi.\n" + rows[8][2], "x"), ("other", "d", rows[9][2] + "\nzümrütoğlu geldi.\n" + rows[8][2], "x")]
     d = tables(pages=spark.createDataFrame(rows, FIELDS), documents=spark.createDataFrame([("d", "Kitap Adı", None, None, "Ali Veli", "k.pdf", "x")], BOOKS).selectExpr("*", "1L AS doc_id", "'tr' AS language", "'' AS text"))
     assert {r.page_id for r in S.p1_found(spark, d).collect() if r.defect == "misread"} == {"wrong"}
-    # five occurrences are too few for the vocabulary, which asks for RATIO times its least count
-    pages = spark.read.parquet(d + "/pages.parquet")
-    counted, floor, _ = S.vocabulary(pages)
-    assert not S.Words(counted, floor).candidates("zürnrüdüanka")
-    notes, words, mends = S._notes(spark, d)
+    notes, _, words, mends = S._notes(spark, d)
     held = {r.page_id: {m.token: m.word for m in r.mends} for r in mends.collect()}
     assert held == {"wrong": {"zürnrüdüanka": "zümrüdüanka"}}
     assert "ile zümrüdüanka geldi." in S.repair(rows[-2][2], [], words, held["wrong"])[0]
+    # a vocabulary without the word leaves it to the counts of all tokens
+    words.known.pop("zümrüdüanka")
+    _, counts, pairs, _ = S.vocabulary(spark.read.parquet(d + "/pages.parquet"))
+    found = S.candidates(counts, words)
+    assert not found.filter("token = 'zürnrüdüanka'").count()
+    again = S.mends_of(S.page_notes(spark.read.parquet(d + "/pages.parquet"), words, 30), counts, pairs, found)
+    assert {r.page_id: [m.word for m in r.mends if m.token == "zürnrüdüanka"] for r in again.collect()}["wrong"] == ["zümrüdüanka"]
+
+
+def test_long_lines_at_the_edge_are_compared_with_the_names():
+    names = S.names_of(["Pek Uzun Bir Kitap Adı ve Onun Altında Duran İkinci Başlık"], ["Ali Veli"], None)
+    line = " ".join("PEK UZUN BİR KİTAP ADI VE ONUN ALTINDA DURAN İKİNCİ BAŞLIK")
+    assert len(line) > 90 and S.may_name(line, 60) and S.repeats_name(line, names)
+    assert not S.may_name("uzun bir satır " * 40, 60)
