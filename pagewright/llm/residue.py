@@ -1,12 +1,14 @@
 """Template residue and error-page text (problem 9).
 
-Each document's address slug, title and body terms are compared, its lines are tried for unfilled fields, filler,
-failure messages and demands for scripts, and short lines of documents whose body shares nothing with their slug and
-title are counted over all documents: the same response under many titles and hosts is evidence too.
+Each document's address slug, title and body terms are compared, and its lines are tried for unfilled fields, filler,
+failure messages and demands for scripts. Of every document whose body shares no term with its slug and title the other lines are counted over all
+documents: a line that returns under many titles at several hosts, or under very many at one, is a response whatever its wording. A body is of low
+information as far as it consists of such lines and of those the detectors know.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,11 +46,12 @@ FILLER_PHRASES = re.compile(
 # Failure messages, and demands for scripts, a newer browser or a human check (folded, apostrophes dropped).
 FAILURE = re.compile(
     r"\bnot found\b|\bcould not be (loaded|served|found|opened|displayed|retrieved|reached)\b|\bno longer (exists|available)\b|\bhas (been )?(moved|removed|deleted)\b|\bbeen (moved|removed|deleted)\b"
-    r"|\b(requires|need|have) (you )?to (sign|log) in\b|\b(is|are) (currently )?(not available|unavailable)\b|\bunavailable\b|\btemporarily\b|\baccess\b.*\b(denied|forbidden)\b|\bforbidden\b|\btoo many requests\b|\bdid not (answer|respond)\b"
+    r"|\b(requires|need|have) (you )?to (sign|log) in\b|\b(is|are) (currently )?(not available|unavailable)\b|\bunavailable\b|\btemporarily\b|\baccess\b.*\b(denied|forbidden)\b|\b(\d{3}|page is|file is) forbidden\b|^\W*forbidden\b|\btoo many requests\b|\bdid not (answer|respond)\b"
     r"|\btimed? ?out\b|\bcrashed while\b|\bgo back or reload\b|\b(server|gateway|internal|unexpected) (server )?error\b|\bbad gateway\b|\bsession (has )?expired\b|\bsomething went wrong\b|\btry again\b|\bno permission\b|\berror \d{3}\b"
-    r"|\bbulunamadi\b|\byuklenemi?yor\b|\byuklenemedi\b|\bkaldirilmis\b|\byetkiniz yok\b|\bizniniz yok\b|\bzaman asimi\w*\b|\bsunucu\w*\b.*\b(hata\w*|yok|redde\w+)\b|\bhata\w* olustu\b|\bgiris yapin\b|\boturumunuz\w*\b|\bsonra (tekrar )?deneyin\b|\bhata \d{3}:|\berisilemi?yor\b|\bgosterilemi?yor\b"
+    r"|\bbulunamadi\b|\byuklenemi?yor\b|\byuklenemedi\b|\bkaldirilmis\b|\byetkiniz yok\b|\bizniniz yok\b|\bzaman asimi\w*\b|\bsunucu\w*\b.*\b(hata\w*|yok|redde\w+)\b|\bhata\w* olustu\b|\bgiris yapin\b|\boturumunuz\w*\b|\bsonra (tekrar )?deneyin\b|\bhata \d{3}:|\berisilemi?yor\b|\bgosterilemi?yor\b|\bgoruntulenemi?yor\b"
     r"|\bintrouvable\b|\bnest pas (disponible|accessible)\b|\bn est pas disponible\b|\b(a|ont) ete (deplace|supprime)e?s?\b|\bacces (refuse|interdit)\b|\berreur \d{3}\b|\bsession expiree\b|\breessayer\b|\bindisponible\b"
-    r"|\bnicht (gefunden|erreichbar|verfugbar|geladen)\b|\b(wurde|wurden) (verschoben|entfernt|geloscht)\b|\bzugriff verweigert\b|\bfehler \d{3}\b|\bsitzung (ist )?abgelaufen\b|\berneut versuchen\b"
+    r"|\bnicht (gefunden|erreichbar|verfugbar|geladen)\b|\b(wurde|wurden) (verschoben|entfernt|geloscht)\b|\bzugriff verweigert\b|\bfehler \d{3}\b|\bsitzung (ist )?abgelaufen\b|\berneut versuchen\b|\bexistiert nicht\b"
+    r"|\b(down|closed) for maintenance\b|\bhttp (status |error )?[45]\d\d\b|\bbakim (calismasi|nedeniyle)\b"
 )
 DEMAND = re.compile(
     r"\bjavascript\b|\bscripts? (enabled|allowed|on)\b|\b(cookies|scripts) (and|enabled|must)\b|\b(enable|allow|activate|turn on) (javascript|scripts?|cookies)\b|\bchecking your browser\b|\b(browser|version) (is )?(not supported|outdated|unsupported)\b|\b(update|upgrade) your browser\b"
@@ -58,8 +61,8 @@ DEMAND = re.compile(
 )
 MARKS = re.compile(r"[{}<>\[\]%@«»]|__")
 WORDS = re.compile(r"[^\W\d_]+")
-#: A body of at most so many distinct words that shares none with its slug and title is of low information.
-FEW_WORDS = 60
+#: A line that returns is a response under so many titles at MIN_HOSTS hosts, or under ONE_HOST times as many at fewer; it has LEAST_TERMS words.
+MIN_TITLES, MIN_HOSTS, ONE_HOST, LEAST_TERMS = 5, 2, 3, 3
 
 
 def has_field(line: str) -> bool:
@@ -189,68 +192,73 @@ def kinds_of(text: str) -> Iterator[tuple[str, str, str | None]]:
         yield line, small, "filler" if by_words and is_filler(small) else None
 
 
+def response_key(folded: str) -> int | None:
+    """64 bits that tell a line without its numbers and codes; None for one of fewer than LEAST_TERMS words, which any text may hold."""
+    plain = masked(folded)
+    if plain.count(" ") + 1 < LEAST_TERMS or len(WORDS.findall(plain)) < LEAST_TERMS:
+        return None
+    return int.from_bytes(hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def document_evidence(documents: DataFrame) -> DataFrame:
-    """One row per document with its marked characters by kind, and the unmarked lines of low-information bodies.
+    """One row per document with its marked characters by kind, and the other lines of bodies that match neither slug nor title.
 
-    ``doc_id, source, n, field, filler, failure, demand, mismatch, short array<struct<key, chars>>``. Every line of every text is judged.
+    ``doc_id, source, n, field, filler, failure, demand, mismatch, title, lines array<struct<key, chars>>``. Every line of every text is
+    judged, and every body is compared with its slug and title, whatever its length.
     """
     names = ["field", "filler", "failure", "demand"]
-    schema = "doc_id bigint, source string, n bigint, " + ", ".join(f"`{k}` bigint" for k in names) + ", mismatch boolean, title string, short array<struct<key: string, chars: bigint>>"
+    schema = "doc_id bigint, source string, n bigint, " + ", ".join(f"`{k}` bigint" for k in names) + ", mismatch boolean, title string, lines array<struct<key: bigint, chars: bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                doc, source, filename, title, text = r
+            for doc, source, filename, title, text in zip(*(c.to_pylist() for c in b.columns)):
                 text = text or ""
-                few = len(text) < 40 * FEW_WORDS and len(set(text.split())) <= FEW_WORDS
                 chars = dict.fromkeys(names, 0)
-                short: list[dict] = []
-                body_has = False
-                terms = set(WORDS.findall(py_fold(f"{filename or ''} {title or ''}".replace("_", " ")))) - {"pdf"} if few else set()
+                terms = {w for w in WORDS.findall(py_fold(f"{filename or ''} {title or ''}".replace("_", " "))) if len(w) > 3 and w != "pdf"}
+                rest = []
                 for line, folded, kind in kinds_of(text):
                     if kind:
                         chars[kind] += len(line)
-                    elif few:
-                        body_has = body_has or any(len(w) > 3 and w in terms for w in WORDS.findall(folded))
-                        short.append({"key": masked(folded), "chars": len(line)})
-                mismatch = few and not body_has
-                out.append((doc, source, len(text), *(chars[k] for k in names), mismatch, py_fold(title or filename or ""), short if mismatch else []))
+                    else:
+                        rest.append((folded, len(line)))
+                mismatch = not any(not terms.isdisjoint(WORDS.findall(f)) for f, _ in rest)
+                lines = [{"key": k, "chars": n} for f, n in rest if (k := response_key(f)) is not None] if mismatch else []
+                out.append((doc, source, len(text), *(chars[k] for k in names), mismatch, py_fold(title or filename or ""), lines))
             columns = list(zip(*out)) if out else [[] for _ in range(10)]
-            types = [pa.int64(), pa.string(), pa.int64(), *[pa.int64()] * 4, pa.bool_(), pa.string(), pa.list_(pa.struct([("key", pa.string()), ("chars", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["doc_id", "source", "n", *names, "mismatch", "title", "short"])
+            types = [pa.int64(), pa.string(), pa.int64(), *[pa.int64()] * 4, pa.bool_(), pa.string(), pa.list_(pa.struct([("key", pa.int64()), ("chars", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["doc_id", "source", "n", *names, "mismatch", "title", "lines"])
 
     title = F.coalesce(F.col("display_title"), F.col("pdf_title"), F.col("work"))
     return documents.select("doc_id", slug(F.col("source")).alias("source"), "filename", title.alias("title"), "text").mapInArrow(run, schema)
 
 
-# Words for the thing that could not be shown (folded); a repeated short line that holds one is a response.
-_THINGS = r"\b(page|scan|image|file|record|leaf|volume|document|viewer|reader|archive|sayfa\w*|goruntu\w*|dosya\w*|belge\w*|yaprak\w*|kayit\w*|kaydi\w*|baglanti\w*|fichier|seite|bild|band|datei)\b"
-
-
-def residue_documents(documents: DataFrame, min_titles: int = 5) -> DataFrame:
+def residue_documents(documents: DataFrame, min_titles: int = MIN_TITLES, min_hosts: int = MIN_HOSTS) -> DataFrame:
     """``doc_id, source, n_chars, bad_chars, repeated_chars, kind, is_residue`` for every document.
 
     A document is residue when more than half of its characters belong to lines that hold an unfilled field, filler,
-    a failure message or a demand. To the lines a detector knows come short lines about a page, file or scan in
-    low-information bodies that appear, numbers aside, under at least ``min_titles`` titles. Null and empty texts
+    a failure message or a demand, or that are responses: lines of bodies that match neither slug nor title, which numbers aside appear
+    under at least ``min_titles`` titles at ``min_hosts`` hosts, or under ONE_HOST times as many titles. Null and empty texts
     are no residue; repeated rows count once.
     """
-    each = settle(document_evidence(documents).dropDuplicates(["doc_id"]), "residue")
-    lines = each.filter("size(short) > 0").select("doc_id", "title", "source", F.explode("short").alias("s")).select("doc_id", "title", "source", "s.key", "s.chars")
-    lines = lines.filter(F.col("key").rlike(_THINGS))
+    each = settle(document_evidence(documents), "residue")
+    # counted by title and host first, so a line all documents share moves once per task and title
+    lines = each.filter("size(lines) > 0").select("doc_id", F.xxhash64("title").alias("title"), "source", F.explode("lines").alias("s")).select("doc_id", "title", "source", "s.key", "s.chars")
     responses = (
         lines.groupBy("key", "title", "source").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("key").agg(F.count_distinct("title").alias("titles"), F.count_distinct("source").alias("hosts"))
-        .filter(F.col("titles") >= min_titles)
+        .groupBy("key", "title").agg(F.collect_set("source").alias("at"))
+        .groupBy("key").agg(F.count(F.lit(1)).alias("titles"), F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("hosts"))
+        .filter((F.col("titles") >= min_titles) & ((F.col("hosts") >= min_hosts) | (F.col("titles") >= ONE_HOST * min_titles)))
         .select("key")
     )
     repeated = lines.join(responses, "key", "left_semi").groupBy("doc_id").agg(F.sum("chars").alias("repeated_chars"))
     kinds = ["field", "filler", "failure", "demand"]
     known = sum((F.col(k) for k in kinds), F.lit(0))
+    once = each.drop("lines").dropDuplicates(["doc_id"])
+    copies = each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
     return (
-        each.drop("short").join(repeated, "doc_id", "left")
-        .withColumn("repeated_chars", F.coalesce("repeated_chars", F.lit(0)))
+        once.join(copies, "doc_id").join(repeated, "doc_id", "left")
+        .withColumn("repeated_chars", F.expr("coalesce(repeated_chars, 0) div copies"))
         .withColumn("bad_chars", known + F.col("repeated_chars"))
         .select(
             "doc_id", "source", F.col("n").alias("n_chars"), "bad_chars", "repeated_chars",
