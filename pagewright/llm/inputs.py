@@ -53,6 +53,24 @@ def pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "pages", *columns).dropDuplicates()
 
 
+def drawn(df: DataFrame, ident: str, label: str, most: int) -> DataFrame:
+    """About ``most`` rows of each label at most, chosen by all 64 bits of a hash of ``ident``; there are few labels, codes of a fixed list."""
+    shares = {r[0]: min(1.0, most / r[1]) for r in df.groupBy(label).agg(F.count(F.lit(1))).collect() if r[0] is not None}
+    if not shares:
+        return df.limit(0)
+    at = (F.xxhash64(ident).cast("double") + 2.0**63) / 2.0**64
+    share = F.try_element_at(F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(v))]), F.col(label))
+    return df.filter(at <= F.coalesce(share, F.lit(-1.0)))
+
+
+def language_sql(label: str) -> str:
+    """``language_code`` of one label as SQL."""
+    name = f"trim(regexp_replace(lower(regexp_replace(strip_accents(replace(replace({label}, 'ı', 'i'), 'İ', 'i')), '[\\p{{M}}\\p{{Cf}}ʿʾ’‘''`´]', '', 'g')), '\\s+', ' ', 'g'))"
+    cases = " ".join(f"WHEN x IN ({', '.join(repr(n) for n in dict.fromkeys((*names, code)))}) THEN '{code}'" for code, names in LANGUAGE_NAMES.items())
+    regional = cases.replace("WHEN x IN", "WHEN regexp_extract(x, '^([a-z]{2})[-_][a-z]{2}$', 1) IN")
+    return f"(list_transform([{name}], lambda x: CASE {cases} {regional} END)[1])"
+
+
 class Once:
     """A value to broadcast, and what a worker makes of it: built at first use and kept for its later tasks."""
 

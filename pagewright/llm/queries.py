@@ -9,7 +9,7 @@ QUERIES = {
     for f in (
         scans.p1_found, scans.p1_pages,
         splits.p2_found, splits.p2_splits, splits.p2_shares,
-        tokens.p3_found, tokens.p3_tokens, tokens.p3_budget,
+        tokens.p3_found, tokens.p3_tokens, tokens.p3_budget, tokens.p3_pages, tokens.p3_accuracy,
         languages.p4_found, languages.p4_documents, languages.p4_segments,
         lookalike.p5_found, lookalike.p5_canonical,
         overlap.p6_found, overlap.p6_report,
@@ -20,5 +20,5 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "p2_found": splits.P2_FOUND_SQL, "p2_splits": splits.P2_SPLITS_SQL, "p3_found": tokens.P3_FOUND_SQL, "p5_found": lookalike.found_sql(),
+    "p2_found": splits.P2_FOUND_SQL, "p2_splits": splits.P2_SPLITS_SQL, "p3_found": tokens.P3_FOUND_SQL, "p3_accuracy": tokens.P3_ACCURACY_SQL, "p5_found": lookalike.found_sql(),
 }

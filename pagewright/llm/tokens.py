@@ -17,21 +17,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import charstats
-from pagewright.llm.inputs import domain, language_code, slug
+from pagewright.llm.inputs import domain, drawn, language_code, language_sql, slug
 from pagewright.sources.tables import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that cuts text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts tokenized at most to fit the regression, and as many again to correct its bias.
-SAMPLE = 3000
+#: Texts of one language tokenized at most to fit the regression, and as many again to correct its bias.
+SAMPLE = 600
+# The script families a page is put into.
+SCRIPTS = ("arabic", "latin_extended", "mixed", "latin")
+#: A recorded count this many times off the estimate is looked at, and so is a page whose estimate is that of no usual text.
+OFF, UNUSUAL = 1.25, 4.0
 
 
 @lru_cache(4)
 def encoder(path: str):
+    """The tokenizer of a rank file: one every worker can open, or one sent with ``SparkContext.addFile`` and named by its file name."""
+    import os
+
     import tiktoken
+    from pyspark import SparkFiles
 
-    with open(path, "rb") as f:
+    with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("pages", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -100,18 +108,14 @@ def fit(rows: list, ridge: float = 1e-3, least: int = 30) -> dict[str, list[floa
 def estimate_tokens(df: DataFrame, text: str, language: str, keep: list[str], ident: str, path: str = TOKENIZER, sample: int = SAMPLE) -> DataFrame:
     """``keep``, charstats.FEATURES and ``est_tokens`` for every row.
 
-    The fitting and the holdout sample are at most about ``sample`` rows each, drawn by a hash of ``ident``. A null
+    The fitting and the holdout sample are at most about ``sample`` rows of each language, drawn by a hash of ``ident``. A null
     language is fitted as a language of its own; a null or empty text is estimated at 0; repeated rows are
     kept as they are; an empty table gives an empty result.
     """
-    total = df.count()
-    share = min(1.0, 2 * sample / max(total, 1))
-    at = F.pmod(F.xxhash64(ident), F.lit(1_000_000))
-    drawn = text_features(
-        df.filter(at < share * 1_000_000).select(F.coalesce(F.col(language), F.lit("")).alias("__l"), (at % 2 == 1).alias("__h"), text),
-        text, ["__l", "__h"], path,
-    )
-    rows = [(r["__l"], *(r[f] for f in charstats.FEATURES), r["n_tokens"], r["__h"]) for r in drawn.collect()]
+    code = F.coalesce(F.col(language), F.lit(""))
+    some = drawn(df.select(ident, code.alias("__l"), F.col(text)), ident, "__l", 2 * sample)
+    taken = text_features(some.select("__l", (F.pmod(F.xxhash64(ident, F.lit(1)), F.lit(2)) == 1).alias("__h"), text), text, ["__l", "__h"], path)
+    rows = [(r["__l"], *(r[f] for f in charstats.FEATURES), r["n_tokens"], r["__h"]) for r in taken.collect()]
     model = fit(rows)
     features = text_features(df, text, keep)
     spark = df.sparkSession
@@ -129,18 +133,22 @@ def catalog_language(labels, feed):
 
 
 def audit_pages(pages: DataFrame, language: str) -> DataFrame:
-    """Recorded counts of pages against their words: ``run_id, page_id, recorded, words, est_tokens, usable``.
+    """Recorded counts of pages against their estimate: ``run_id, page_id, recorded, words, est_tokens, usable, trusted``.
 
-    A recorded count is unusable where it is null, zero, negative, or more than five times or less than a
-    fifth of the whole part of 1.3 x words; pages of fewer than 20 words are not judged (``usable`` is null).
+    A count that is null, zero or negative, that is more than OFF times off the estimate, or whose page has an estimate more than UNUSUAL times
+    off 1.3 x words is suspect. A suspect count is unusable where it is more than five times or less than a fifth of the whole part of 1.3 x
+    words; a count within OFF of an estimate within UNUSUAL cannot be. Pages of fewer than 20 words are not judged
+    (``usable`` is null). ``trusted`` is the recorded count where it is usable, else the estimate.
     """
     est = estimate_tokens(pages, "clean_text", language, ["run_id", "page_id", "token_count_cl100k", language], "page_id")
-    rough = F.expr("n_words * 13 div 10")
-    count = F.col("token_count_cl100k")
-    bad = count.isNull() | (count <= 0) | (count > rough * 5) | (count * 5 < rough)
+    rough, count, told = F.expr("n_words * 13 div 10"), F.col("token_count_cl100k"), F.col("est_tokens")
+    empty = count.isNull() | (count <= 0)
+    suspect = empty | (count > told * OFF) | (count * OFF < told) | (told > rough * UNUSUAL) | (told * UNUSUAL < rough)
+    bad = suspect & (empty | (count > rough * 5) | (count * 5 < rough))
+    usable = F.when(F.col("n_words") >= 20, ~bad)
     return est.select(
-        "run_id", "page_id", count.alias("recorded"), F.col("n_words").alias("words"), "est_tokens",
-        F.when(F.col("n_words") >= 20, ~bad).alias("usable"),
+        "run_id", "page_id", count.alias("recorded"), F.col("n_words").alias("words"), "est_tokens", usable.alias("usable"),
+        F.when(F.coalesce(usable, ~suspect), count).otherwise(told).alias("trusted"),
     )
 
 
@@ -179,11 +187,30 @@ def p3_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recorded count of every page against its estimate, and the count to trust."""
+    return _audited(spark, sf_dir).distinct()
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "run_id", "page_id", "clean_text", "token_count_cl100k", "primary_script")
+    script = F.when(F.col("primary_script").isin(*SCRIPTS), F.col("primary_script")).otherwise("undetermined")
+    return audit_pages(pages.withColumn("lang", script).drop("primary_script"), "lang")
+
+
+def p3_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By language: documents, whether the estimated total lies within 5 % of the exact one, of those with 50 documents at least."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "language")
+    docs = docs.select("doc_id", "text", catalog_language(F.col("language"), F.col("lang")).alias("language"))
+    exact = token_counts(docs, "text", ["doc_id"])
+    est = estimate_tokens(docs, "text", "language", ["doc_id", "language"], "doc_id").select("doc_id", "language", "est_tokens")
+    each = est.join(exact, "doc_id").groupBy("language").agg(F.count(F.lit(1)).alias("documents"), F.sum("est_tokens").alias("e"), F.sum("n_tokens").alias("t"))
+    return each.filter("documents >= 50").select("language", "documents", (F.abs(F.col("e") / F.col("t") - 1) <= 0.05).alias("within"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose recorded count is unusable."""
-    pages = table(spark, sf_dir, "pages", "run_id", "page_id", "clean_text", "token_count_cl100k", "primary_script")
-    pages = pages.withColumn("lang", F.coalesce(F.col("primary_script"), F.lit("undetermined"))).drop("primary_script")
-    return audit_pages(pages, "lang").filter("not usable").select("run_id", "page_id").distinct()
+    return _audited(spark, sf_dir).filter("not usable").select("run_id", "page_id").distinct()
 
 
 P3_FOUND_SQL = r"""
@@ -194,3 +221,7 @@ WITH w AS (
 SELECT DISTINCT run_id, page_id FROM w
 WHERE words >= 20 AND (n IS NULL OR n <= 0 OR n > 5 * (words * 13 // 10) OR n * 5 < words * 13 // 10)
 """
+
+P3_ACCURACY_SQL = f"""
+SELECT language, count(*) AS documents, true AS within
+FROM (SELECT coalesce({language_sql("string_split_regex(language, '[,;/]')[1]")}, {language_sql("lang")}, 'und') AS language FROM documents) GROUP BY language HAVING count(*) >= 50"""
