@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import glyphs
-from pagewright.llm.inputs import Once, language_set
+from pagewright.llm.inputs import Once, drawn, language_set
 from pagewright.llm.residue import residue_documents
 from pagewright.sources.tables import settle, table
 
@@ -29,8 +29,8 @@ CODES = tuple(c for cs in FAMILIES.values() for c in cs)
 PAIRS = tuple((f, a, b) for f, cs in FAMILIES.items() for a, b in combinations(cs, 2))
 MACHINES = len(FAMILIES) + len(PAIRS)
 DIMENSIONS = 4096
-#: Labelled documents drawn at most to train on, and paragraphs of one language used at most.
-SAMPLE = 4000
+#: Documents of one label drawn at most to train on, and paragraphs of one language used at most.
+SAMPLE = 700
 PER_LANGUAGE = 700
 #: A piece of text is a whole paragraph when it has at least so many words and letters and ends a sentence; titles do not.
 LEAST_WORDS, LEAST_LETTERS = 8, 40
@@ -43,7 +43,7 @@ _BREAK = re.compile(r"\n[^\S\n]*\n\s*|\s*\f\s*|\n(?=[^\S\n]{2,}\S)")
 
 def grams(word: str) -> np.ndarray:
     """Hashed n-grams of one to four characters of a word with its ends marked."""
-    w = f"^{word[:48]}$"
+    w = f"^{word}$"
     seen = [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
     return np.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) % DIMENSIONS for g in seen if g not in "^$"], np.int64)
 
@@ -225,11 +225,9 @@ class Scorer:
 
 
 def labelled_sample(documents: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """Paragraphs of at most about ``sample`` documents whose label names one language, drawn by a hash of doc_id."""
-    total = documents.count()
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    drawn = documents.filter(at < min(1.0, sample / max(total, 1)) * 1_000_000).select(language_set(F.col("language")).alias("codes"), "text")
-    drawn = drawn.filter(F.size("codes") == 1).select(F.col("codes")[0].alias("code"), "text")
+    """Paragraphs of at most about ``sample`` documents of each label that names one language, drawn by a hash of doc_id."""
+    single = documents.select("doc_id", language_set(F.col("language")).alias("codes"), "text").filter(F.size("codes") == 1).withColumn("code", F.col("codes")[0])
+    taken_from = drawn(single.select("doc_id", "code", "text"), "doc_id", "code", sample).select("code", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -244,7 +242,7 @@ def labelled_sample(documents: DataFrame, sample: int = SAMPLE) -> list[tuple[st
 
     taken: dict[str, int] = {}
     rows = []
-    for r in sorted(drawn.mapInArrow(cut, "code string, part string").collect(), key=lambda r: zlib.crc32(r[1].encode("utf-8", "surrogatepass"))):
+    for r in sorted(taken_from.mapInArrow(cut, "code string, part string").collect(), key=lambda r: zlib.crc32(r[1].encode("utf-8", "surrogatepass"))):
         if taken.setdefault(r[0], 0) < PER_LANGUAGE:
             taken[r[0]] += 1
             rows.append((r[0], r[1]))
@@ -307,9 +305,12 @@ def trained(documents: DataFrame) -> Machines:
 
 
 def p4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language, confidence and all languages of every document that has a letter."""
+    """Language, confidence and all languages of every document; null, 0 and none of one without a letter."""
     documents = table(spark, sf_dir, "documents", "doc_id", "language", "text")
-    return document_languages(segments(documents.dropDuplicates(["doc_id"]), trained(documents))).withColumn("languages", F.array_join("languages", ","))
+    # repeated rows weigh all paragraphs of a document alike and change nothing
+    found = document_languages(segments(documents, trained(documents)))
+    every = table(spark, sf_dir, "documents", "doc_id").distinct().join(found, "doc_id", "left")
+    return every.select("doc_id", "language", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce(F.array_join("languages", ","), F.lit("")).alias("languages"))
 
 
 def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ def test_found(spark, tables):
     assert got == [(wrong, "de"), (missing, "fr"), (mixed, "ar"), (mixed, "tr"), (903, "en")]
     assert named and inside
     one = {r.doc_id: r for r in G.p4_documents(spark, d).collect()}
-    assert one[mixed].languages == "ar,tr" and one[903].language == "en" and 900 not in one
+    assert one[mixed].languages == "ar,tr" and one[903].language == "en" and one[900].language is None and one[901].confidence == 0 and len(one) == len(rows)
     assert {r.language for r in G.p4_segments(spark, d).filter(f"doc_id = {mixed}").collect()} <= {"ar", "tr"}
 
 
@@ -117,7 +117,7 @@ def test_responses_of_short_documents_count(spark, tables):
             text = "\n\n".join(paragraph(c, rng) for _ in range(3))
             rows.append((len(rows), c, text, len(text), "s", "f.pdf", "t", None, None, "x", 1))
     line = "This page of the harbour ledger rests behind the window glass {}"
-    short = [(900 + i, "de", line.format(i), 70, "s", f"k{i}.pdf", f"Kitap {i}", None, None, "x", 1) for i in range(6)]
+    short = [(900 + i, "de", line.format(i), 70, "st"[i % 2], f"k{i}.pdf", f"Kitap {i}", None, None, "x", 1) for i in range(6)]
     text = "\n".join(line.format(i) for i in range(6))
     long = (990, "de", text, len(text), "s", "uzun.pdf", "Uzun", None, None, "x", 1)
     got = {r.doc_id for r in G.p4_found(spark, tables(documents=spark.createDataFrame([*rows, long], FIELDS))).collect()}
