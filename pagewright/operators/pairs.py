@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.operators.ranks import group_rank
 
+def _block(ident: str, blocks: str):
+    """The block of a member, by hash; a group of k blocks' size is cut into k of about equal size."""
+    return F.pmod(F.xxhash64(ident), F.col(blocks)).cast("int")
 
-def _numbered(members: DataFrame, groups: DataFrame, group: list[str], order: list[str], block: int, buckets: int) -> DataFrame:
-    """Members of the given groups with their rank inside ``group`` and the block it falls into."""
-    kept = members.join(groups.select("key"), "key", "left_semi")
-    return group_rank(kept, group, order, buckets, "rank").withColumn("block", F.floor(F.col("rank") / block).cast("int"))
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in as many partitions as the session shuffles into.
 
-def pairs_across(
-    members: DataFrame, key: str, ident: str, side: str, block: int = 512, buckets: int = 16, extra: tuple[str, ...] = ()
-) -> DataFrame:
+    What is joined block against block is small while its result is not; left to itself the planner would merge the blocks of a hot group, by
+    their bytes, into one task again.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def pairs_across(members: DataFrame, key: str, ident: str, side: str, block: int = 512, extra: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of one group whose ``side`` differs: ``key``, ``<ident>_a`` < ``<ident>_b``, ``extra`` of both.
 
-    Members are numbered inside (key, side) and cut into blocks of ``block`` rows; a task joins
+    The members of a (key, side) are cut into blocks of about ``block`` rows; a task joins
     one block with another, so a group of any size is spread over the cluster. Only groups
     with at least two sides enter; ``side`` is a label of few values, such as a split. Rows with a null key, ident or side name
     no group and pair with nothing; repeated rows count once.
@@ -33,7 +37,8 @@ def pairs_across(
         .agg(F.collect_list(F.struct(F.col("side").alias("s"), F.ceil(F.col("n") / block).cast("int").alias("k"))).alias("all"))
         .filter(F.size("all") > 1)
     )
-    numbered = _numbered(m, listed, ["key", "side"], ["id"], block, buckets)
+    sized = listed.select("key", F.explode("all").alias("x")).select("key", F.col("x.s").alias("side"), F.col("x.k").alias("k"))
+    numbered = m.join(sized, ["key", "side"]).withColumn("block", _block("id", "k"))
     # one row per pair of blocks of two sides
     plan = (
         listed.select("key", F.explode("all").alias("x"), "all")
@@ -44,7 +49,7 @@ def pairs_across(
     )
     left = numbered.select("key", F.col("side").alias("sa"), F.col("block").alias("ba"), F.col("id").alias("ia"), *[F.col(x).alias(f"{x}a") for x in more])
     right = numbered.select("key", F.col("side").alias("sb"), F.col("block").alias("bb"), F.col("id").alias("ib"), *[F.col(x).alias(f"{x}b") for x in more])
-    joined = plan.join(left, ["key", "sa", "ba"]).join(right, ["key", "sb", "bb"]).filter("ia <> ib")
+    joined = spread(plan.join(left, ["key", "sa", "ba"]), "key", "sb", "bb").join(right, ["key", "sb", "bb"]).filter("ia <> ib")
     first = F.col("ia") < F.col("ib")
     out = [F.col("key").alias(key), F.least("ia", "ib").alias(f"{ident}_a"), F.greatest("ia", "ib").alias(f"{ident}_b")]
     for c, x in zip(extra, more):
@@ -53,11 +58,11 @@ def pairs_across(
     return joined.select(*out)
 
 
-def pairs_within(members: DataFrame, key: str, ident: str, form: str, block: int = 512, buckets: int = 16) -> DataFrame:
+def pairs_within(members: DataFrame, key: str, ident: str, form: str, block: int = 512) -> DataFrame:
     """All pairs of one group whose ``form`` differs: ``<ident>_a`` < ``<ident>_b``.
 
     For forms of any number, such as digests. Groups of a single form are dropped before any
-    member is moved; the rest is numbered and joined block against block. Rows with a null in
+    member is moved; the rest is joined block against block. Rows with a null in
     key, ident or form pair with nothing; repeated rows count once.
     """
     m = members.select(F.col(key).alias("key"), F.col(ident).alias("id"), F.col(form).alias("form")).dropna().dropDuplicates()
@@ -67,9 +72,11 @@ def pairs_within(members: DataFrame, key: str, ident: str, form: str, block: int
         .filter("lo <> hi")
         .select("key", F.ceil(F.col("n") / block).cast("int").alias("k"))
     )
-    numbered = _numbered(m, groups, ["key"], ["id", "form"], block, buckets)
+    numbered = m.join(groups, "key").withColumn("block", _block("id", "k"))
     plan = groups.select("key", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("ba")).select("key", "ba", F.explode(F.sequence("ba", F.col("k") - 1)).alias("bb"))
-    left = numbered.select("key", F.col("block").alias("ba"), F.col("rank").alias("ra"), F.col("id").alias("ia"), F.col("form").alias("fa"))
-    right = numbered.select("key", F.col("block").alias("bb"), F.col("rank").alias("rb"), F.col("id").alias("ib"), F.col("form").alias("fb"))
-    joined = plan.join(left, ["key", "ba"]).join(right, ["key", "bb"])
-    return joined.filter("ra < rb and fa <> fb and ia <> ib").select(F.least("ia", "ib").alias(f"{ident}_a"), F.greatest("ia", "ib").alias(f"{ident}_b"))
+    left = numbered.select("key", F.col("block").alias("ba"), F.col("id").alias("ia"), F.col("form").alias("fa"))
+    right = numbered.select("key", F.col("block").alias("bb"), F.col("id").alias("ib"), F.col("form").alias("fb"))
+    joined = spread(plan.join(left, ["key", "ba"]), "key", "bb").join(right, ["key", "bb"])
+    # inside a block each pair comes twice, across blocks once
+    once = (F.col("ba") < F.col("bb")) | (F.struct("ia", "fa") < F.struct("ib", "fb"))
+    return joined.filter(once & (F.col("fa") != F.col("fb")) & (F.col("ia") != F.col("ib"))).select(F.least("ia", "ib").alias(f"{ident}_a"), F.greatest("ia", "ib").alias(f"{ident}_b"))

@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import pytest
+from pagewright.operators import components
 from pagewright.operators.components import connected_components
 from pagewright.operators.pairs import pairs_across, pairs_within
 from pagewright.operators.ranks import group_rank, running_total
@@ -35,10 +37,10 @@ def test_pairs_agree_with_all_pairs(spark):
     rows = [("hot" if rng.random() < 0.4 else f"k{rng.randint(0, 9)}", i, rng.choice("abc")) for i in range(150)]
     dirty = rows + rows[:20] + [(None, 900, "a"), ("hot", None, "a"), ("hot", 901, None)]
     df = spark.createDataFrame(dirty, "k string, i long, s string").withColumn("n", F.concat(F.lit("n"), "i"))
-    got = pairs_across(df, "k", "i", "s", block=8, buckets=4, extra=("n",)).collect()
+    got = pairs_across(df, "k", "i", "s", block=8, extra=("n",)).collect()
     assert {(r.i_a, r.i_b) for r in got} == brute_pairs(rows, lambda a, b: a[2] != b[2]) and len(got) == len({(r.k, r.i_a, r.i_b) for r in got})
     assert all(r.n_a == f"n{r.i_a}" and r.n_b == f"n{r.i_b}" for r in got)
-    within = pairs_within(df, "k", "i", "s", block=8, buckets=4).collect()
+    within = pairs_within(df, "k", "i", "s", block=8).collect()
     assert {(r.i_a, r.i_b) for r in within} == brute_pairs(rows, lambda a, b: a[2] != b[2]) and len(within) == len(set(within))
 
 
@@ -67,10 +69,23 @@ def brute_components(links):
     return {n: find(n) for n in parent}
 
 
-def test_components_agree_with_union_find(spark):
+@pytest.mark.parametrize("hot", [10_000, 10])
+def test_components_agree_with_union_find(spark, monkeypatch, hot):
+    # with the lower threshold the nodes of many edges are joined by broadcast
+    monkeypatch.setattr(components, "HOT_LEAST", hot)
+    monkeypatch.setattr(components, "HOT_ONE_OF", 100)
     rng = random.Random(3)
     links = [(rng.randint(0, 199), f"e{rng.randint(0, 120)}") for _ in range(220)] + [(n, "hot") for n in range(0, 60, 2)] + [(500, None), (501, "alone")]
     links += [(1000 + i, f"chain{i}") for i in range(40)] + [(1001 + i, f"chain{i}") for i in range(40)]
     df = spark.createDataFrame(links + links[:30] + [(None, "hot")], "node long, entity string")
     assert {r.node: r.component for r in connected_components(df, salts=4).collect()} == brute_components(links)
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_a_hot_entity_is_spread(spark):
+    """Half of all rows name one entity; no task of the pair join holds more than a few blocks of it."""
+    rows = [(i, "hot" if i % 2 else f"k{i % 40}", "ab"[i % 4 // 2]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "i long, k string, s string")
+    assert {r.component for r in connected_components(df.selectExpr("i AS node", "k AS entity").filter("k = 'hot'").selectExpr("node", "entity")).collect()} == {1}
+    pairs = pairs_across(df.filter("k = 'hot'"), "k", "i", "s", block=64).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in pairs) == 1500 * 1500 and len(pairs) > 1 and max(r["count"] for r in pairs) < 0.8 * 1500 * 1500
