@@ -15,6 +15,8 @@ from pagewright.operators.components import connected_components
 from pagewright.operators.pairs import pairs_across
 from pagewright.sources.tables import settle, table
 
+#: Rows of a checked table that may be broadcast.
+MOST_BROADCAST = 200_000
 PROPORTIONS = (("train", 0.9), ("validation", 0.05), ("test", 0.05))
 
 # Words that fill an author or work field without naming anyone or anything (folded).
@@ -81,6 +83,22 @@ def entity_links(documents: DataFrame) -> DataFrame:
     return named.select(F.col("doc_id").alias("node"), F.explode(entities).alias("e")).select("node", "e.entity", "e.name")
 
 
+def split_links(documents: DataFrame) -> DataFrame:
+    """``(node, entity)`` for components: works, authors by given name and surname, and, where one author is told by an initial alone, all it may stand for.
+
+    Two full given names of one surname and initial are different people and are not tied unless an initial ties them.
+    """
+    links = entity_links(documents)
+    given = F.split("name", " ")[0]
+    author = F.col("entity").startswith("a:")
+    short = links.filter(author & (F.length(given) <= 1)).select("entity").distinct()
+    # few surnames come with an initial only; beyond the bound the planner sorts both sides
+    short = F.broadcast(short) if short.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else short
+    tied = links.filter(author).join(short, "entity", "left_semi").select("node", "entity")
+    own = links.filter(~author | (F.length(given) > 1)).select("node", F.when(author, F.concat_ws(" ", "entity", given)).otherwise(F.col("entity")).alias("entity"))
+    return own.unionByName(tied)
+
+
 def split_of(component: Column, proportions=PROPORTIONS) -> Column:
     """The split whose cumulative range of the proportions holds the hash of the component, 32 bits of its SHA-256."""
     at = F.conv(F.substring(F.sha2(component.cast("string").cast("binary"), 256), 1, 8), 16, 10).cast("double") / 2.0**32
@@ -95,23 +113,13 @@ def split_of(component: Column, proportions=PROPORTIONS) -> Column:
 def assign_splits(documents: DataFrame, proportions=PROPORTIONS) -> DataFrame:
     """``(doc_id, component, split)`` for every document; related documents share both.
 
-    Proportions are met as closely as whole components allow: a component with more documents than the share of the split its
-    hash falls into goes to the split with the greatest share instead. Documents that name nobody and nothing stand
+    The split is told by the component alone, so it is the same whatever else the table holds. Proportions are met as closely as whole components
+    allow; ``p2_shares`` tells how closely. Documents that name nobody and nothing stand
     alone; repeated rows count once; an empty table gives an empty result.
     """
-    links = entity_links(documents).select("node", "entity")
     alone = documents.select(F.col("doc_id").alias("node"), F.lit(None).cast("string").alias("entity"))
-    found = settle(connected_components(links.unionByName(alone)), "components")
-    total, shares = found.count(), {s: p / sum(p for _, p in proportions) for s, p in proportions}
-    most = max(shares, key=shares.get)
-    # components above the least share: fewer than 1 / share of them, whatever the data
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min(shares.values()) * total).collect()
-    split = split_of(F.col("component"), proportions)
-    for name, share in shares.items():
-        large = [r["component"] for r in sizes if r["n"] > share * total]
-        if name != most and large:
-            split = F.when((split == name) & F.col("component").isin(large), most).otherwise(split)
-    return found.select(F.col("node").alias("doc_id"), "component", split.alias("split"))
+    found = connected_components(split_links(documents).unionByName(alone))
+    return found.select(F.col("node").alias("doc_id"), "component", split_of(F.col("component"), proportions).alias("split"))
 
 
 def document_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,9 +137,12 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, components and largest component of each new split."""
+    """Documents, components, largest component, share reached and share wanted of each new split."""
     each = p2_splits(spark, sf_dir).groupBy("split", "component").agg(F.count(F.lit(1)).alias("n"))
-    return each.groupBy("split").agg(F.sum("n").alias("documents"), F.count(F.lit(1)).alias("components"), F.max("n").alias("largest_component"))
+    each = settle(each.groupBy("split").agg(F.sum("n").alias("documents"), F.count(F.lit(1)).alias("components"), F.max("n").alias("largest_component")), "shares")
+    wanted = F.create_map(*[F.lit(x) for pair in PROPORTIONS for x in pair])
+    total = each.agg(F.sum("documents")).first()[0] or 1
+    return each.withColumn("share", F.round(F.col("documents") / total, 6)).withColumn("target_share", wanted[F.col("split")])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,9 +205,17 @@ SELECT DISTINCT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b FROM links x JOIN lin
 WHERE x.doc_id < y.doc_id AND p.split <> q.split AND (starts_with(entity, 'w:') OR string_split(x.name, ' ')[1] = string_split(y.name, ' ')[1] OR least(length(string_split(x.name, ' ')[1]), length(string_split(y.name, ' ')[1])) <= 1)"""
 
 P2_SPLITS_SQL = f"""
-WITH RECURSIVE {LINKS_SQL}, heads AS (SELECT entity, min(doc_id) AS head FROM links GROUP BY entity),
-edges AS (SELECT DISTINCT doc_id AS a, head AS b FROM links JOIN heads USING (entity) UNION SELECT DISTINCT head, doc_id FROM links JOIN heads USING (entity)),
+WITH RECURSIVE {LINKS_SQL},
+tied AS (SELECT doc_id, entity FROM links WHERE starts_with(entity, 'w:')
+  UNION SELECT doc_id, entity || ' ' || string_split(name, ' ')[1] FROM links WHERE starts_with(entity, 'a:') AND length(string_split(name, ' ')[1]) > 1
+  UNION SELECT doc_id, entity FROM links WHERE starts_with(entity, 'a:') AND entity IN (SELECT entity FROM links WHERE starts_with(entity, 'a:') AND length(string_split(name, ' ')[1]) <= 1)),
+heads AS (SELECT entity, min(doc_id) AS head FROM tied GROUP BY entity),
+edges AS (SELECT DISTINCT doc_id AS a, head AS b FROM tied JOIN heads USING (entity) UNION SELECT DISTINCT head, doc_id FROM tied JOIN heads USING (entity)),
 reach AS (SELECT doc_id AS node, doc_id AS m FROM documents WHERE doc_id IS NOT NULL UNION SELECT e.b, r.m FROM reach r JOIN edges e ON e.a = r.node),
 found AS (SELECT node AS doc_id, min(m) AS component FROM reach GROUP BY node),
-placed AS (SELECT *, count(*) OVER (PARTITION BY component) / (count(*) OVER ())::DOUBLE AS part, ('0x' || substr(sha256(component::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS place FROM found)
-SELECT doc_id, component, CASE WHEN place < 0.9 OR part > 0.05 THEN 'train' WHEN place < 0.95 THEN 'validation' ELSE 'test' END AS split FROM placed"""
+placed AS (SELECT *, ('0x' || substr(sha256(component::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS place FROM found)
+SELECT doc_id, component, CASE WHEN place < 0.9 THEN 'train' WHEN place < 0.95 THEN 'validation' ELSE 'test' END AS split FROM placed"""
+
+P2_SHARES_SQL = f"""
+WITH s AS ({P2_SPLITS_SQL}), c AS (SELECT split, component, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT split, sum(n)::BIGINT AS documents, count(*) AS components, max(n) AS largest_component FROM c GROUP BY split)
+SELECT *, round(documents / (sum(documents) OVER ())::DOUBLE, 6) AS share, CASE split WHEN 'train' THEN 0.9 ELSE 0.05 END::DOUBLE AS target_share FROM t"""

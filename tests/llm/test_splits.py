@@ -62,12 +62,18 @@ def test_shares_follow_the_proportions(spark):
     assert abs(n["train"] / 20_000 - 0.9) < 0.01 and abs(n["test"] / 20_000 - 0.05) < 0.01
 
 
-def test_a_large_component_goes_where_it_fits(spark):
-    # a tenth of the rows hangs together: whatever its hash, it can only go to train
-    for first in range(0, 60, 7):
-        rows = [(first * 1000 + i, "Ali Veli" if i < 40 else None, None) for i in range(400)]
-        got = S.assign_splits(spark.createDataFrame(rows, "doc_id long, author string, work string")).filter(f"component = {first * 1000}")
-        assert {r.split for r in got.select("split").distinct().collect()} == {"train"} and got.count() == 40
+def test_a_component_keeps_its_split_as_the_table_grows(spark):
+    rows = [(i, "Ali Veli" if i < 40 else None, None) for i in range(400)]
+    few, all_ = (S.assign_splits(spark.createDataFrame(rows[:n], "doc_id long, author string, work string")).collect() for n in (45, 400))
+    assert {r.doc_id: r.split for r in few}.items() <= {r.doc_id: r.split for r in all_}.items()
+
+
+def test_an_initial_ties_what_it_may_stand_for(spark):
+    fields = "doc_id long, author string, work string"
+    got = {r.doc_id: r.component for r in S.assign_splits(spark.createDataFrame([(1, "Ali Veli", None), (2, "Ahmet Veli", None), (3, "Veli, Ali", None)], fields)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    got = {r.doc_id: r.component for r in S.assign_splits(spark.createDataFrame([(1, "Ali Veli", None), (2, "Ahmet Veli", None), (3, "A. Veli", None)], fields)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}
 
 
 def test_empty(spark, tables):
