@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import glyphs
 from pagewright.llm.inputs import slug
-from pagewright.operators.pairs import pairs_across
+from pagewright.operators.pairs import pairs_across, spread
 from pagewright.sources.tables import settle, table
 
 #: Pages share at least this part of the longer one's words, in order.
@@ -35,6 +35,8 @@ LEAST_CHARS = 200
 SHORTEST, ONE_OF, LONGEST = 3, 3, 12
 #: Records whose pairs of words are counted to order pairs by rarity, and pairs that are held for it; no result depends on either.
 SAMPLE, HELD = 40_000, 300_000
+#: Records of one pair of words and split that meet in one task.
+BLOCK = 2000
 #: Parity bits of the words of a record, in 64s.
 BITS = 4
 _DIVIDED = re.compile(r"(?<=\w)[-‐‑\xad¬=–~][^\S\n]*\n\s*(?=[^\W\d])")
@@ -159,7 +161,8 @@ def frequent_pairs(records: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             pairs, counts = np.unique(_neighbours(b.column(0))[2], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts.astype(np.int64))], names=["pair", "n"])
 
-    drawn = records.filter(F.pmod("record", F.lit(1_000_000)) < int(1e6 * min(1.0, SAMPLE / max(n, 1)))).select("words")
+    # a record is told by a digest, so its place among all numbers of 64 bits draws the sample
+    drawn = records.filter((F.col("record").cast("double") + 2.0**63) / 2.0**64 <= min(1.0, SAMPLE / max(n, 1))).select("words")
     counted = drawn.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 1")
     got = counted.orderBy(F.desc("n"), "pair").limit(HELD).toArrow()
     pairs, counts = got["pair"].to_numpy(), got["n"].to_numpy()
@@ -210,9 +213,21 @@ def candidates(records: DataFrame, known: tuple[np.ndarray, np.ndarray], same: f
     """``train_record, eval_record``: at least all that share ``same`` of the longer one's words in order, and are not equal."""
     if same < 0.8:
         raise ValueError("below four fifths short records need not have two neighbouring words in common")
-    rows = rare_pairs(records, known, same)
+    rows = settle(rare_pairs(records, known, same), "rare")
+    # only pairs of words that both sides hold bring anything together; one that very many records hold is cut into blocks
+    counted = rows.groupBy("pair").agg(F.count_if("train").alias("t"), F.count_if("eval").alias("e")).filter("t > 0 and e > 0")
+    blocks = [F.ceil(F.col(c) / BLOCK).cast("int").alias(f"{c}k") for c in ("t", "e")]
+    live = settle(rows.join(counted.select("pair", *blocks), "pair"), "live")
     names = [c for c in rows.columns if c not in ("pair", "train", "eval")]
-    left, right = (rows.filter(side).select("pair", *(F.col(c).alias(f"{side}_{c}") for c in names)) for side in ("train", "eval"))
+
+    def side(mine: str, name: str, own: str, other: str) -> DataFrame:
+        """One side: each record in the block its hash gives it, once for each block of the other side."""
+        block = F.pmod(F.xxhash64("record"), F.col(own)).cast("int").alias(f"{mine}_block")
+        facing = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{name}_block")
+        return live.filter(mine).select("pair", block, facing, *(F.col(c).alias(f"{mine}_{c}") for c in names))
+
+    left, right = side("train", "eval", "tk", "ek"), side("eval", "train", "ek", "tk")
+    keys = ["pair", "train_block", "eval_block"]
     tn, en = F.col("train_n"), F.col("eval_n")
     longest = F.greatest(tn, en)
     slack = 1e-6
@@ -227,7 +242,7 @@ def candidates(records: DataFrame, known: tuple[np.ndarray, np.ndarray], same: f
         # each word only one of them has turns one bit
         & (differ <= tn + en - 2 * same * longest + slack)
     )
-    return left.join(right, "pair").filter(near).select("train_record", "eval_record").distinct()
+    return spread(left, *keys).join(right, keys).filter(near).select("train_record", "eval_record").distinct()
 
 
 def common_words(a: list[int], b: list[int]) -> int:
