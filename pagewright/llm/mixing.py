@@ -3,7 +3,8 @@
 The texts of each source are laid end to end and cut into blocks of equal length. The size of the mixture is the
 largest at which no source repeats a block more often than it may. Output shards draw how many blocks each
 source gives (multinomial, conditioned on the totals that meet the shares), the n-th slot of a source is sent through a pseudorandom
-permutation of its block numbers, anew for each pass, and slots meet blocks in a join by number.
+permutation of its block numbers, anew for each pass, and slots meet blocks in a join by number. Shards are drawn in tasks, so the
+driver holds one row per source whatever the size of the mixture.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pagewright.sources.tables import settle, table
 
 BLOCK_TOKENS = 512
 SHARD_SLOTS = 4096
-#: The driver draws counts for at most so many shards; larger mixtures get larger shards.
-MOST_SHARDS = 10_000
+#: Shards of one group; a group's counts follow from the shares, those of its shards are drawn where they are used.
+GROUP_SHARDS = 16
 SEED = 20_240_229
 
 
@@ -74,18 +75,25 @@ def quotas(sizes: dict[str, int], targets: list[tuple[str, float, int]], block:
     return out
 
 
-def draw_shards(slots: dict[str, int], shard_slots: int, seed: int = SEED) -> list[tuple[int, str, int, int]]:
-    """``(shard, source, first slot of the source, slots)``: multinomial counts that add up to each source's slots."""
-    rng = np.random.default_rng(seed)
-    names = sorted(slots)
-    left = np.array([slots[n] for n in names], np.int64)
-    first = np.zeros_like(left)
-    out, shard = [], 0
-    while (n := int(left.sum())) > 0:
-        take = left.copy() if n <= shard_slots else rng.multivariate_hypergeometric(left, shard_slots, method="marginals")
-        out += [(shard, names[i], int(first[i]), int(take[i])) for i in np.flatnonzero(take)]
-        first, left, shard = first + take, left - take, shard + 1
-    return out
+def group_counts(slots: list[int], group: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first slot, slots) of each source in one of ``groups`` groups: equal parts, so that all groups together hold every slot once."""
+    first = np.array([n * group // groups for n in slots], np.int64)
+    return first, np.array([n * (group + 1) // groups for n in slots], np.int64) - first
+
+
+def draw_shards(first: np.ndarray, left: np.ndarray, shard_slots: int, shard: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, first slot, slots) of each source for the shards of one group, numbered from ``shard``.
+
+    The group is cut into as few shards as hold it, of equal size; counts are multinomial, given that they add up to ``left``.
+    """
+    rng = np.random.default_rng([seed, shard])
+    total = int(left.sum())
+    shards = -(-total // shard_slots)
+    for k in range(shards):
+        size = total * (k + 1) // shards - total * k // shards
+        take = left.copy() if k == shards - 1 else rng.multivariate_hypergeometric(left, size, method="marginals")
+        yield shard + k, first, take
+        first, left = first + take, left - take
 
 
 def mix(sizes: DataFrame, targets: list[tuple[str, float, int]], block: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
@@ -105,33 +113,31 @@ def mix(sizes: DataFrame, targets: list[tuple[str, float, int]], block: int = BL
     have = {r[0]: r[1] for r in placed.groupBy("source").agg(F.sum("n_tokens")).collect()}
     quota = quotas(have, targets, block)
     total = sum(n for _, n in quota.values())
-    per_shard = max(shard_slots, -(-total // MOST_SHARDS))
-    drawn = draw_shards({s: n for s, (_, n) in quota.items()}, per_shard, seed)
-    n_shard: dict[int, int] = {}
-    plan = []
-    for shard, source, first, n in drawn:
-        plan.append((shard, source, first, n, n_shard.get(shard, 0)))
-        n_shard[shard] = n_shard.get(shard, 0) + n
-    draws = spark.createDataFrame([(*p, n_shard[p[0]]) for p in plan], "shard int, source string, first bigint, n bigint, offset bigint, shard_n bigint")
-    number = {s: i for i, s in enumerate(sorted(quota))}
+    names = sorted(quota)
+    blocks, wanted = [quota[s][0] for s in names], [quota[s][1] for s in names]
+    # a group may hold a slot of each source more than its even part, so shards are numbered with room for one more
+    groups = max(1, -(-total // (GROUP_SHARDS * shard_slots)))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                blocks = quota[r["source"]][0]
-                j = np.arange(r["first"], r["first"] + r["n"])
-                passes, index = j // blocks, np.empty(len(j), np.int64)
-                for p in np.unique(passes):
-                    own = passes == p
-                    index[own] = permute(j[own] % blocks, blocks, seed + 1_009 * number[r["source"]] + 104_729 * int(p))
-                position = permute(np.arange(r["offset"], r["offset"] + r["n"]), r["shard_n"], seed + 15_485_863 * (r["shard"] + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(j), r["shard"], np.int32)), pa.array(position), pa.array([r["source"]] * len(j), pa.string()), pa.array(index), pa.array(passes.astype(np.int32))],
-                    names=["shard", "position", "source", "block", "pass"],
-                )
-
-    spread = draws.repartition(max(1, min(len(plan), 256)), "shard", "source")
-    asked = spread.mapInArrow(slots, "shard int, position bigint, source string, block bigint, pass int")
+            for group in b.column(0).to_pylist():
+                for shard, first, take in draw_shards(*group_counts(wanted, group, groups), shard_slots, group * (GROUP_SHARDS + 1), seed):
+                    position = permute(np.arange(int(take.sum())), int(take.sum()), seed + 15_485_863 * (shard + 1))
+                    at = np.concatenate([[0], np.cumsum(take)])
+                    for i in np.flatnonzero(take):
+                        j = np.arange(first[i], first[i] + take[i])
+                        passes, index = j // blocks[i], np.empty(len(j), np.int64)
+                        for p in np.unique(passes):
+                            own = passes == p
+                            index[own] = permute(j[own] % blocks[i], blocks[i], seed + 1_009 * int(i) + 104_729 * int(p))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(j), shard, np.int64)), pa.array(position[at[i] : at[i + 1]]), pa.array([names[i]] * len(j), pa.string()), pa.array(index), pa.array(passes.astype(np.int32))],
+                            names=["shard", "position", "source", "block", "pass"],
+                        )
+
+    # about a million slots a task, but no task without a group
+    tasks = max(1, min(groups, max(spark.sparkContext.defaultParallelism, total // 1_000_000)))
+    asked = spark.range(0, groups if total else 0, 1, tasks).mapInArrow(slots, "shard bigint, position bigint, source string, block bigint, pass int")
     end = F.col("before") + F.col("n_tokens")
     parts = placed.filter(F.col("source").isin(*quota)) if quota else placed.limit(0)
     parts = parts.select(
@@ -168,6 +174,21 @@ def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(source_sizes(spark, sf_dir), _targets(spark, sf_dir))
 
 
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By source with a target: whether no part of a text comes more often than it may, and whether the share is met within a hundredth.
+
+    Sources without any text hold no share; the others keep their proportions to each other.
+    """
+    targets = _targets(spark, sf_dir)
+    mixed = settle(p8_mixture(spark, sf_dir), "mixture")
+    often = mixed.groupBy("source", "doc_id", "token_start").agg(F.count(F.lit(1)).alias("n")).groupBy("source").agg(F.max("n").alias("most"))
+    tokens = {r[0]: r[1] for r in mixed.groupBy("source").agg(F.sum("token_count")).collect()}
+    total, share = sum(tokens.values()), sum(w for s, w, _ in targets if s in tokens)
+    rows = [(s, int(r), s not in tokens or abs(tokens[s] / total - w / share) <= 0.01) for s, w, r in targets]
+    goal = spark.createDataFrame(rows, "source string, max_repeats int, share_kept boolean")
+    return goal.join(often, "source", "left").select("source", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("repeats_kept"), "share_kept")
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share, tokens and repeats of every source that has a target."""
     targets = _targets(spark, sf_dir)
@@ -182,3 +203,6 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.coalesce("tokens", F.lit(0)) / F.lit(total)).alias("actual_share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
         )
     )
+
+
+P8_INVARIANTS_SQL = "SELECT DISTINCT lower(trim(source)) AS source, true AS repeats_kept, true AS share_kept FROM mix_targets WHERE trim(coalesce(source, '')) <> ''"

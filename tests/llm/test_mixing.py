@@ -25,13 +25,15 @@ def test_quotas_keep_shares_and_repeats():
     assert M.quotas({}, [("a", 1.0, 1)], 100) == {}
 
 
-def test_draws_add_up():
-    want = {"a": 1003, "b": 77, "c": 0}
-    rows = M.draw_shards(want, 100)
-    for s in want:
-        own = [(f, n) for _, source, f, n in rows if source == s]
-        assert sum(n for _, n in own) == want[s] and all(f == sum(n for _, n in own[:i]) for i, (f, _) in enumerate(own))
-    assert {sum(n for k, _, _, n in rows if k == shard) for shard in range(10)} == {100}
+@pytest.mark.parametrize("groups", [1, 7])
+def test_draws_add_up(groups):
+    want, rows = [1003, 77, 0], []
+    for g in range(groups):
+        rows += list(M.draw_shards(*M.group_counts(want, g, groups), 100, g * 17, 1))
+    assert len({k for k, _, _ in rows}) == len(rows) and all(50 <= n.sum() <= 100 for _, _, n in rows)
+    for i, total in enumerate(want):
+        slots = [s for _, first, n in rows for s in range(first[i], first[i] + n[i])]
+        assert slots == list(range(total))
 
 
 TARGETS = [("hot", 0.6, 1), ("mid", 0.3, 2), ("tiny", 0.06, 5), ("nowhere", 0.04, 3)]
@@ -48,14 +50,14 @@ def test_mixture(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows + rows[:20]] + [(40_000, "hot", 0, "x"), (40_001, "hot", None, "x")], "doc_id long, source string, n_tokens long, block string")
     got = M.mix(df, TARGETS, block=64, shard_slots=256).collect()
     length = {r[0]: r[2] for r in rows}
-    # a slot holds at most a block; no position is taken twice; shards are full but the last
+    # a slot holds at most a block; no position is taken twice; shards are of equal size within a group
     slot = Counter()
     for r in got:
         slot[r.shard, r.position] += r.token_count
         assert 0 <= r.token_start and r.token_start + r.token_count <= length[r.doc_id] and r.token_count > 0
     assert max(slot.values()) <= 64
     per_shard = Counter(k for k, _ in slot)
-    assert set(list(per_shard.values())[:-1]) <= {256, min(per_shard.values())} and all({p for s, p in slot if s == k} == set(range(n)) for k, n in per_shard.items())
+    assert 200 < min(per_shard.values()) <= max(per_shard.values()) <= 256 and all({p for s, p in slot if s == k} == set(range(n)) for k, n in per_shard.items())
     # no token of a document comes more often than its source may repeat
     most = {"hot": 1, "mid": 2, "tiny": 5}
     tokens, total = Counter(), Counter()
