@@ -35,8 +35,8 @@ LEAST_CHARS = 200
 SHORTEST, ONE_OF, LONGEST = 3, 3, 12
 #: Records whose pairs of words are counted to order pairs by rarity, and pairs that are held for it; no result depends on either.
 SAMPLE, HELD = 40_000, 300_000
-#: Records of one pair of words and split that meet in one task.
-BLOCK = 2000
+#: Records of one pair of words that meet in one task, and the part of all records counted at least to tell pairs of very many records.
+BLOCK, LEAST_SHARE = 2000, 0.02
 #: Parity bits of the words of a record, in 64s.
 BITS = 4
 _DIVIDED = re.compile(r"(?<=\w)[-‐‑\xad¬=–~][^\S\n]*\n\s*(?=[^\W\d])")
@@ -154,26 +154,28 @@ def _neighbours(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def frequent_pairs(records: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted pairs of neighbouring words that return in a sample of ``n`` records(record, words), and how often: at most HELD."""
+    """Sorted pairs of neighbouring words that return in a sample of ``n`` records(record, words), and about how often in all: at most HELD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs, counts = np.unique(_neighbours(b.column(0))[2], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts.astype(np.int64))], names=["pair", "n"])
 
+    share = min(1.0, max(SAMPLE / max(n, 1), LEAST_SHARE))
     # a record is told by a digest, so its place among all numbers of 64 bits draws the sample
-    drawn = records.filter((F.col("record").cast("double") + 2.0**63) / 2.0**64 <= min(1.0, SAMPLE / max(n, 1))).select("words")
+    drawn = records.filter((F.col("record").cast("double") + 2.0**63) / 2.0**64 <= share).select("words")
     counted = drawn.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 1")
     got = counted.orderBy(F.desc("n"), "pair").limit(HELD).toArrow()
     pairs, counts = got["pair"].to_numpy(), got["n"].to_numpy()
     order = np.argsort(pairs)
-    return pairs[order], counts[order]
+    return pairs[order], (counts[order] / share).astype(np.int64)
 
 
 def rare_pairs(records: DataFrame, known: tuple[np.ndarray, np.ndarray], same: float) -> DataFrame:
     """Of ``records(record, train, eval, words)`` the pairs of neighbouring words one of which two records have in common that share ``same`` of the longer one.
 
-    ``pair, record, train, eval, n`` (words), ``rarer`` (places with rarer pairs), ``first`` and ``last`` place, and ``b0 …``: parity bits.
+    ``pair, record, train, eval, n`` (words), ``rarer`` (places with rarer pairs), ``first`` and ``last`` place, ``blocks`` the pair's records are to be cut into, and
+    ``b0 …``: parity bits.
     """
     held = records.sparkSession.sparkContext.broadcast(known)
     bits = [f"b{i}" for i in range(BITS)]
@@ -198,14 +200,15 @@ def rare_pairs(records: DataFrame, known: tuple[np.ndarray, np.ndarray], same: f
             rarer = start - (np.cumsum(np.maximum(n - 1, 0)) - np.maximum(n - 1, 0))[who]
             keep = rarer <= 3 * (1 - same) * n[who] + 1e-6
             start, end, who, rarer = start[keep], end[keep], who[keep], rarer[keep]
+            blocks = 1 + often[order][start] // BLOCK
             rows = pa.array(who)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pairs[start]), *(b.column(i).take(rows) for i in range(3)), *(pa.array(c.astype(np.int32)) for c in (n[who], rarer, place[start], place[end])), *(pa.array(np.ascontiguousarray(signs[who, i])) for i in range(BITS))],
-                names=["pair", "record", "train", "eval", "n", "rarer", "first", "last", *bits],
+                [pa.array(pairs[start]), *(b.column(i).take(rows) for i in range(3)), *(pa.array(c.astype(np.int32)) for c in (n[who], rarer, place[start], place[end], blocks)), *(pa.array(np.ascontiguousarray(signs[who, i])) for i in range(BITS))],
+                names=["pair", "record", "train", "eval", "n", "rarer", "first", "last", "blocks", *bits],
             )
 
     return records.select("record", "train", "eval", "words").mapInArrow(
-        run, "pair bigint, record bigint, train boolean, eval boolean, n int, rarer int, first int, last int, " + ", ".join(f"{x} bigint" for x in bits)
+        run, "pair bigint, record bigint, train boolean, eval boolean, n int, rarer int, first int, last int, blocks int, " + ", ".join(f"{x} bigint" for x in bits)
     )
 
 
@@ -213,20 +216,16 @@ def candidates(records: DataFrame, known: tuple[np.ndarray, np.ndarray], same: f
     """``train_record, eval_record``: at least all that share ``same`` of the longer one's words in order, and are not equal."""
     if same < 0.8:
         raise ValueError("below four fifths short records need not have two neighbouring words in common")
-    rows = settle(rare_pairs(records, known, same), "rare")
-    # only pairs of words that both sides hold bring anything together; one that very many records hold is cut into blocks
-    counted = rows.groupBy("pair").agg(F.count_if("train").alias("t"), F.count_if("eval").alias("e")).filter("t > 0 and e > 0")
-    blocks = [F.ceil(F.col(c) / BLOCK).cast("int").alias(f"{c}k") for c in ("t", "e")]
-    live = settle(rows.join(counted.select("pair", *blocks), "pair"), "live")
-    names = [c for c in rows.columns if c not in ("pair", "train", "eval")]
-
-    def side(mine: str, name: str, own: str, other: str) -> DataFrame:
-        """One side: each record in the block its hash gives it, once for each block of the other side."""
-        block = F.pmod(F.xxhash64("record"), F.col(own)).cast("int").alias(f"{mine}_block")
-        facing = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{name}_block")
-        return live.filter(mine).select("pair", block, facing, *(F.col(c).alias(f"{mine}_{c}") for c in names))
-
-    left, right = side("train", "eval", "tk", "ek"), side("eval", "train", "ek", "tk")
+    rows = rare_pairs(records, known, same)
+    names = [c for c in rows.columns if c not in ("pair", "train", "eval", "blocks")]
+
+    def side(mine: str, other: str) -> DataFrame:
+        """One side: each record in the block of its pair its hash gives it, once for each block of the other side; most pairs have one."""
+        block = F.pmod(F.xxhash64("record"), F.col("blocks")).cast("int").alias(f"{mine}_block")
+        facing = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(f"{other}_block")
+        return rows.filter(mine).select("pair", block, facing, *(F.col(c).alias(f"{mine}_{c}") for c in names))
+
+    left, right = side("train", "eval"), side("eval", "train")
     keys = ["pair", "train_block", "eval_block"]
     tn, en = F.col("train_n"), F.col("eval_n")
     longest = F.greatest(tn, en)
