@@ -8,13 +8,13 @@ information as far as it consists of such lines and of those the detectors know.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 from re import _parser
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,8 +61,10 @@ DEMAND = re.compile(
 )
 MARKS = re.compile(r"[{}<>\[\]%@«»]|__")
 WORDS = re.compile(r"[^\W\d_]+")
-#: A line that returns is a response under so many titles at MIN_HOSTS hosts, or under ONE_HOST times as many at fewer; it has LEAST_TERMS words.
-MIN_TITLES, MIN_HOSTS, ONE_HOST, LEAST_TERMS = 5, 2, 3, 3
+_NO_LETTERS = re.compile(r"[^\w\n]+|[\d_]+")
+_DIGIT = re.compile(r"\d")
+#: A line that returns is a response under so many titles at several hosts, or under ONE_HOST times as many at one; it has LEAST_TERMS words.
+MIN_TITLES, ONE_HOST, LEAST_TERMS = 5, 3, 3
 
 
 def has_field(line: str) -> bool:
@@ -173,31 +175,39 @@ def screened_lines(text: str) -> list[str]:
     return [line for line, held in zip(text.split("\n"), _held(py_fold(text))) if held]
 
 
-def kinds_of(text: str) -> Iterator[tuple[str, str, str | None]]:
-    """``(line, folded line, kind)`` of every line of a text that is not blank, with the kind ``kind_of`` gives.
+def judged_lines(text: str) -> Iterator[tuple[str, str, list[str], str | None]]:
+    """``(line, folded line, its words, kind)`` of every line of a text that is not blank, with the kind ``kind_of`` gives.
 
     A line without any literal the patterns need can only be filler by its words: two different stock words, or at most four
     words again and again.
     """
     text = text.replace("\f", "")
     folded = py_fold(text)
-    for line, small, held in zip(text.split("\n"), folded.split("\n"), _held(folded)):
-        if not line.strip():
-            continue
+    for line, small, letters, held in zip(text.split("\n"), folded.split("\n"), _NO_LETTERS.sub(" ", folded).split("\n"), _held(folded)):
+        words = letters.split()
         if held:
-            yield line, small, kind_of(line, small)
-            continue
-        words = set(WORDS.findall(small))
-        by_words = len(words) <= 4 or len(words & FILLER_WORDS) >= 2
-        yield line, small, "filler" if by_words and is_filler(small) else None
+            if line.strip():
+                yield line, small, words, kind_of(line, small)
+        elif words:
+            few = set(words)
+            by_words = len(few) <= 4 or len(few & FILLER_WORDS) >= 2
+            yield line, small, words, "filler" if by_words and is_filler(small) else None
+        elif line.strip():
+            yield line, small, words, None
+
+
+def kinds_of(text: str) -> Iterator[tuple[str, str, str | None]]:
+    """The same without the words."""
+    return ((line, small, kind) for line, small, _, kind in judged_lines(text))
 
 
-def response_key(folded: str) -> int | None:
-    """64 bits that tell a line without its numbers and codes; None for one of fewer than LEAST_TERMS words, which any text may hold."""
-    plain = masked(folded)
-    if plain.count(" ") + 1 < LEAST_TERMS or len(WORDS.findall(plain)) < LEAST_TERMS:
+def response_key(folded: str, words: list[str]) -> int | None:
+    """64 bits that tell a line by its words, without its numbers and codes; None for one of fewer than LEAST_TERMS words, which any text may hold."""
+    if _DIGIT.search(folded):
+        words = WORDS.findall(masked(folded))
+    if len(words) < LEAST_TERMS:
         return None
-    return int.from_bytes(hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def document_evidence(documents: DataFrame) -> DataFrame:
@@ -217,13 +227,13 @@ def document_evidence(documents: DataFrame) -> DataFrame:
                 chars = dict.fromkeys(names, 0)
                 terms = {w for w in WORDS.findall(py_fold(f"{filename or ''} {title or ''}".replace("_", " "))) if len(w) > 3 and w != "pdf"}
                 rest = []
-                for line, folded, kind in kinds_of(text):
+                for line, folded, words, kind in judged_lines(text):
                     if kind:
                         chars[kind] += len(line)
                     else:
-                        rest.append((folded, len(line)))
-                mismatch = not any(not terms.isdisjoint(WORDS.findall(f)) for f, _ in rest)
-                lines = [{"key": k, "chars": n} for f, n in rest if (k := response_key(f)) is not None] if mismatch else []
+                        rest.append((folded, words, len(line)))
+                mismatch = all(terms.isdisjoint(w) for _, w, _ in rest)
+                lines = [{"key": k, "chars": n} for f, w, n in rest if (k := response_key(f, w)) is not None] if mismatch else []
                 out.append((doc, source, len(text), *(chars[k] for k in names), mismatch, py_fold(title or filename or ""), lines))
             columns = list(zip(*out)) if out else [[] for _ in range(10)]
             types = [pa.int64(), pa.string(), pa.int64(), *[pa.int64()] * 4, pa.bool_(), pa.string(), pa.list_(pa.struct([("key", pa.int64()), ("chars", pa.int64())]))]
@@ -233,31 +243,29 @@ def document_evidence(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", slug(F.col("source")).alias("source"), "filename", title.alias("title"), "text").mapInArrow(run, schema)
 
 
-def residue_documents(documents: DataFrame, min_titles: int = MIN_TITLES, min_hosts: int = MIN_HOSTS) -> DataFrame:
+def residue_documents(documents: DataFrame, min_titles: int = MIN_TITLES) -> DataFrame:
     """``doc_id, source, n_chars, bad_chars, repeated_chars, kind, is_residue`` for every document.
 
     A document is residue when more than half of its characters belong to lines that hold an unfilled field, filler,
     a failure message or a demand, or that are responses: lines of bodies that match neither slug nor title, which numbers aside appear
-    under at least ``min_titles`` titles at ``min_hosts`` hosts, or under ONE_HOST times as many titles. Null and empty texts
+    under at least ``min_titles`` titles at several hosts, or under ONE_HOST times as many titles. Null and empty texts
     are no residue; repeated rows count once.
     """
     each = settle(document_evidence(documents), "residue")
-    # counted by title and host first, so a line all documents share moves once per task and title
-    lines = each.filter("size(lines) > 0").select("doc_id", F.xxhash64("title").alias("title"), "source", F.explode("lines").alias("s")).select("doc_id", "title", "source", "s.key", "s.chars")
+    # counted by title first, so a line all documents share moves once per task and title; several hosts show in the least and the greatest
+    lines = each.filter("size(lines) > 0").select("doc_id", F.xxhash64("title").alias("title"), F.xxhash64("source").alias("host"), F.explode("lines").alias("s")).select("doc_id", "title", "host", "s.key", "s.chars")
     responses = (
-        lines.groupBy("key", "title", "source").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("key", "title").agg(F.collect_set("source").alias("at"))
-        .groupBy("key").agg(F.count(F.lit(1)).alias("titles"), F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("hosts"))
-        .filter((F.col("titles") >= min_titles) & ((F.col("hosts") >= min_hosts) | (F.col("titles") >= ONE_HOST * min_titles)))
+        lines.groupBy("key", "title").agg(F.min("host").alias("lo"), F.max("host").alias("hi"))
+        .groupBy("key").agg(F.count(F.lit(1)).alias("titles"), (F.min("lo") != F.max("hi")).alias("spread"))
+        .filter((F.col("titles") >= min_titles) & (F.col("spread") | (F.col("titles") >= ONE_HOST * min_titles)))
         .select("key")
     )
     repeated = lines.join(responses, "key", "left_semi").groupBy("doc_id").agg(F.sum("chars").alias("repeated_chars"))
     kinds = ["field", "filler", "failure", "demand"]
     known = sum((F.col(k) for k in kinds), F.lit(0))
-    once = each.drop("lines").dropDuplicates(["doc_id"])
-    copies = each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    once = each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("source", "n", *kinds)])
     return (
-        once.join(copies, "doc_id").join(repeated, "doc_id", "left")
+        once.join(repeated, "doc_id", "left")
         .withColumn("repeated_chars", F.expr("coalesce(repeated_chars, 0) div copies"))
         .withColumn("bad_chars", known + F.col("repeated_chars"))
         .select(
