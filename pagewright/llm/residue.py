@@ -9,10 +9,12 @@ information as far as it consists of such lines and of those the detectors know.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from re import _parser
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +61,8 @@ DEMAND = re.compile(
     r"|\bbetikler\w*\b.*\b(acma\w*|etkin\w*|acin\w*|izin)\b|\btarayici\w* (desteklenmi?yor|guncel\w*)|\binsan oldugunuz\w*\b|\brobot olmad\w*\b|\bcerezler\w*\b.*\b(acin\w*|etkin\w*)\b"
     r"|\bactive[rz]\b.*\b(javascript|scripts)\b|\bnavigateur\b.*\b(obsolete|pas pris|mettre a jour)\b|\bvous etes humain\b|\bpas un robot\b|\baktivieren sie\b|\bbrowser (wird nicht|ist veraltet|aktualisieren)\b|\bkein roboter\b|\bmensch sind\b"
 )
+#: Rows of a counted table that may be broadcast.
+MOST_BROADCAST = 200_000
 MARKS = re.compile(r"[{}<>\[\]%@«»]|__")
 WORDS = re.compile(r"[^\W\d_]+")
 _NO_LETTERS = re.compile(r"[^\w\n]+|[\d_]+")
@@ -213,15 +217,16 @@ def response_key(folded: str, words: list[str]) -> int | None:
 def document_evidence(documents: DataFrame) -> DataFrame:
     """One row per document with its marked characters by kind, and the other lines of bodies that match neither slug nor title.
 
-    ``doc_id, source, n, field, filler, failure, demand, mismatch, title, lines array<struct<key, chars>>``. Every line of every text is
+    ``doc_id, source, n, field, filler, failure, demand, mismatch, title``, and ``keys`` and ``chars`` of the lines, two arrays. Every line of every text is
     judged, and every body is compared with its slug and title, whatever its length.
     """
     names = ["field", "filler", "failure", "demand"]
-    schema = "doc_id bigint, source string, n bigint, " + ", ".join(f"`{k}` bigint" for k in names) + ", mismatch boolean, title string, lines array<struct<key: bigint, chars: bigint>>"
+    schema = "doc_id bigint, source string, n bigint, " + ", ".join(f"`{k}` bigint" for k in names) + ", mismatch boolean, title string, keys array<bigint>, chars array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
+            keys, sizes, ends = array("q"), array("i"), array("i", [0])
             for doc, source, filename, title, text in zip(*(c.to_pylist() for c in b.columns)):
                 text = text or ""
                 chars = dict.fromkeys(names, 0)
@@ -233,11 +238,16 @@ def document_evidence(documents: DataFrame) -> DataFrame:
                     else:
                         rest.append((folded, words, len(line)))
                 mismatch = all(terms.isdisjoint(w) for _, w, _ in rest)
-                lines = [{"key": k, "chars": n} for f, w, n in rest if (k := response_key(f, w)) is not None] if mismatch else []
-                out.append((doc, source, len(text), *(chars[k] for k in names), mismatch, py_fold(title or filename or ""), lines))
-            columns = list(zip(*out)) if out else [[] for _ in range(10)]
-            types = [pa.int64(), pa.string(), pa.int64(), *[pa.int64()] * 4, pa.bool_(), pa.string(), pa.list_(pa.struct([("key", pa.int64()), ("chars", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["doc_id", "source", "n", *names, "mismatch", "title", "lines"])
+                for f, w, n in rest if mismatch else ():
+                    if (key := response_key(f, w)) is not None:
+                        keys.append(key)
+                        sizes.append(n)
+                ends.append(len(keys))
+                out.append((doc, source, len(text), *(chars[k] for k in names), mismatch, py_fold(title or filename or "")))
+            columns = list(zip(*out)) if out else [[] for _ in range(9)]
+            types = [pa.int64(), pa.string(), pa.int64(), *[pa.int64()] * 4, pa.bool_(), pa.string()]
+            lists = [pa.ListArray.from_arrays(pa.array(np.array(ends)), pa.array(np.array(v))) for v in (keys, sizes)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(list(c), t) for c, t in zip(columns, types)), *lists], names=["doc_id", "source", "n", *names, "mismatch", "title", "keys", "chars"])
 
     title = F.coalesce(F.col("display_title"), F.col("pdf_title"), F.col("work"))
     return documents.select("doc_id", slug(F.col("source")).alias("source"), "filename", title.alias("title"), "text").mapInArrow(run, schema)
@@ -252,8 +262,12 @@ def residue_documents(documents: DataFrame, min_titles: int = MIN_TITLES) -> Dat
     are no residue; repeated rows count once.
     """
     each = settle(document_evidence(documents), "residue")
+    lines = each.filter("size(keys) > 0").select("doc_id", F.xxhash64("title").alias("title"), F.xxhash64("source").alias("host"), F.explode(F.arrays_zip("keys", "chars")).alias("s"))
+    lines = lines.select("doc_id", "title", "host", F.col("s.keys").alias("key"), F.col("s.chars").alias("chars"))
+    # a line under several titles stands in as many rows; what returns is little, and only of it the titles are counted
+    back = settle(lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("title").alias("lo"), F.max("title").alias("hi")).filter((F.col("n") >= min_titles) & (F.col("lo") != F.col("hi"))).select("key"), "back")
+    lines = settle(lines.join(F.broadcast(back) if back.count() <= MOST_BROADCAST else back, "key", "left_semi"), "lines")
     # counted by title first, so a line all documents share moves once per task and title; several hosts show in the least and the greatest
-    lines = each.filter("size(lines) > 0").select("doc_id", F.xxhash64("title").alias("title"), F.xxhash64("source").alias("host"), F.explode("lines").alias("s")).select("doc_id", "title", "host", "s.key", "s.chars")
     responses = (
         lines.groupBy("key", "title").agg(F.min("host").alias("lo"), F.max("host").alias("hi"))
         .groupBy("key").agg(F.count(F.lit(1)).alias("titles"), (F.min("lo") != F.max("hi")).alias("spread"))
