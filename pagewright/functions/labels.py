@@ -11,6 +11,16 @@ SPLITS = (("train", 90), ("validation", 95), ("test", 100))
 # Size buckets of a dataset card and the count each stays below.
 SIZE_BUCKETS = ((1_000, "n<1K"), (10_000, "1K<n<10K"), (100_000, "10K<n<100K"), (1_000_000, "100K<n<1M"))
 
+# How the console shows the status of a run, of a page and of a recognition profile.
+RUN_PILLS = {"completed": "pill-success", "failed": "pill-error", "processing": "pill-active", "queued": "pill-warn"}
+PAGE_CLASSES = {"pass": "page-pass", "warn": "page-warn", "fail": "page-fail", "empty": "page-empty"}
+PROFILE_PILLS = {"default": "pill-success", "benchmark": "pill-warn"}
+
+
+def shown_as(status: Column, known: dict[str, str], otherwise: str) -> Column:
+    """What a status is shown as; ``otherwise`` for null and any other."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), status), F.lit(otherwise))
+
 
 def filled(c: Column) -> Column:
     """The value, or null where it is an empty string."""

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions.classes import LETTER, NOT_SPACE, SPACE, strip, text_lines
 from pagewright.functions.clean import LEAK_TAGS
@@ -25,12 +29,19 @@ def longest_run(lines: Column) -> Column:
     return F.aggregate(lines, start, step, lambda acc: acc["most"])
 
 
-def dominant_character(text: Column) -> Column:
-    """(character, count) of the most frequent character beside blanks and line breaks; of equals the first."""
-    chars = F.split(F.regexp_replace(text, "[ \n]", ""), "")
-    kinds = F.filter(F.array_distinct(chars), lambda x: x != "")
-    counted = F.transform(kinds, lambda k, i: F.struct((F.length(text) - F.length(F.replace(text, k, F.lit("")))).alias("n"), (-i).alias("at"), k.alias("ch")))
-    return F.array_max(counted)
+@F.pandas_udf(T.StructType([T.StructField("ch", T.StringType()), T.StructField("n", T.LongType())]))
+def _top_character(texts: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t in texts:
+        # of equals the first: a counter keeps the order in which it met them
+        top = Counter((t or "").replace(" ", "").replace("\n", "")).most_common(1)
+        rows.append(top[0] if top else (None, None))
+    return pd.DataFrame(rows, columns=["ch", "n"]).astype({"n": "Int64"})
+
+
+#: (character, count) of the most frequent character beside blanks and line breaks; of equals the first, nulls for a text of none. One look
+#: at each character, whatever the alphabet. It is said not to be deterministic so that no filter is pushed below it and no rule is evaluated twice.
+dominant_character = _top_character.asNondeterministic()
 
 
 def marker_artifacts(text: Column) -> Column:
@@ -53,15 +64,12 @@ def with_quality(df: DataFrame, text: str, page: str) -> DataFrame:
     """Add ``quality``: a struct of status, issues, flags and metrics.
 
     A text shorter than 20 characters when stripped is ``empty``, has one issue and no metrics but its length. Null counts as
-    empty. Extra columns stay; names starting with ``__q`` are used inside. To keep only some
-    pages, filter before the rules or write their result first: the optimizer pushes a filter on ``quality`` below them and
-    evaluates every rule again for it.
+    empty. Extra columns stay; names starting with ``__q`` are used inside. A filter on ``quality`` stays above the rules.
     """
     t = F.col("__q_text")
     step1 = df.withColumn("__q_text", strip(F.coalesce(F.col(text), F.lit(""))))
     step2 = (
         step1.withColumn("__q_lines", text_lines(t))
-        .withColumn("__q_top", dominant_character(t))
         .withColumn("__q_all", F.length(F.regexp_replace(t, "[ \n]", "")))
         .withColumn("__q_artifact", marker_artifacts(t) | repeated_unit(t))
         .withColumn(
@@ -71,7 +79,7 @@ def with_quality(df: DataFrame, text: str, page: str) -> DataFrame:
         .withColumn("__q_markup", t.rlike(rf"(?i)</?({LEAK_TAGS})\b[^>]*>"))
     )
     lines, n = F.col("__q_lines"), F.size("__q_lines")
-    step3 = step2.withColumn("__q_unique", F.size(F.array_distinct(lines))).withColumn("__q_run", longest_run(lines))
+    step3 = step2.withColumn("__q_unique", F.size(F.array_distinct(lines))).withColumn("__q_run", longest_run(lines)).withColumn("__q_top", dominant_character(t))
     ratio = 1 - F.col("__q_unique") / n
     share = F.coalesce(F.col("__q_top.n") / F.nullif(F.col("__q_all"), F.lit(0)), F.lit(0.0))
     p = F.col(page)

@@ -71,6 +71,22 @@ def direction(ltr: Column, rtl: Column) -> Column:
     )
 
 
+def _rtl(text: str) -> bool:
+    """Whether ``direction`` of a text's counts is right to left."""
+    ltr = rtl = 0
+    for ch, n in Counter(text).items():
+        a, b, *_ = traits(ch)
+        ltr, rtl = ltr + a * n, rtl + b * n
+    both = ltr + rtl
+    return bool(text.strip() and both) and (rtl / both > 0.8 or (rtl > ltr and not (rtl / both > 0.15 and ltr / both > 0.15)))
+
+
+@F.pandas_udf(T.StringType())
+def wrap_blocks(texts: pd.Series) -> pd.Series:
+    """Of the blocks between blank lines those that are written from right to left inside an element that says so."""
+    return texts.map(lambda t: t if t is None else "\n\n".join(f'<div dir="rtl">\n{b}\n</div>' if _rtl(b) else b for b in t.split("\n\n")))
+
+
 def family(text: Column, way: Column, arabic: Column, latin: Column, extended: Column) -> Column:
     return (
         F.when((arabic > latin) & (arabic > 20), "arabic")
@@ -92,6 +108,12 @@ def language_hints(text: Column, arabic: Column) -> Column:
     )
 
 
+#: Fields of ``analysis``.
+ANALYSIS = (
+    "direction", "primary_script", "ltr_ratio", "rtl_ratio", "arabic_char_count", "latin_char_count", "extended_latin_count", "has_diacritics", "sample_rtl_chars", "sample_ltr_chars", "detected_languages",
+)
+
+
 def analysis(text: Column, counts: Column) -> Column:
     """Struct of everything known about a text, from its counts; a blank text is undetermined and all zero."""
     blank = strip(F.coalesce(text, F.lit(""))) == ""

@@ -5,11 +5,12 @@ A table is a DataFrame; every change returns the changed table, to be written el
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.classes import strip
 from pagewright.functions.labels import filled, first_filled
+from pagewright.operators.ranks import ordered_rank
 
 #: Columns a metadata patch may change.
 PATCHABLE = (
@@ -177,13 +178,33 @@ def retryable(runs: DataFrame, run_documents: DataFrame, documents: DataFrame) -
 def current_document(run_documents: DataFrame) -> DataFrame:
     """The document of each run to show: one processing, else waiting, else failed, each the first; else the last.
 
-    Order is by start, unstarted last, then by document.
+    Order is by start, unstarted last, then by document; ``position`` tells the place in it. No task holds a whole run.
     """
-    place = Window.partitionBy("run_id").orderBy(F.col("started_at").asc_nulls_last(), "document_id")
+    ranked = ordered_rank(run_documents, ["run_id"], started_order(), "position")
     rank = F.when(F.col("status") == "processing", 0).when(F.col("status").isin("pending", "queued"), 1).when(F.col("status") == "failed", 2).otherwise(3)
-    ranked = run_documents.withColumn("__p", F.row_number().over(place)).withColumn("__r", rank)
-    best = Window.partitionBy("run_id").orderBy("__r", F.when(F.col("__r") < 3, F.col("__p")).otherwise(-F.col("__p")))
-    return ranked.withColumn("__n", F.row_number().over(best)).filter("__n = 1").withColumn("position", F.col("__p")).drop("__p", "__r", "__n")
+    first = F.struct(rank, F.when(rank < 3, F.col("position")).otherwise(-F.col("position")))
+    names = [c for c in ranked.columns if c != "run_id"]
+    return ranked.groupBy("run_id").agg(F.min_by(F.struct(*names), first).alias("r")).select("run_id", "r.*")
+
+
+def started_order() -> list[Column]:
+    """Documents of a run by start, unstarted ones last, then by document."""
+    return [F.col("started_at").asc_nulls_last(), F.col("document_id").asc()]
+
+
+def selection_state(run_documents: DataFrame) -> DataFrame:
+    """``run_id, all_documents, unfinished, complete``: whether all documents of each run are completed; counted, not gathered."""
+    each = run_documents.groupBy("run_id", "document_id").agg(F.max(F.coalesce(F.col("status") == "completed", F.lit(False))).alias("done"))
+    return each.groupBy("run_id").agg(F.count(F.lit(1)).alias("all_documents"), F.count_if(~F.col("done")).alias("unfinished")).withColumn("complete", F.col("unfinished") == 0)
+
+
+def update_rows(df: DataFrame, where: Column, **values) -> DataFrame:
+    """``df`` with the given columns set in the rows that meet ``where``, any column but one that is not there; other rows stay."""
+    unknown = [c for c in values if c not in df.columns]
+    if unknown:
+        raise KeyError(unknown[0])
+    own = F.coalesce(where, F.lit(False))
+    return df.withColumns({c: F.when(own, v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(c)).cast(df.schema[c].dataType) for c, v in values.items()})
 
 
 def dedup_uploads(incoming: DataFrame, documents: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.classes import text_lines, words
 from pagewright.functions.labels import page_id
+from pagewright.functions.quality import with_quality
+from pagewright.functions.script import ANALYSIS, analysis, script_counts
 
 PAGE_BREAK = "\n\f\n"
 #: Extraction modes in the order they are tried on a page.
@@ -68,3 +70,17 @@ def pick_attempt(attempts: DataFrame, keys: list[str], attempt: str, status: str
 
 def with_page_id(df: DataFrame, document: str = "document_id", number: str = "page_num") -> DataFrame:
     return df.withColumn("page_id", page_id(F.col(document), F.col(number)))
+
+
+def page_metadata(pages: DataFrame, text: str = "clean_text") -> DataFrame:
+    """The record of every page: its keys and what was measured while it was read, with lengths, script and quality worked out from ``text``.
+
+    ``pages`` has ``page_num`` and may have any other columns, which stay. Added are ``chars, words, lines, tokens_approx``, the fields of the script
+    analysis, and ``status, issues, flags, repetition_ratio`` of the quality rules. Null texts count as empty.
+    """
+    judged = with_quality(pages, text, "page_num")
+    counted = judged.withColumn("__m", measures(F.col(text))).withColumn("__n", script_counts(text))
+    told = counted.withColumn("__a", analysis(F.col(text), F.col("__n")))
+    made = ("chars", "words", "lines", "tokens_approx", "status", "issues", "flags", "repetition_ratio", *ANALYSIS)
+    kept = [F.col(c) for c in pages.columns if c not in made]
+    return told.select(*kept, "__m.*", *[f"__a.{c}" for c in ANALYSIS], *[f"quality.{c}" for c in ("status", "issues", "flags")], F.coalesce("quality.repetition_ratio", F.lit(0.0)).alias("repetition_ratio"))

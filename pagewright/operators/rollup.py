@@ -59,21 +59,57 @@ def dataset_card(documents: DataFrame) -> DataFrame:
     return card.withColumn("size_category", size_bucket(F.col("pages")))
 
 
+#: A dataset card with the places its numbers take.
+CARD = """---
+license: cc-by-4.0
+task_categories:
+  - text-generation
+  - feature-extraction
+language:
+  - %s
+size_categories:
+  - %s
+---
+# Pages of run `%s`
+
+Read by `%s` with pipeline %s; finished on %s.
+
+| | count |
+|-|-|
+| documents | %d |
+| pages | %d |
+| passed | %d |
+| with warnings | %d |
+| failed | %d |
+| empty | %d |
+
+Scripts: %s.
+
+## Files
+
+`pages.parquet` has a row for each page with its raw and cleaned text, `documents.parquet` one for each document with its pages joined.
+
+## Loading
+
+```python
+spark.read.parquet("pages.parquet").where("split = 'train'")
+```
+
+## Splits
+
+The column `split` follows from the SHA-256 of the source file: 90 %% train, 5 %% validation, 5 %% test. All pages of a document share it.
+"""
+
+
 def card_text(card: DataFrame, runs: DataFrame) -> DataFrame:
-    """``run_id, card``: the card of each run as front matter and summary in Markdown."""
-    line = "\n".join(
-        [
-            "---", "license: cc-by-4.0", "task_categories:", "  - text-generation", "  - feature-extraction", "language:", "  - %s", "size_categories:", "  - %s", "---",
-            "# Dataset of run `%s`", "", "Generated with `%s` on %s.", "", "## Summary", "", "- **Documents:** %d", "- **Pages:** %d",
-            "- **Quality:** %d pass · %d warn · %d fail · %d empty", "- **Scripts:** %s", "- **Pipeline version:** %s", "", "## Splits", "",
-            "By the SHA-256 of the source file: 90 %% train, 5 %% validation, 5 %% test. Use the `split` column.", "",
-        ]
-    )
+    """``run_id, card``: the card of each run as front matter, counts and notes in Markdown; ``en`` where no language is known."""
     languages = F.replace(F.when(F.col("languages") == "", "en").otherwise(F.col("languages")), F.lit(", "), F.lit("\n  - "))
+    day = F.date_format(F.coalesce("completed_at", "created_at"), "yyyy-MM-dd")
+    known = lambda c: F.coalesce(c, F.lit("n/a"))
     return card.join(runs.select(F.col("id").alias("run_id"), "model_used", "pipeline_version", "completed_at", "created_at"), "run_id").select(
         "run_id",
         F.format_string(
-            line, languages, "size_category", "run_id", F.coalesce("model_used", F.lit("n/a")), F.coalesce("completed_at", "created_at").cast("string"),
-            "documents", "pages", "pages_pass", "pages_warn", "pages_fail", "pages_empty", F.when(F.col("scripts") == "", "unknown").otherwise(F.col("scripts")), F.coalesce("pipeline_version", F.lit("n/a")),
+            CARD, languages, "size_category", "run_id", known("model_used"), known("pipeline_version"), known(day),
+            "documents", "pages", "pages_pass", "pages_warn", "pages_fail", "pages_empty", F.when(F.col("scripts") == "", "unknown").otherwise(F.col("scripts")),
         ).alias("card"),
     )

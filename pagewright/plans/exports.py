@@ -5,6 +5,7 @@ Rows are plans over the tables of runs, documents and pages; writers put them be
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import shutil
@@ -16,10 +17,12 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.clean import normalize
 from pagewright.functions.labels import file_stem, first_filled, hash_split, language_list, text_hash
+from pagewright.functions.script import wrap_blocks
 from pagewright.operators.catalog import language_or
-from pagewright.operators.pages import join_pages
-from pagewright.operators.rollup import distinct_items, document_totals, dominant
+from pagewright.operators.pages import PAGE_BREAK, join_pages
+from pagewright.operators.rollup import STATUSES, distinct_items
 
+# Catalog columns of an export; the names of all output columns and manifest keys below are fixed by the formats too.
 CATALOG = ("group_path", "author", "work", "book", "document_date_label", "document_date_precision", "script", "license", "source_citation", "notes")
 PAGE_KEYS = ["run_id", "document_id", "page_num"]
 TEXT_MODES = {"clean": "cleaned_machine_ocr", "raw": "machine_ocr"}
@@ -56,17 +59,54 @@ def dataset_pages(pages: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
+def _gathered(pages: DataFrame, *columns: str) -> DataFrame:
+    """``run_id, document_id, p``: the distinct pages of each document of a run in order, as one array of structs of the columns.
+
+    Repeated page rows are equal and meet here anyway, so the text of a page moves once.
+    """
+    each = F.array_sort(F.collect_list(F.struct("page_num", *columns)))
+    once = F.filter("__p", lambda x, i: (i == 0) | ~x["page_num"].eqNullSafe(F.element_at("__p", F.greatest(i, F.lit(1)))["page_num"]))
+    return pages.groupBy("run_id", "document_id").agg(each.alias("__p")).select("run_id", "document_id", once.alias("p"))
+
+
+def _all(name: str) -> Column:
+    """One field of the gathered pages as an array."""
+    return F.transform("p", lambda x: x[name])
+
+
+def _joined(name: str) -> Column:
+    return F.array_join(F.transform("p", lambda x: F.coalesce(x[name], F.lit(""))), PAGE_BREAK)
+
+
+def _most(name: str, default: str) -> Column:
+    """The most frequent value of a field, of equals the one seen first; ``default`` where all are null."""
+    values = F.filter(_all(name), lambda x: x.isNotNull())
+    counted = F.transform(F.array_distinct(values), lambda v, i: F.struct(F.size(F.filter(values, lambda x: x == v)).alias("n"), (-i).alias("at"), v.alias("v")))
+    return F.coalesce(F.array_max(counted)["v"], F.lit(default))
+
+
+def _with_status(status: str) -> Column:
+    return F.size(F.filter("p", lambda x: x["status"] == status)).cast("bigint")
+
+
+def _items(name: str) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.transform("p", lambda x: F.coalesce(x[name], F.array().cast("array<string>"))))))
+
+
 def dataset_documents(pages: DataFrame, documents: DataFrame) -> DataFrame:
-    """The document rows of the Parquet dataset, rolled up from the pages of each run."""
-    p = unique_pages(pages)
-    keys = ["run_id", "document_id"]
-    totals = document_totals(p)
-    way = dominant(p, keys, "script_direction", "page_num", "dominant_direction", "ltr")
-    script = dominant(p, keys, "primary_script", "page_num", "dominant_script", "unknown")
-    raw = join_pages(p, keys, "raw_text", out="raw_text")
-    text = join_pages(p, keys, "clean_text", out="clean_text")
-    about = p.groupBy(*keys).agg(F.min("pipeline_version").alias("pipeline_version"), F.min("model_used").alias("model_used"))
-    joined = totals.join(way, keys).join(script, keys).join(raw, keys).join(text, keys).join(about, keys).join(markdown_documents(pages, documents), keys).join(_catalog(documents), "document_id")
+    """The document rows of the Parquet dataset, rolled up from the pages of each run in one aggregation."""
+    shown = pages.withColumn("wrapped", _mixed_blocks(F.col("clean_text"), F.col("script_direction")))
+    p = _gathered(
+        shown, "raw_text", "clean_text", "wrapped", "status", "script_direction", "primary_script", "detected_languages", "token_count_cl100k", "pipeline_version", "model_used",
+    )
+    total = F.aggregate("p", F.lit(0).cast("bigint"), lambda n, x: n + F.coalesce(x["token_count_cl100k"], F.lit(0)))
+    rolled = p.select(
+        "run_id", "document_id", "p", F.size("p").cast("bigint").alias("pages"), total.alias("total_tokens"),
+        *[_with_status(s).alias(f"pages_{s}") for s in STATUSES],
+        _most("script_direction", "ltr").alias("dominant_direction"), _most("primary_script", "unknown").alias("dominant_script"), _items("detected_languages").alias("languages_detected"),
+        _joined("raw_text").alias("raw_text"), _joined("clean_text").alias("clean_text"), F.array_min(_all("pipeline_version")).alias("pipeline_version"), F.array_min(_all("model_used")).alias("model_used"),
+    )
+    joined = rolled.join(_catalog(documents), "document_id").withColumn("markdown", _markdown())
     return joined.select(
         F.concat(F.lit("run-"), "run_id").alias("dataset_export_id"), "run_id", "document_id", F.col("filename").alias("document_name"),
         first_filled(F.col("cat_title"), F.col("pdf_title")).alias("title"), F.col("cat_group_path").alias("group_path"),
@@ -152,37 +192,66 @@ def pair_rows(pages: DataFrame, run_documents: DataFrame, documents: DataFrame,
     )
 
 
-def direction_wrap(text: Column, direction: Column) -> Column:
-    """Right-to-left text inside an element that says so; of mixed text only the blocks that are."""
+def _mixed_blocks(text: Column, direction: Column) -> Column:
+    """For a page of mixed direction its text with the right-to-left blocks marked, else null."""
+    return wrap_blocks(F.when(direction == "mixed", F.coalesce(text, F.lit(""))))
+
+
+def direction_wrap(text: Column, direction: Column, mixed: Column | None = None) -> Column:
+    """Right-to-left text inside an element that says so; of mixed text only the blocks that are, each judged by its own characters."""
     body = F.coalesce(text, F.lit(""))
-    arabic = lambda b: F.regexp_count(b, F.lit(r"[\p{IsArabic}\p{IsHebrew}]")) > 4 * F.regexp_count(b, F.lit(r"[\p{IsLatin}]"))
-    mixed = F.array_join(F.transform(F.split(body, "\n\n", -1), lambda b: F.when(arabic(b), F.concat(F.lit('<div dir="rtl">\n'), b, F.lit("\n</div>"))).otherwise(b)), "\n\n")
-    return F.when(direction == "rtl", F.concat(F.lit('<div dir="rtl">\n\n'), body, F.lit("\n\n</div>"))).when(direction == "mixed", mixed).otherwise(body)
+    blocks = _mixed_blocks(text, direction) if mixed is None else mixed
+    return F.when(direction == "rtl", F.concat(F.lit('<div dir="rtl">\n\n'), body, F.lit("\n\n</div>"))).when(direction == "mixed", blocks).otherwise(body)
+
+
+def _markdown() -> Column:
+    """Front matter and one section per page from gathered pages and the catalog's filename."""
+
+    def section(x: Column) -> Column:
+        head = F.format_string(
+            "<!-- Page %d | direction: %s | script: %s | tokens: %s | status: %s -->", x["page_num"], F.coalesce(x["script_direction"], F.lit("undetermined")),
+            F.coalesce(x["primary_script"], F.lit("undetermined")), F.coalesce(x["token_count_cl100k"].cast("string"), F.lit("0")), x["status"],
+        )
+        return F.concat(head, F.lit("\n"), direction_wrap(x["clean_text"], x["script_direction"], x["wrapped"]))
+
+    body = F.array_join(F.transform("p", section), "\n\n---\n\n")
+    front = F.format_string("---\nsource: %s\npages: %d\nmodel: %s\npipeline_version: %s\n---\n", "filename", F.size("p"), F.array_min(_all("model_used")), F.array_min(_all("pipeline_version")))
+    return F.concat(front, body)
 
 
 def markdown_documents(pages: DataFrame, documents: DataFrame) -> DataFrame:
     """``run_id, document_id, markdown``: front matter and one section per page, right-to-left text marked."""
-    p = unique_pages(pages)
-    body = F.coalesce("clean_text", F.lit(""))
-    head = F.format_string(
-        "<!-- Page %d | direction: %s | script: %s | tokens: %s | status: %s -->", "page_num", F.coalesce("script_direction", F.lit("undetermined")),
-        F.coalesce("primary_script", F.lit("undetermined")), F.coalesce(F.col("token_count_cl100k").cast("string"), F.lit("0")), "status",
-    )
-    sections = p.withColumn("section", F.concat(head, F.lit("\n"), direction_wrap(body, F.col("script_direction"))))
-    ordered = F.array_sort(F.collect_list(F.struct("page_num", "section")))
-    whole = sections.groupBy("run_id", "document_id").agg(F.array_join(F.transform(ordered, lambda x: x["section"]), "\n\n---\n\n").alias("body"), F.count(F.lit(1)).alias("n"), F.min("model_used").alias("m"), F.min("pipeline_version").alias("v"))
-    front = F.format_string("---\nsource: %s\npages: %d\nmodel: %s\npipeline_version: %s\n---\n", "filename", "n", "m", "v")
-    return whole.join(documents.select("document_id", "filename").dropDuplicates(["document_id"]), "document_id").select("run_id", "document_id", F.concat(front, "body").alias("markdown"))
+    shown = pages.withColumn("wrapped", _mixed_blocks(F.col("clean_text"), F.col("script_direction")))
+    p = _gathered(shown, "clean_text", "wrapped", "status", "script_direction", "primary_script", "token_count_cl100k", "pipeline_version", "model_used")
+    return p.join(documents.select("document_id", "filename").dropDuplicates(["document_id"]), "document_id").select("run_id", "document_id", _markdown().alias("markdown"))
 
 
 # ---------------------------------------------------------------- writers
 
 
 def _swap(temporary: Path, target: Path) -> None:
-    """Put a finished folder in the place of an older one."""
+    """Put a finished folder in the place of an older one; the older one is moved away first and dropped last, or put back."""
+    old = target.with_name(f"{target.name}.old")
+    shutil.rmtree(old, ignore_errors=True)
     if target.exists():
-        shutil.rmtree(target)
-    temporary.replace(target)
+        target.replace(old)
+    try:
+        temporary.replace(target)
+    except OSError:
+        if old.exists():
+            old.replace(target)
+        raise
+    shutil.rmtree(old, ignore_errors=True)
+
+
+def export_scope(selected: list[str] | None) -> str:
+    """``all``, or twelve digits that tell a selection of ids whatever its order."""
+    return hashlib.sha256(",".join(sorted(selected)).encode("utf-8")).hexdigest()[:12] if selected else "all"
+
+
+def export_name(kind: str, selected: list[str] | None = None, text_mode: str = "clean", dpi: int = 160) -> str:
+    """The folder of an export of pairs or of a text bundle, one for each scope."""
+    return f"ocr_pairs_{text_mode}_{dpi}_{export_scope(selected)}" if kind == "ocr_pairs" else f"{kind}_{export_scope(selected)}"
 
 
 def _manifest(folder: Path, **values) -> None:

@@ -6,22 +6,26 @@ express there (a back-reference, a full entity table, Unicode character classes)
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import clean as C
 from pagewright.functions import labels as L
 from pagewright.functions import script as S
-from pagewright.functions.classes import strip, text_lines
-from pagewright.functions.quality import LEAST_CHARS, longest_run, marker_artifacts, with_quality
+from pagewright.functions.classes import text_lines
+from pagewright.functions.quality import longest_run, marker_artifacts, with_quality
 from pagewright.operators import catalog as K
+from pagewright.operators import edges as G
 from pagewright.operators import pages as P
 from pagewright.operators import rollup as R
+from pagewright.operators.ranks import ordered_rank
 from pagewright.plans import exports as X
 from pagewright.sources import files
 from pagewright.sources.tables import local_shared_dir, table
@@ -77,6 +81,7 @@ def artifacts(spark: SparkSession, d: str, suffix: str) -> str:
     folder = f"{local_shared_dir(spark)}/artifacts-{uuid.uuid4().hex}"
     docs = table(spark, d, "documents", "document_id", "text").withColumn("path", F.concat("document_id", F.lit(suffix)))
     os.makedirs(folder, exist_ok=True)
+    atexit.register(shutil.rmtree, folder, True)
     X.write_texts(docs, folder, "path", "text")
     return folder
 
@@ -87,6 +92,49 @@ def src1_list_files(spark, d):
     return files.list_pdfs(spark, artifacts(spark, d, ".PDF")).select("name", F.col("size").cast("bigint").alias("size"))
 
 
+@query("SELECT document_id || '.PDF' AS name FROM documents WHERE coalesce(text, '') <> ''")
+def src2_expand_inputs(spark, d):
+    """A folder, one of its files again and a path of nothing, expanded to the files there are."""
+    folder = artifacts(spark, d, ".PDF")
+    first = files.list_pdfs(spark, folder).agg(F.min("path")).first()[0]
+    return files.expand_inputs(spark, [folder, folder + "/none.pdf", *([first] if first else [])]).select("name")
+
+
+@query("""
+WITH u AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'dir/' || doc_id || '.txt' WHEN doc_id % 7 = 1 THEN doc_id || '..pdf' ELSE 'C:\\scans\\' || doc_id || '.Pdf' END AS filename, coalesce(text, '') AS text FROM documents)
+SELECT regexp_replace(filename, '^.*[/\\\\]', '') AS filename, CASE WHEN doc_id % 7 > 1 THEN substr(sha256(text), 1, 16) || '__' || doc_id || '.Pdf' END AS stored, strlen(text)::BIGINT AS size, sha256(text) AS file_sha256, doc_id % 7 <= 1 AS refused FROM u""")
+def src3_store_uploads(spark, d):
+    """Uploads under good and bad names, stored by hash and name."""
+    docs = table(spark, d, "documents", "doc_id", "text")
+    i = F.col("doc_id").cast("string")
+    name = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("dir/"), i, F.lit(".txt"))).when(F.col("doc_id") % 7 == 1, F.concat(i, F.lit("..pdf"))).otherwise(F.concat(F.lit("C:\\scans\\"), i, F.lit(".Pdf")))
+    folder = f"{local_shared_dir(spark)}/uploads-{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, folder, True)
+    return files.store_uploads(docs.select(name.alias("filename"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")), folder).select("filename", "stored", "size", "file_sha256", "refused")
+
+
+def _text_facts(content: bytes) -> dict:
+    """Stands for a PDF reader: the pages and the first line of a text file; files of odd size cannot be read."""
+    if len(content) % 2:
+        raise ValueError("odd")
+    text = content.decode("utf-8")
+    return {"total_pages": len(text.split(P.PAGE_BREAK)), "title": text.split("\n")[0]}
+
+
+@query(f"""
+SELECT document_id, CASE WHEN strlen(text) % 2 = 0 THEN len(string_split(text, {BREAK_SQL})) END::BIGINT AS total_pages, CASE WHEN strlen(text) % 2 = 0 THEN string_split(text, chr(10))[1] END AS pdf_title, CASE WHEN strlen(text) % 2 = 1 THEN 'odd' END AS pdf_error FROM documents WHERE text IS NOT NULL""")
+def src5_file_facts(spark, d):
+    """Facts an injected reader tells of every file."""
+    docs = table(spark, d, "documents", "document_id", "text").filter("text is not null").select("document_id", F.encode("text", "UTF-8").alias("content"))
+    return G.pdf_facts(docs, _text_facts).select("document_id", F.col("total_pages").cast("bigint").alias("total_pages"), "pdf_title", "pdf_error")
+
+
+@query("SELECT doc_id, sha256(to_base64(encode(coalesce(text, '')))) AS hash FROM documents")
+def edge7_base64(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text")
+    return docs.select("doc_id", F.sha2(G.image_text(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), 256).alias("hash"))
+
+
 @query("SELECT document_id, sha256(coalesce(text, '')) AS sha256, substr(sha256(coalesce(text, '')), 1, 16) AS content_id FROM documents WHERE coalesce(text, '') <> ''")
 def src4_file_hash(spark, d):
     """Hashes of files and the ids they give."""
@@ -129,7 +177,6 @@ def snk1_join_pages(spark, d):
     return joined.select("run_id", "document_id", L.text_hash(F.col("text")).alias("hash"))
 
 
-BLOCK_SQL = "CASE WHEN len(regexp_extract_all(b, '[\\p{Arabic}\\p{Hebrew}]')) > 4 * len(regexp_extract_all(b, '\\p{Latin}')) THEN '<div dir=\"rtl\">' || chr(10) || b || chr(10) || '</div>' ELSE b END"
 NL_SQL = "chr(10)"
 
 
@@ -137,7 +184,7 @@ NL_SQL = "chr(10)"
 WITH {PAGES_SQL}, s AS (SELECT *, coalesce(clean_text, '') AS body FROM pages_once),
  t AS (SELECT run_id, document_id, page_num, pipeline_version, model_used, '<!-- Page ' || page_num || ' | direction: ' || coalesce(script_direction, 'undetermined') || ' | script: ' || coalesce(primary_script, 'undetermined') || ' | tokens: ' || coalesce(token_count_cl100k::VARCHAR, '0')
   || ' | status: ' || coalesce(status, 'null') || ' -->' || {NL_SQL} || CASE WHEN script_direction = 'rtl' THEN '<div dir="rtl">' || {NL_SQL} || {NL_SQL} || body || {NL_SQL} || {NL_SQL} || '</div>'
-  WHEN script_direction = 'mixed' THEN array_to_string(list_transform(string_split(body, {NL_SQL} || {NL_SQL}), lambda b: {BLOCK_SQL}), {NL_SQL} || {NL_SQL}) ELSE body END AS section FROM s),
+  WHEN script_direction = 'mixed' THEN __MIXED__ ELSE body END AS section FROM s),
  m AS (SELECT run_id, document_id, '---' || {NL_SQL} || 'source: ' || min(filename) || {NL_SQL} || 'pages: ' || count(*) || {NL_SQL} || 'model: ' || coalesce(min(model_used), 'null') || {NL_SQL} || 'pipeline_version: ' || coalesce(min(pipeline_version), 'null') || {NL_SQL} || '---' || {NL_SQL}
   || string_agg(section, {NL_SQL} || {NL_SQL} || '---' || {NL_SQL} || {NL_SQL} ORDER BY page_num) AS markdown FROM t JOIN documents USING (document_id) GROUP BY run_id, document_id)
 SELECT run_id, document_id, length(markdown)::BIGINT AS chars, sha256(markdown) AS hash FROM m""".replace("t JOIN documents USING", "t JOIN (SELECT document_id, filename FROM documents) d USING"))
@@ -147,7 +194,15 @@ def snk2_markdown(spark, d):
     return rows.select("run_id", "document_id", F.length("markdown").cast("bigint").alias("chars"), L.text_hash(F.col("markdown")).alias("hash"))
 
 
-@query()
+JSON_FIELDS = ("pages", "total_chars", "total_words", "total_tokens", "total_time_tenths", "pages_pass", "pages_warn", "pages_fail", "pages_empty", "pages_ltr", "pages_rtl", "pages_mixed", "languages_detected", "quality_flags")
+
+
+@query(f"""
+WITH {PAGES_SQL}, t AS (SELECT run_id, document_id, count(*) AS pages, sum(coalesce(text_length_chars, 0))::BIGINT AS total_chars, sum(coalesce(text_length_words, 0))::BIGINT AS total_words,
+ sum(coalesce(token_count_cl100k, 0))::BIGINT AS total_tokens, sum(coalesce(round(processing_time_ms * 10)::BIGINT, 0))::BIGINT AS total_time_tenths,
+ {', '.join(f"count(*) FILTER (status = '{x}') AS pages_{x}" for x in R.STATUSES)}, {', '.join(f"count(*) FILTER (script_direction = '{x}') AS pages_{x}" for x in ("ltr", "rtl", "mixed"))},
+ list_sort(list_distinct(flatten(list(coalesce(detected_languages, []))))) AS languages_detected, list_sort(list_distinct(flatten(list(coalesce(quality_flags, []))))) AS quality_flags FROM pages_once GROUP BY ALL)
+SELECT run_id, document_id, to_json({{{', '.join(f"'{x}': {x}" for x in JSON_FIELDS)}}})::VARCHAR AS metadata FROM t""")
 def snk3_metadata_json(spark, d):
     """Each document of a run with its roll-up as one JSON object."""
     totals = R.document_totals(pages_once(spark, d, "text_length_chars", "text_length_words", "token_count_cl100k", "processing_time_ms", "status", "script_direction", "detected_languages", "quality_flags"))
@@ -230,7 +285,14 @@ def snk12_dataset_card(spark, d):
     return R.dataset_card(linked(spark, d))
 
 
-@query()
+_CARD_SQL = R.CARD.replace("'", "''")
+
+
+@query(f"""
+WITH c AS ({CARD_SQL})
+SELECT run_id, printf('{_CARD_SQL}', CASE WHEN languages = '' THEN 'en' ELSE replace(languages, ', ', chr(10) || '  - ') END, size_category, run_id, coalesce(model_used, 'n/a'), coalesce(pipeline_version, 'n/a'), coalesce(strftime(coalesce(completed_at, created_at), '%Y-%m-%d'), 'n/a'),
+ documents, pages, pages_pass, pages_warn, pages_fail, pages_empty, CASE WHEN scripts = '' THEN 'unknown' ELSE scripts END) AS card
+FROM c JOIN (SELECT id AS run_id, model_used, pipeline_version, completed_at, created_at FROM runs) USING (run_id)""")
 def snk12_card_text(spark, d):
     return R.card_text(R.dataset_card(linked(spark, d)), table(spark, d, "runs"))
 
@@ -388,6 +450,18 @@ def prj9_image_only(spark, d):
     return p.select("run_id", "page_id", (~F.coalesce("has_embedded_text", F.lit(False)) & F.coalesce("is_image_only", F.lit(False))).alias("image_only"))
 
 
+PILLS_SQL = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.RUN_PILLS.items()) + " ELSE 'pill-muted' END"
+CLASSES_SQL = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.PAGE_CLASSES.items()) + " ELSE 'page-pending' END"
+
+
+@query(f"SELECT 'run' AS kind, id, {PILLS_SQL.format('status')} AS shown FROM runs UNION SELECT 'page', page_id, {CLASSES_SQL.format('status')} FROM pages")
+def prj7_status_classes(spark, d):
+    """How the status of every run and page is shown."""
+    runs = table(spark, d, "runs", "id", "status").select(F.lit("run").alias("kind"), "id", L.shown_as(F.col("status"), L.RUN_PILLS, "pill-muted").alias("shown"))
+    pages = table(spark, d, "pages", "page_id", "status").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), L.shown_as(F.col("status"), L.PAGE_CLASSES, "page-pending").alias("shown"))
+    return runs.unionByName(pages).distinct()
+
+
 # ---------------------------------------------------------------- joins
 
 
@@ -432,22 +506,22 @@ def jn8_documents_of_failed_runs(spark, d):
     return linked(spark, d).select("run_id", "document_id", "status").join(failed, "run_id", "left_semi")
 
 
-@query("SELECT DISTINCT id AS run_id FROM runs WHERE id NOT IN (SELECT run_id FROM pages WHERE run_id IS NOT NULL)")
-def jn9_runs_without_pages(spark, d):
-    return K.missing(table(spark, d, "runs").select(F.col("id").alias("run_id")), table(spark, d, "pages", "run_id"), "run_id")
+@query("SELECT DISTINCT document_id FROM documents WHERE document_id NOT IN (SELECT document_id FROM pages WHERE status = 'fail')")
+def jn9_missing_ids(spark, d):
+    """Documents none of whose pages failed."""
+    return K.missing(table(spark, d, "documents", "document_id"), table(spark, d, "pages", "document_id", "status").filter("status = 'fail'"), "document_id")
 
 
 @query("""
-WITH x AS (SELECT max(id) AS id FROM runs WHERE status <> 'processing')
-SELECT 'runs' AS name, count(*) AS n FROM runs WHERE id <> (SELECT id FROM x) UNION ALL SELECT 'run_documents', count(*) FROM run_documents WHERE run_id <> (SELECT id FROM x)
-UNION ALL SELECT 'pages', count(*) FROM pages WHERE run_id <> (SELECT id FROM x) UNION ALL SELECT 'run_events', count(*) FROM run_events WHERE run_id <> (SELECT id FROM x)""")
+WITH x AS (SELECT max(id) AS id FROM runs WHERE status <> 'processing'), l AS (SELECT 'runs' AS name, id AS run_id FROM runs UNION ALL SELECT 'run_documents', run_id FROM run_documents UNION ALL SELECT 'pages', run_id FROM pages UNION ALL SELECT 'run_events', run_id FROM run_events)
+SELECT name, run_id, count(*) AS n FROM l WHERE run_id <> (SELECT id FROM x) GROUP BY ALL""")
 def jn10_cascade_delete(spark, d):
-    """Rows left of four tables after the greatest idle run is deleted."""
+    """Rows left of each run in four tables after the greatest idle run is deleted."""
     runs = table(spark, d, "runs")
     gone = runs.filter("status <> 'processing'").agg(F.max("id")).first()[0]
     names = ("runs", "run_documents", "pages", "run_events")
     left = K.delete_run(gone, runs, *[table(spark, d, n) for n in names[1:]])
-    counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n, t in zip(names, left)]
+    counts = [t.groupBy(F.col("id" if n == "runs" else "run_id").alias("run_id")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "run_id", "n") for n, t in zip(names, left)]
     return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
 
 
@@ -580,8 +654,7 @@ def so2_newest_documents(spark, d):
 
 @query(f"WITH {RUNDOCS_SQL} SELECT run_id, document_id, row_number() OVER (PARTITION BY run_id ORDER BY started_at NULLS LAST, document_id) AS position FROM rd")
 def so3_unstarted_last(spark, d):
-    w = Window.partitionBy("run_id").orderBy(F.col("started_at").asc_nulls_last(), "document_id")
-    return linked(spark, d).select("run_id", "document_id", F.row_number().over(w).cast("bigint").alias("position"))
+    return ordered_rank(linked(spark, d).select("run_id", "document_id", "started_at"), ["run_id"], K.started_order(), "position").select("run_id", "document_id", "position")
 
 
 @query(f"WITH {PAGES_SQL} SELECT run_id, document_id, array_to_string(list(page_num ORDER BY page_num), ',') AS pages FROM pages_once GROUP BY ALL")
@@ -598,44 +671,44 @@ def so5_keyset_page(spark, d):
 WITH s AS (SELECT run_id, list(DISTINCT document_id) AS a FROM run_documents GROUP BY run_id), c AS (SELECT run_id, list(DISTINCT document_id) AS b FROM run_documents WHERE status = 'completed' GROUP BY run_id)
 SELECT run_id, len(a)::BIGINT AS all_documents, len(list_filter(a, lambda x: NOT list_contains(coalesce(b, []), x)))::BIGINT AS unfinished, len(list_filter(a, lambda x: NOT list_contains(coalesce(b, []), x))) = 0 AS complete FROM s LEFT JOIN c USING (run_id)""")
 def st1_selection_sets(spark, d):
-    rd = table(spark, d, "run_documents", "run_id", "document_id", "status")
-    s = rd.groupBy("run_id").agg(F.collect_set("document_id").alias("a"), F.collect_set(F.when(F.col("status") == "completed", F.col("document_id"))).alias("b"))
-    left = F.array_except("a", "b")
-    return s.select("run_id", F.size("a").cast("bigint").alias("all_documents"), F.size(left).cast("bigint").alias("unfinished"), F.forall("a", lambda x: F.array_contains("b", x)).alias("complete"))
+    return K.selection_state(table(spark, d, "run_documents", "run_id", "document_id", "status"))
 
 
 # ---------------------------------------------------------------- changes
 
 
 @query("""
-WITH i AS (SELECT document_id, 'new_' || filename AS filename, source_path || '.bak' AS source_path, file_size_bytes + 1 AS file_size_bytes, CASE WHEN doc_id % 2 = 0 THEN total_pages + 1 END AS total_pages FROM documents WHERE doc_id % 20 < 5)
-SELECT document_id, coalesce(i.filename, d.filename) AS filename, coalesce(i.source_path, d.source_path) AS source_path, coalesce(i.file_size_bytes, d.file_size_bytes)::BIGINT AS file_size_bytes,
- coalesce(i.total_pages, d.total_pages)::BIGINT AS total_pages, d.display_title FROM documents d LEFT JOIN i USING (document_id)""")
+WITH i AS (SELECT CASE WHEN doc_id % 20 = 4 THEN 'n' || document_id ELSE document_id END AS document_id, 'new_' || filename AS filename, source_path || '.bak' AS source_path, file_size_bytes + 1 AS file_size_bytes, CASE WHEN doc_id % 2 = 0 THEN total_pages + 1 END AS total_pages FROM documents WHERE doc_id % 20 < 5)
+SELECT document_id, CASE WHEN i.document_id IS NULL THEN d.filename ELSE i.filename END AS filename, CASE WHEN i.document_id IS NULL THEN d.source_path ELSE i.source_path END AS source_path, CASE WHEN i.document_id IS NULL THEN d.file_size_bytes ELSE i.file_size_bytes END::BIGINT AS file_size_bytes,
+ coalesce(i.total_pages, d.total_pages)::BIGINT AS total_pages, d.display_title, epoch_us(CASE WHEN d.document_id IS NULL THEN TIMESTAMPTZ '2030-01-01 00:00:00+00' ELSE d.first_seen_at END) AS first_seen_at FROM documents d FULL JOIN i USING (document_id)""")
 def dm1_upsert_documents(spark, d):
+    """A quarter of the files seen again, and of each twentieth document a new one."""
     docs = table(spark, d, "documents")
     incoming = docs.filter("doc_id % 20 < 5").select(
-        "document_id", F.concat(F.lit("new_"), "filename").alias("filename"), F.concat("source_path", F.lit(".bak")).alias("source_path"), (F.col("file_size_bytes") + 1).alias("file_size_bytes"),
-        F.when(F.col("doc_id") % 2 == 0, F.col("total_pages") + 1).alias("total_pages"), F.current_timestamp().alias("last_seen_at"),
+        F.when(F.col("doc_id") % 20 == 4, F.concat(F.lit("n"), "document_id")).otherwise(F.col("document_id")).alias("document_id"), F.concat(F.lit("new_"), "filename").alias("filename"), F.concat("source_path", F.lit(".bak")).alias("source_path"),
+        (F.col("file_size_bytes") + 1).alias("file_size_bytes"), F.when(F.col("doc_id") % 2 == 0, F.col("total_pages") + 1).alias("total_pages"), F.lit("2030-01-01 00:00:00+00:00").cast("timestamp").alias("last_seen_at"),
         *[F.lit(None).cast("string").alias(c) for c in K.UPSERT_KEEPS_OLD if c != "total_pages"],
     )
-    return K.upsert_documents(docs, incoming).select("document_id", "filename", "source_path", "file_size_bytes", F.col("total_pages").cast("bigint").alias("total_pages"), "display_title")
+    return K.upsert_documents(docs, incoming).select("document_id", "filename", "source_path", "file_size_bytes", F.col("total_pages").cast("bigint").alias("total_pages"), "display_title", micros("first_seen_at"))
 
 
 @query(f"""
-WITH {RUNDOCS_SQL}, i AS (SELECT run_id, document_id FROM rd WHERE status = 'pending')
-SELECT run_id, document_id, CASE WHEN i.run_id IS NOT NULL THEN 'queued' ELSE rd.status END AS status, CASE WHEN i.run_id IS NOT NULL THEN 'again' ELSE source_run_id END AS source_run_id FROM rd LEFT JOIN i USING (run_id, document_id)""")
+WITH {RUNDOCS_SQL}, i AS (SELECT run_id, document_id FROM rd WHERE status = 'pending' UNION SELECT 'new_run', document_id FROM rd WHERE status = 'failed')
+SELECT run_id, document_id, CASE WHEN i.run_id IS NOT NULL THEN 'queued' ELSE rd.status END AS status, CASE WHEN i.run_id IS NOT NULL THEN 'again' ELSE source_run_id END AS source_run_id FROM rd FULL JOIN i USING (run_id, document_id)""")
 def dm2_link_documents(spark, d):
+    """Pending links queued again, and a new run of the failed ones."""
     rd = linked(spark, d)
-    incoming = rd.filter("status = 'pending'").select("run_id", "document_id", F.lit("queued").alias("status"), F.lit("again").alias("source_run_id"))
-    return K.link_run_documents(rd, incoming).select("run_id", "document_id", "status", "source_run_id")
+    again = rd.filter("status = 'pending'").select("run_id", "document_id").unionByName(rd.filter("status = 'failed'").select(F.lit("new_run").alias("run_id"), "document_id").distinct())
+    return K.link_run_documents(rd, again.select("run_id", "document_id", F.lit("queued").alias("status"), F.lit("again").alias("source_run_id"))).select("run_id", "document_id", "status", "source_run_id")
 
 
 @query(f"""
 WITH {PAGES_SQL} SELECT run_id, document_id, page_num::BIGINT AS page_num, CASE WHEN status = 'fail' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'fail' THEN NULL ELSE dpi_used END::BIGINT AS dpi_used,
- CASE WHEN status = 'fail' THEN 'retry' ELSE extraction_mode END AS extraction_mode FROM pages_once""")
+ CASE WHEN status = 'fail' THEN 'retry' ELSE extraction_mode END AS extraction_mode FROM pages_once UNION ALL SELECT run_id, document_id, page_num + 100000, 'pending', NULL, 'retry' FROM pages_once WHERE status = 'warn'""")
 def dm3_upsert_pages(spark, d):
+    """Failed pages replaced, and for each with a warning a new one."""
     p = pages_once(spark, d, "status", "dpi_used", "extraction_mode")
-    incoming = p.filter("status = 'fail'").select(*X.PAGE_KEYS, F.lit("retry").alias("extraction_mode"))
+    incoming = p.filter("status in ('fail', 'warn')").select("run_id", "document_id", F.when(F.col("status") == "warn", F.col("page_num") + 100000).otherwise(F.col("page_num")).alias("page_num"), F.lit("retry").alias("extraction_mode"))
     return K.upsert_pages(p, incoming).select("run_id", "document_id", F.col("page_num").cast("bigint").alias("page_num"), "status", F.col("dpi_used").cast("bigint").alias("dpi_used"), "extraction_mode")
 
 
@@ -678,6 +751,13 @@ def dm10_dedup_uploads(spark, d):
     return K.dedup_uploads(docs.select("doc_id", F.concat(F.lit("up_"), "filename").alias("filename"), sha.alias("file_sha256")), docs).select("doc_id", "deduped", "filename")
 
 
+@query("SELECT id, status, CASE WHEN documents_total > 40 THEN 'large' ELSE name END AS name, CASE WHEN documents_total > 40 THEN coalesce(progress, 0.0) + 1.0 ELSE progress END AS progress FROM runs")
+def dm8_generic_update(spark, d):
+    """Some columns of the rows that meet a condition."""
+    runs = table(spark, d, "runs", "id", "status", "name", "progress", "documents_total")
+    return K.update_rows(runs, F.col("documents_total") > 40, name="large", progress=F.coalesce("progress", F.lit(0.0)) + 1.0).drop("documents_total")
+
+
 # ---------------------------------------------------------------- text
 
 
@@ -710,10 +790,10 @@ SELECT run_id, page_id, sha256(array_to_string(list_filter(list_transform({lines
 FROM (SELECT DISTINCT run_id, page_id, clean_text FROM pages)""")
 def tx5_tables(spark, d):
     """Tables made of the lines of every page, and back to lines of cells."""
-    p = table(spark, d, "pages", "run_id", "page_id", "clean_text").distinct()
+    p = table(spark, d, "pages", "run_id", "page_id", "clean_text")
     cells = F.concat(F.lit("<tr><td>"), F.array_join(F.transform(text_lines(F.coalesce("clean_text", F.lit(""))), lambda x: F.replace(x, F.lit(" "), F.lit("</td><td>"))), "</td></tr>\n<tr><td>"), F.lit("</td></tr>"))
     made = p.withColumn("markup", F.concat(F.lit("<table border=1>"), cells, F.lit("</table>")))
-    return made.select("run_id", "page_id", L.text_hash(C.tables_to_lines("markup")).alias("hash"))
+    return made.select("run_id", "page_id", L.text_hash(C.tables_to_lines("markup")).alias("hash")).distinct()
 
 
 TAGS_SQL = f"regexp_replace(regexp_replace(regexp_replace(t, '<br[{SPACE_SQL}]*/?>', chr(10), 'gi'), '</(?:p|div|h[1-6])[{SPACE_SQL}]*>', chr(10), 'gi'), '</?(?:{C.CLEAN_TAGS})\\b[^>]*>', '', 'gi')"
@@ -722,19 +802,19 @@ TAGS_SQL = f"regexp_replace(regexp_replace(regexp_replace(t, '<br[{SPACE_SQL}]*/
 @query(f"SELECT run_id, page_id, sha256({TAGS_SQL}) AS hash FROM (SELECT DISTINCT run_id, page_id, '<DIV class=x>' || replace(coalesce(clean_text, ''), chr(10), '<br />') || '</p></Center>' AS t FROM pages)")
 def tx6_tags(spark, d):
     """Tags put into every page, then dropped."""
-    p = table(spark, d, "pages", "run_id", "page_id", "clean_text").distinct()
+    p = table(spark, d, "pages", "run_id", "page_id", "clean_text")
     made = F.concat(F.lit("<DIV class=x>"), F.replace(F.coalesce("clean_text", F.lit("")), F.lit("\n"), F.lit("<br />")), F.lit("</p></Center>"))
-    return p.select("run_id", "page_id", L.text_hash(C.drop_tags(made)).alias("hash"))
+    return p.select("run_id", "page_id", L.text_hash(C.drop_tags(made)).alias("hash")).distinct()
 
 
 @query("SELECT run_id, page_id, sha256(coalesce(clean_text, '')) AS hash FROM pages GROUP BY ALL")
 def tx7_unescape(spark, d):
     """Every page escaped and unescaped again."""
-    p = table(spark, d, "pages", "run_id", "page_id", "clean_text").distinct()
+    p = table(spark, d, "pages", "run_id", "page_id", "clean_text")
     made = F.coalesce("clean_text", F.lit(""))
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&#62;"), ('"', "&quot;"), ("ü", "&uuml;"), ("ç", "&#xe7;")):
         made = F.replace(made, F.lit(a), F.lit(b))
-    return p.select("run_id", "page_id", L.text_hash(C.unescape(made)).alias("hash"))
+    return p.select("run_id", "page_id", L.text_hash(C.unescape(made)).alias("hash")).distinct()
 
 
 @query(r"SELECT run_id, page_id, sha256(regexp_replace(coalesce(raw_text, ''), '([\p{L}\p{N}_])- ?\n([\p{L}\p{N}_])', '\1\2', 'g')) AS hash FROM pages GROUP BY ALL")
@@ -778,11 +858,26 @@ SELECT run_id, document_id, title, array_to_string({LIST_SQL.format('language')}
  sha256({NORMAL_SQL}) AS normalized_text_sha256, quality_flags FROM n"""
 
 
-@query()
+def _cleaning_sql() -> str:
+    """The full and the least cleaning as SQL, but for tables and entities, of which the raw texts hold none; tx5 and tx7 try these."""
+    ends = f"'^[{SPACE_SQL}]+|[{SPACE_SQL}]+$', '', 'g'"
+    markers = MARKERS_SQL.replace("coalesce(raw_text, '')", "t")
+    boxed, plain = MARKERS_SQL.split("regexp_replace(coalesce(raw_text, ''), ", 1)[1].split(", '', 'gs')", 1)[0], f"'<\\|ref\\|>(.*?)<\\|/ref\\|>[{SPACE_SQL}]*\\[\\[[\\p{{Nd}}{SPACE_SQL},]+\\]\\]', '\\1', 'gs'"
+    least = f"regexp_replace(regexp_replace(t, {boxed}, '', 'gs'), {plain})"
+    for token in C.MODEL_TOKENS:
+        least = f"replace({least}, '{token}', '')"
+    tidy = TIDY_SQL.replace("coalesce(raw_text, '')", "t")
+    return f"""
+WITH a AS (SELECT DISTINCT run_id, page_id, coalesce(nfc_normalize(raw_text), '') AS t FROM pages), b AS (SELECT run_id, page_id, {least} AS l, {markers} AS t FROM a), c AS (SELECT run_id, page_id, l, {TAGS_SQL} AS t FROM b),
+ e AS (SELECT run_id, page_id, l, regexp_replace(t, '([\\p{{L}}\\p{{N}}_])- ?\\n([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g') AS t FROM c), f AS (SELECT run_id, page_id, l, {tidy} AS t FROM e)
+SELECT run_id, page_id, sha256(regexp_replace(t, {ends})) AS clean_hash, sha256(regexp_replace(replace(l, '\\x00', ''), {ends})) AS fidelity_hash FROM f"""
+
+
+@query(_cleaning_sql())
 def tx_clean(spark, d):
     """The full and the least cleaning of every raw page."""
-    p = table(spark, d, "pages", "run_id", "page_id", "raw_text").distinct()
-    return p.select("run_id", "page_id", L.text_hash(C.clean(F.col("raw_text"))).alias("clean_hash"), L.text_hash(C.clean_fidelity(F.col("raw_text"), True)).alias("fidelity_hash"))
+    p = table(spark, d, "pages", "run_id", "page_id", "raw_text")
+    return p.select("run_id", "page_id", L.text_hash(C.clean(F.col("raw_text"))).alias("clean_hash"), L.text_hash(C.clean_fidelity(F.col("raw_text"), True)).alias("fidelity_hash")).distinct()
 
 
 @query(r"""
@@ -817,21 +912,32 @@ def tx16_size_bucket(spark, d):
     return table(spark, d, "run_events", "id").distinct().select("id", L.size_bucket(F.col("id") * 37).alias("bucket"))
 
 
-@query("SELECT DISTINCT run_id, page_id, sha256(CASE WHEN script_direction = 'rtl' THEN '<div dir=\"rtl\">' || chr(10) || chr(10) || coalesce(clean_text, '') || chr(10) || chr(10) || '</div>' ELSE coalesce(clean_text, '') END) AS hash FROM pages WHERE script_direction IS NULL OR script_direction <> 'mixed'")
 def tx18_direction_wrap(spark, d):
-    """Pages of one direction, right-to-left text marked."""
-    p = table(spark, d, "pages", "run_id", "page_id", "clean_text", "script_direction").filter("script_direction is null or script_direction <> 'mixed'")
+    """Every page with its right-to-left text marked; of pages of mixed direction block by block."""
+    p = table(spark, d, "pages", "run_id", "page_id", "clean_text", "script_direction")
     return p.select("run_id", "page_id", L.text_hash(X.direction_wrap(F.col("clean_text"), F.col("script_direction"))).alias("hash")).distinct()
 
 
+QUERIES["tx18_direction_wrap"] = tx18_direction_wrap
+
+
+def tx18_mixed_blocks(spark, d):
+    """Every document as if its direction were mixed: each block judged by its own characters."""
+    docs = table(spark, d, "documents", "doc_id", "text")
+    return docs.select("doc_id", L.text_hash(X.direction_wrap(F.col("text"), F.lit("mixed"))).alias("hash")).distinct()
+
+
+QUERIES["tx18_mixed_blocks"] = tx18_mixed_blocks
+
+
 # ---------------------------------------------------------------- quality
 
 STRIP_SQL = f"regexp_replace(coalesce(clean_text, ''), '^[{SPACE_SQL}]+|[{SPACE_SQL}]+$', '', 'g')"
 HY_SQL = f"(len(regexp_extract_all(t, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]{{2,}}-[{SPACE_SQL}]*\\n[{SPACE_SQL}]*[\\p{{L}}\\p{{Nl}}\\p{{No}}]{{2,}}')) + len(regexp_extract_all(t, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]{{2,}}-[{SPACE_SQL}]{{1,3}}[\\p{{L}}\\p{{Nl}}\\p{{No}}]{{2,}}')))"
 VALID_SQL = f"""
 WITH p AS (SELECT DISTINCT run_id, page_id, {STRIP_SQL} AS t FROM pages), q AS (SELECT *, {lines_sql('t')} AS x, replace(replace(t, ' ', ''), chr(10), '') AS s FROM p),
- c AS (SELECT run_id, page_id, max(n) AS top FROM (SELECT run_id, page_id, ch, count(*) AS n FROM (SELECT run_id, page_id, unnest(string_split(s, '')) AS ch FROM q WHERE s <> '') GROUP BY ALL) GROUP BY ALL)
-SELECT run_id, page_id, length(t)::BIGINT AS text_length, len(x)::BIGINT AS total_lines, len(list_distinct(x))::BIGINT AS unique_lines, coalesce(top, 0)::BIGINT AS dominant_char_count,
+ c AS (SELECT run_id, page_id, arg_max(ch, (n, -f)) AS ch, max(n) AS top FROM (SELECT run_id, page_id, h[i] AS ch, count(*) AS n, min(i) AS f FROM (SELECT run_id, page_id, string_split(s, '') AS h FROM q WHERE s <> ''), unnest(range(1, len(h) + 1)) AS u(i) GROUP BY ALL) GROUP BY ALL)
+SELECT run_id, page_id, length(t)::BIGINT AS text_length, len(x)::BIGINT AS total_lines, len(list_distinct(x))::BIGINT AS unique_lines, ch AS dominant_char, coalesce(top, 0)::BIGINT AS dominant_char_count,
  {HY_SQL}::BIGINT AS line_hyphenation_count, regexp_matches(t, '(?i)</?(?:{C.LEAK_TAGS})\\b[^>]*>') AS markup
 FROM q LEFT JOIN c USING (run_id, page_id) WHERE length(t) >= 20"""
 
@@ -839,64 +945,115 @@ FROM q LEFT JOIN c USING (run_id, page_id) WHERE length(t) >= 20"""
 @query(VALID_SQL)
 def vl_metrics(spark, d):
     """Metrics of every page that is not empty."""
-    p = table(spark, d, "pages", "run_id", "page_id", "page_num", "clean_text").distinct()
-    # the cheap test goes before the rules: a filter on their result would be pushed below them and repeat them all
-    q = with_quality(p.filter(F.length(strip(F.coalesce("clean_text", F.lit("")))) >= LEAST_CHARS), "clean_text", "page_num")
-    return q.select("run_id", "page_id", *[f"quality.{c}" for c in ("text_length", "total_lines", "unique_lines", "dominant_char_count", "line_hyphenation_count")], F.array_contains("quality.flags", "markup_leak").alias("markup"))
+    q = with_quality(table(spark, d, "pages", "run_id", "page_id", "page_num", "clean_text"), "clean_text", "page_num").filter("quality.status <> 'empty'")
+    return q.select("run_id", "page_id", *[f"quality.{c}" for c in ("text_length", "total_lines", "unique_lines", "dominant_char", "dominant_char_count", "line_hyphenation_count")], F.array_contains("quality.flags", "markup_leak").alias("markup")).distinct()
 
 
 @query(f"""
 WITH p AS (SELECT DISTINCT run_id, page_id, {STRIP_SQL} AS t FROM pages), q AS (SELECT *, {lines_sql('t')} AS x FROM p)
 SELECT run_id, page_id, CASE WHEN length(t) < 20 THEN 'empty' WHEN len(x) > 0 AND 1 - len(list_distinct(x)) / len(x) > 0.60 THEN 'extreme' WHEN len(x) > 0 AND 1 - len(list_distinct(x)) / len(x) > 0.35 THEN 'moderate' ELSE 'ok' END AS repetition FROM q""")
 def vl2_repetition(spark, d):
-    p = table(spark, d, "pages", "run_id", "page_id", "page_num", "clean_text").distinct()
+    p = table(spark, d, "pages", "run_id", "page_id", "page_num", "clean_text")
     r = F.col("quality.repetition_ratio")
     label = F.when(F.col("quality.status") == "empty", "empty").when(r > 0.60, "extreme").when(r > 0.35, "moderate").otherwise("ok")
-    return with_quality(p, "clean_text", "page_num").select("run_id", "page_id", label.alias("repetition"))
+    return with_quality(p, "clean_text", "page_num").select("run_id", "page_id", label.alias("repetition")).distinct()
 
 
 @query("SELECT DISTINCT run_id, page_id, regexp_matches(coalesce(raw_text, ''), '(<\\|det\\|>){3,}|(<\\|grounding\\|>){2,}') AS artifact FROM (SELECT run_id, page_id, CASE WHEN page_num % 5 = 0 THEN repeat('<|det|>', page_num % 6) || raw_text WHEN page_num % 5 = 1 THEN repeat('<|grounding|>', page_num % 4) || raw_text ELSE raw_text END AS raw_text FROM pages)")
 def vl5_marker_artifacts(spark, d):
     """Repeated markers of the model, some put before the raw texts."""
-    p = table(spark, d, "pages", "run_id", "page_id", "page_num", "raw_text").distinct()
+    p = table(spark, d, "pages", "run_id", "page_id", "page_num", "raw_text")
     n = F.col("page_num")
     made = F.when(n % 5 == 0, F.concat(F.expr("repeat('<|det|>', page_num % 6)"), "raw_text")).when(n % 5 == 1, F.concat(F.expr("repeat('<|grounding|>', page_num % 4)"), "raw_text")).otherwise(F.col("raw_text"))
     return p.select("run_id", "page_id", marker_artifacts(F.coalesce(made, F.lit(""))).alias("artifact")).distinct()
 
 
-@query()
+def _quality_sql(source: str) -> str:
+    """CTEs that end in ``judged``: the rows of ``source(id, page_num, raw)`` with t, status, issues, flags as SQL tells them.
+
+    A unit that stands eleven times in a row is told without back-references: inside a word by comparing it with itself some places on, and with
+    the blanks behind it by comparing neighbouring words, where the first need only end with the unit and the last only begin with it.
+    """
+    space, percent = SPACE_SQL, "round_even({0} * 100, 0)::BIGINT || '%'"
+    short, extreme, moderate = "length(t) < 20", "n > 0 AND ratio > 0.60", "n > 0 AND ratio > 0.35"
+    issues = [
+        f"CASE WHEN {extreme} THEN 'extreme repetition (' || {percent.format('ratio')} || ' duplicate lines)' WHEN {moderate} THEN 'moderate repetition (' || {percent.format('ratio')} || ' duplicate lines)' END",
+        "CASE WHEN run >= 5 THEN run || ' consecutive identical lines' END", f"CASE WHEN share > 0.5 THEN chr(39) || ch || chr(39) || ' is ' || {percent.format('share')} || ' of output' END", "CASE WHEN artifact THEN 'model artifact detected' END",
+        "CASE WHEN hyphens > 0 THEN 'line-break hyphenation remains (' || hyphens || ' segment(s))' END", "CASE WHEN markup THEN 'markup tag leaked into clean text' END",
+    ]
+    return rf"""
+ src AS ({source}), p AS (SELECT *, regexp_replace(coalesce(raw, ''), '^[{space}]+|[{space}]+$', '', 'g') AS t FROM src),
+ q AS (SELECT *, {lines_sql('t')} AS x, replace(replace(t, ' ', ''), chr(10), '') AS s, regexp_extract_all(t, '[^{space}]+[{space}]+') AS e FROM p),
+ counted AS (SELECT id, arg_max(ch, (k, -f)) AS ch, max(k) AS top FROM (SELECT id, c[i] AS ch, count(*) AS k, min(i) AS f FROM (SELECT id, string_split(s, '') AS c FROM q WHERE s <> ''), unnest(range(1, len(c) + 1)) AS u(i) GROUP BY ALL) GROUP BY id),
+ rows_ AS (SELECT id, max(k) AS run FROM (SELECT id, line, island, count(*) AS k FROM (SELECT id, line, i - row_number() OVER (PARTITION BY id, line ORDER BY i) AS island FROM (SELECT id, i, x[i] AS line FROM q, unnest(range(1, len(x) + 1)) AS u(i))) GROUP BY ALL) GROUP BY id),
+ long_ AS (SELECT id, unnest(regexp_extract_all(t, '[^{space}]{{11,}}')) AS w FROM p),
+ inside AS (SELECT w FROM (SELECT DISTINCT w FROM long_) WHERE len(list_filter(range(1, length(w) // 11 + 1), lambda k: contains(array_to_string(list_transform(range(1, length(w) - k + 1), lambda j: CASE WHEN substr(w, j, 1) = substr(w, j + k, 1) THEN '1' ELSE '0' END), ''), repeat('1', 10 * k)))) > 0),
+ units AS (SELECT DISTINCT id FROM long_ SEMI JOIN inside USING (w)),
+ el AS (SELECT id, i, e[i] AS w FROM q, unnest(range(1, len(e) + 1)) AS u(i)),
+ same AS (SELECT id, w, island, count(*) AS k, min(i) AS lo, max(i) AS hi FROM (SELECT id, i, w, i - row_number() OVER (PARTITION BY id, w ORDER BY i) AS island FROM el) GROUP BY ALL HAVING count(*) >= 9),
+ across AS (SELECT DISTINCT r.id FROM same r LEFT JOIN el a ON a.id = r.id AND a.i = r.lo - 1 LEFT JOIN el b ON b.id = r.id AND b.i = r.hi + 1 WHERE k + coalesce(ends_with(a.w, r.w), false)::INT + coalesce(starts_with(b.w, r.w), false)::INT >= 11),
+ facts AS (SELECT q.*, len(x) AS n, CASE WHEN len(x) > 0 THEN 1 - len(list_distinct(x)) / len(x) END AS ratio, coalesce(run, 0)::BIGINT AS run, ch, coalesce(top / nullif(length(s), 0), 0) AS share, {HY_SQL} AS hyphens, regexp_matches(t, '(?i)</?(?:{C.LEAK_TAGS})\b[^>]*>') AS markup,
+  regexp_matches(t, '(<\|det\|>){{3,}}|(<\|grounding\|>){{2,}}') OR units.id IS NOT NULL OR across.id IS NOT NULL AS artifact
+  FROM q LEFT JOIN counted USING (id) LEFT JOIN rows_ USING (id) LEFT JOIN units USING (id) LEFT JOIN across USING (id)),
+ told AS (SELECT *, CASE WHEN {short} THEN ['output too short (' || length(t) || ' chars)'] ELSE list_filter([{', '.join(issues)}], lambda z: z IS NOT NULL) END AS found FROM facts),
+ judged AS (SELECT *, CASE WHEN {short} THEN 'empty' WHEN coalesce({extreme}, false) OR artifact OR share > 0.5 THEN 'fail' WHEN len(found) > 0 THEN 'warn' ELSE 'pass' END AS status, list_transform(found, lambda z: 'Page ' || page_num || ': ' || z) AS issues,
+  CASE WHEN {short} THEN [] ELSE list_filter([CASE WHEN hyphens > 0 THEN 'line_hyphenation' END, CASE WHEN markup THEN 'markup_leak' END], lambda z: z IS NOT NULL) END AS flags FROM told)"""
+
+
+VALIDATE_SQL = f"""
+WITH once AS (SELECT DISTINCT run_id, page_id, page_num, clean_text FROM pages), {_quality_sql("SELECT row_number() OVER () AS id, run_id, page_id, page_num, clean_text AS raw FROM once")}
+SELECT run_id, page_id, status, coalesce(array_to_string(issues, ' / '), '') AS issues, coalesce(array_to_string(flags, '|'), '') AS flags FROM judged"""
+
+
+@query(VALIDATE_SQL)
 def vl_validate(spark, d):
     """Status, issues and flags of every page, all rules."""
-    p = table(spark, d, "pages", "run_id", "page_id", "page_num", "clean_text").distinct()
-    return with_quality(p, "clean_text", "page_num").select("run_id", "page_id", "quality.status", F.array_join("quality.issues", " / ").alias("issues"), F.array_join("quality.flags", "|").alias("flags"))
+    p = table(spark, d, "pages", "run_id", "page_id", "page_num", "clean_text")
+    return with_quality(p, "clean_text", "page_num").select("run_id", "page_id", "quality.status", F.array_join("quality.issues", " / ").alias("issues"), F.array_join("quality.flags", "|").alias("flags")).distinct()
 
 
-@query()
+@query(f"""
+WITH once AS (SELECT DISTINCT document_id, page_id, page_num, raw_text FROM pages), {_quality_sql("SELECT row_number() OVER () AS id, document_id, page_id, page_num, raw_text AS raw FROM once")}
+SELECT coalesce(lang, 'none') AS lang, status, count(*) AS pages FROM judged JOIN (SELECT document_id, lang FROM documents) USING (document_id) GROUP BY ALL""")
 def vl_status_by_language(spark, d):
     """Pages of each status by catalog language, judged from the raw text; the flagship."""
-    p = table(spark, d, "pages", "document_id", "page_id", "page_num", "raw_text").distinct()
-    judged = with_quality(p, "raw_text", "page_num").select("document_id", F.col("quality.status").alias("status"))
+    p = table(spark, d, "pages", "document_id", "page_id", "page_num", "raw_text")
+    # a page is judged where it lies; what moves tells repeated rows by a digest of their text
+    judged = with_quality(p, "raw_text", "page_num").select("document_id", "page_id", F.xxhash64("raw_text", "page_num").alias("digest"), F.col("quality.status").alias("status")).distinct()
     docs = table(spark, d, "documents", "document_id", "lang")
     return judged.join(docs, "document_id").groupBy(F.coalesce("lang", F.lit("none")).alias("lang"), "status").agg(F.count(F.lit(1)).alias("pages"))
 
 
+@query(f"""
+WITH once AS (SELECT DISTINCT doc_id, text FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN repeat(substr(text, 1, 40) || chr(10), 8) || text WHEN 1 THEN text || repeat(' ab', 12) || ' end' WHEN 2 THEN text || repeat('xyz', 11) WHEN 3 THEN regexp_replace(text, '[a-z]', 'a', 'g') WHEN 4 THEN text || ' <TD class=x> müba-' || chr(10) || 'delesi' ELSE repeat('satir bir' || chr(10), 2) || text END AS text FROM documents)), {_quality_sql("SELECT row_number() OVER () AS id, doc_id, doc_id AS page_num, text AS raw FROM once")}
+SELECT doc_id, status, coalesce(array_to_string(issues, ' / '), '') AS issues, coalesce(array_to_string(flags, '|'), '') AS flags FROM judged""")
+def vl_rules_on_spoiled_texts(spark, d):
+    """The rules over texts spoiled in the ways they tell: lines and units again and again, one character most of the text, markup and divided words."""
+    made = F.expr(
+        "CASE doc_id % 6 WHEN 0 THEN concat(repeat(concat(substr(text, 1, 40), '\n'), 8), text) WHEN 1 THEN concat(text, repeat(' ab', 12), ' end') WHEN 2 THEN concat(text, repeat('xyz', 11)) WHEN 3 THEN regexp_replace(text, '[a-z]', 'a')"
+        " WHEN 4 THEN concat(text, ' <TD class=x> müba-\ndelesi') ELSE concat(repeat('satir bir\n', 2), text) END"
+    )
+    docs = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.col("doc_id").alias("n"), made.alias("text"))
+    return with_quality(docs, "text", "n").select("doc_id", "quality.status", F.array_join("quality.issues", " / ").alias("issues"), F.array_join("quality.flags", "|").alias("flags")).distinct()
+
+
 # ---------------------------------------------------------------- script
 
 
 @query()
 def sc_analysis(spark, d):
     """Direction, script, counts and hints of every page."""
-    p = table(spark, d, "pages", "run_id", "page_id", "clean_text").distinct()
+    p = table(spark, d, "pages", "run_id", "page_id", "clean_text")
     a = p.withColumn("n", S.script_counts("clean_text")).withColumn("a", S.analysis(F.col("clean_text"), F.col("n")))
-    return a.select("run_id", "page_id", "a.direction", "a.primary_script", "a.arabic_char_count", "a.latin_char_count", "a.extended_latin_count", "a.has_diacritics", F.array_join("a.detected_languages", "|").alias("languages"))
+    return a.select("run_id", "page_id", "a.direction", "a.primary_script", "a.arabic_char_count", "a.latin_char_count", "a.extended_latin_count", "a.has_diacritics", F.array_join("a.detected_languages", "|").alias("languages")).distinct()
 
 
 @query(f"""
 SELECT run_id, page_id, array_to_string(list_filter([CASE WHEN regexp_matches(t, '[{S.TURKISH}]') THEN 'tr' END, CASE WHEN regexp_matches(t, '[{S.OTTOMAN_LATIN}]') THEN 'ota-latn' END], lambda x: x IS NOT NULL), '|') AS hints
 FROM (SELECT DISTINCT run_id, page_id, coalesce(clean_text, '') AS t FROM pages)""")
 def sc6_letter_hints(spark, d):
-    p = table(spark, d, "pages", "run_id", "page_id", "clean_text").distinct()
-    return p.select("run_id", "page_id", F.array_join(S.language_hints(F.coalesce("clean_text", F.lit("")), F.lit(0)), "|").alias("hints"))
+    p = table(spark, d, "pages", "run_id", "page_id", "clean_text")
+    return p.select("run_id", "page_id", F.array_join(S.language_hints(F.coalesce("clean_text", F.lit("")), F.lit(0)), "|").alias("hints")).distinct()
 
 
 @query(f"""
@@ -922,10 +1079,21 @@ def sc8_block_scripts(spark, d):
 SELECT run_id, page_id, length(t)::BIGINT AS chars, w AS words, len({lines_sql('t')})::BIGINT AS lines, floor(w * 1.3::DOUBLE)::BIGINT AS tokens_approx
 FROM (SELECT *, len(regexp_extract_all(t, '[^{SPACE_SQL}]+'))::BIGINT AS w FROM (SELECT DISTINCT run_id, page_id, coalesce(clean_text, '') AS t FROM pages))""")
 def md1_lengths(spark, d):
-    p = table(spark, d, "pages", "run_id", "page_id", "clean_text").distinct()
-    return p.select("run_id", "page_id", P.measures(F.col("clean_text")).alias("m")).select("run_id", "page_id", "m.*")
+    p = table(spark, d, "pages", "run_id", "page_id", "clean_text")
+    return p.select("run_id", "page_id", P.measures(F.col("clean_text")).alias("m")).select("run_id", "page_id", "m.*").distinct()
 
 
+MD1_SQL = ORACLE_SQL["md1_lengths"]
+
+
+def md3_page_metadata(spark, d):
+    """The metadata record of every page: lengths, script and quality together."""
+    made = P.page_metadata(table(spark, d, "pages", "run_id", "page_id", "page_num", "clean_text"))
+    return made.select("run_id", "page_id", "chars", "words", "lines", "tokens_approx", "direction", "primary_script", "arabic_char_count", "latin_char_count", "has_diacritics", F.array_join("detected_languages", "|").alias("languages"), "status", F.array_join("flags", "|").alias("flags")).distinct()
+
+
+QUERIES["md3_page_metadata"] = md3_page_metadata
+
 EVENTS_SQL = "e AS (SELECT * FROM run_events QUALIFY row_number() OVER (PARTITION BY id ORDER BY run_id) = 1)"
 
 
@@ -938,19 +1106,20 @@ def ev2_replay(spark, d):
 
 
 @query(f"""
-WITH {EVENTS_SQL}, s AS (SELECT run_id, count(*) FILTER (event_type = 'document_complete') AS documents_done, count(*) FILTER (event_type = 'page_retry') AS retries, count(*) FILTER (event_type = 'run_complete') > 0 AS completed, count(*) FILTER (event_type = 'run_failed') > 0 AS failed, max(id) AS last_event_id FROM e GROUP BY run_id)
-SELECT s.*, CASE WHEN completed THEN 1.0 WHEN coalesce(documents_total, 0) <= 0 THEN 0.0 ELSE least(0.99, documents_done::DOUBLE / documents_total) END::DOUBLE AS progress FROM s LEFT JOIN runs ON runs.id = s.run_id""")
+WITH {EVENTS_SQL}, s AS (SELECT run_id, greatest(count(*) FILTER (event_type = 'page_complete'), coalesce(sum((payload ->> '$.pages')::BIGINT) FILTER (event_type = 'document_complete'), 0))::BIGINT AS pages_done, count(*) FILTER (event_type = 'document_complete') AS documents_done, count(*) FILTER (event_type = 'page_retry') AS retries,
+ count(*) FILTER (event_type = 'run_complete') > 0 AS completed, count(*) FILTER (event_type = 'run_failed') > 0 AS failed, max(id) AS last_event_id FROM e GROUP BY run_id)
+SELECT s.*, CASE WHEN completed THEN 1.0 WHEN coalesce(pages_total, 0) <= 0 THEN 0.0 ELSE least(0.99, pages_done::DOUBLE / pages_total) END::DOUBLE AS progress FROM s LEFT JOIN runs ON runs.id = s.run_id""")
 def ev3_progress(spark, d):
-    """Progress of every run; the log at hand tells of documents, so these are counted instead of pages."""
+    """Pages done of every run and their share."""
     state = E.run_state(E.once(table(spark, d, "run_events")))
-    runs = table(spark, d, "runs", "id", "documents_total").select(F.col("id").alias("run_id"), "documents_total")
-    joined = state.join(runs, "run_id", "left")
-    return joined.select("run_id", "documents_done", "retries", "completed", "failed", "last_event_id", E.progress_of(F.col("documents_done"), F.col("documents_total"), F.col("completed")).alias("progress"))
+    return E.with_progress(state, table(spark, d, "runs", "id", "pages_total")).select("run_id", "pages_done", "documents_done", "retries", "completed", "failed", "last_event_id", "progress")
 
 
-@query(f"WITH {EVENTS_SQL} SELECT run_id, arg_max(event_type, id) AS last_event, count(*) AS events FROM e GROUP BY run_id")
+@query(f"""
+WITH {EVENTS_SQL}, s AS (SELECT run_id, arg_max(event_type, id) AS last_event, count(*) AS events, bool_or(event_type = 'run_started') AS began, bool_or(event_type = 'dataset_export_started') AS exporting, bool_or(event_type = 'run_complete') AS completed, bool_or(event_type = 'run_failed') AS failed FROM e GROUP BY run_id)
+SELECT run_id, last_event, events, CASE WHEN failed THEN 'failed' WHEN completed THEN 'completed' WHEN began THEN 'processing' ELSE 'queued' END AS status, CASE WHEN failed THEN 'failed' WHEN completed THEN 'completed' WHEN began THEN CASE WHEN exporting THEN 'exporting' ELSE 'ocr' END ELSE 'queued' END AS stage FROM s""")
 def ev5_lifecycle(spark, d):
-    return E.once(table(spark, d, "run_events", "id", "run_id", "event_type")).groupBy("run_id").agg(F.max_by("event_type", "id").alias("last_event"), F.count(F.lit(1)).alias("events"))
+    return E.lifecycle(E.once(table(spark, d, "run_events", "id", "run_id", "event_type")))
 
 
 @query(f"""
@@ -995,7 +1164,19 @@ def oracle_sql() -> dict[str, str]:
     """All SQL, with that which is generated."""
     blocks = f"SELECT doc_id, i::BIGINT AS block, x[i + 1] AS t FROM (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda x: regexp_replace(x, '^[{SPACE_SQL}]+|[{SPACE_SQL}]+$', '', 'g')), lambda x: x <> '') AS x FROM documents), unnest(range(len(x))) AS u(i)"
     counted = ", arabic AS arabic_char_count, latin AS latin_char_count, extended AS extended_latin_count, extended > 5 AS has_diacritics, languages"
+    analysed = _script_sql("SELECT DISTINCT run_id, page_id, coalesce(clean_text, '') AS t FROM pages", "run_id, page_id", counted)
+    ltr, rtl = _script_classes()[:2]
+    parts = f"list_transform(string_split(b, {NL_SQL} || {NL_SQL}), lambda x: struct_pack(x := x, l := len(regexp_extract_all(x, '[{ltr}]')), r := len(regexp_extract_all(x, '[{rtl}]'))))"
+    right = "(p.l + p.r > 0 AND (p.r / (p.l + p.r) > 0.8 OR (p.r > p.l AND NOT (p.r / (p.l + p.r) > 0.15 AND p.l / (p.l + p.r) > 0.15))))"
+    mixed = f"array_to_string(list_transform({parts}, lambda p: CASE WHEN {right} THEN '<div dir=\"rtl\">' || {NL_SQL} || p.x || {NL_SQL} || '</div>' ELSE p.x END), {NL_SQL} || {NL_SQL})"
+    whole = f"'<div dir=\"rtl\">' || {NL_SQL} || {NL_SQL} || b || {NL_SQL} || {NL_SQL} || '</div>'"
     return ORACLE_SQL | {
-        "sc_analysis": _script_sql("SELECT DISTINCT run_id, page_id, coalesce(clean_text, '') AS t FROM pages", "run_id, page_id", counted),
+        "sc_analysis": analysed,
         "sc8_block_scripts": _script_sql(blocks, "doc_id, block", ""),
+        "snk2_markdown": ORACLE_SQL["snk2_markdown"].replace("__MIXED__", mixed.replace("string_split(b,", "string_split(body,")),
+        "tx18_direction_wrap": f"SELECT DISTINCT run_id, page_id, sha256(CASE script_direction WHEN 'rtl' THEN {whole} WHEN 'mixed' THEN {mixed} ELSE b END) AS hash FROM (SELECT DISTINCT run_id, page_id, script_direction, coalesce(clean_text, '') AS b FROM pages)",
+        "tx18_mixed_blocks": f"SELECT DISTINCT doc_id, sha256({mixed}) AS hash FROM (SELECT doc_id, coalesce(text, '') AS b FROM documents)",
+        "md3_page_metadata": f"""
+SELECT DISTINCT run_id, page_id, m.chars, m.words, m.lines, m.tokens_approx, direction, primary_script, arabic_char_count, latin_char_count, has_diacritics, languages, status, flags
+FROM ({MD1_SQL}) m JOIN ({analysed}) s USING (run_id, page_id) JOIN ({VALIDATE_SQL}) v USING (run_id, page_id)""",
     }

@@ -17,19 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read, named by ``spark.checkpoint.dir``.
+    """The folder every executor can read: ``spark.checkpoint.dir``, else the checkpoint folder the context was given.
 
-    Only where the session leaves that setting unset (local tests) a temporary
-    folder is made, set as the checkpoint folder and removed at exit.
+    Where neither is set, as in tests, a temporary folder is made and removed at exit; on a cluster, where it would be no
+    shared one, this is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get().rstrip("/")
     own = getattr(spark, "_pagewright_dir", None)
     if own is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder shared by all executors of {master}")
         own = tempfile.mkdtemp(prefix="pagewright-")
         spark._pagewright_dir = own
-        spark.sparkContext.setCheckpointDir(own)
         atexit.register(shutil.rmtree, own, True)
     return own
 
@@ -55,6 +60,32 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def commit(df: DataFrame, path: str) -> DataFrame:
+    """Replace the table at ``path`` by ``df`` and read it back.
+
+    The rows, which may be made from the table itself, are written beside it first; then the old table is moved away, the new one
+    put in its place and the old one dropped, so at every moment one of them is whole. If the second move fails the first is undone.
+    """
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    mark = uuid.uuid4().hex
+    fresh, old = f"{path}.new-{mark}", f"{path}.old-{mark}"
+    df.write.parquet(fresh)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = fs.exists(hadoop(path))
+    if there and not fs.rename(hadoop(path), hadoop(old)):
+        fs.delete(hadoop(fresh), True)
+        raise OSError(f"{path} cannot be moved")
+    if not fs.rename(hadoop(fresh), hadoop(path)):
+        if there:
+            fs.rename(hadoop(old), hadoop(path))
+        raise OSError(f"{fresh} cannot be moved to {path}")
+    if there:
+        fs.delete(hadoop(old), True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 

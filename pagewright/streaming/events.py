@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.sources.tables import commit
+
 EVENT_TYPES = ("run_started", "page_start", "page_retry", "page_complete", "document_complete", "dataset_export_started", "run_complete", "run_failed")
 LAST = ("run_complete", "run_failed")
+#: Seconds between two looks at a log that is followed.
+PAUSE = 0.5
 SCHEMA = T.StructType(
     [T.StructField("id", T.LongType()), T.StructField("run_id", T.StringType()), T.StructField("event_type", T.StringType()), T.StructField("payload", T.StringType()), T.StructField("created_at", T.TimestampType())]
 )
@@ -31,8 +38,10 @@ def progress_of(done: Column, total: Column, ended: Column) -> Column:
 def run_state(events: DataFrame) -> DataFrame:
     """Counts of events by run; works on tables and on streams alike, being one aggregation with a map-side combine."""
     kind = lambda k: F.count_if(F.col("event_type") == k)
+    pages = F.when(F.col("event_type") == "document_complete", F.get_json_object("payload", "$.pages").try_cast("bigint"))
     return events.groupBy("run_id").agg(
-        kind("page_complete").alias("pages_done"), kind("page_retry").alias("retries"), kind("document_complete").alias("documents_done"),
+        # a log that keeps no pages tells how many each document had
+        F.greatest(kind("page_complete"), F.coalesce(F.sum(pages), F.lit(0))).alias("pages_done"), kind("page_retry").alias("retries"), kind("document_complete").alias("documents_done"),
         (kind("run_complete") > 0).alias("completed"), (kind("run_failed") > 0).alias("failed"), F.max("id").alias("last_event_id"),
     )
 
@@ -44,6 +53,17 @@ def with_progress(state: DataFrame, runs: DataFrame) -> DataFrame:
     return out.withColumn("progress", progress_of(F.col("pages_done"), F.col("pages_total"), F.col("completed")))
 
 
+def lifecycle(events: DataFrame) -> DataFrame:
+    """``run_id, last_event, events, status, stage``: queued, processing (ocr, then exporting), completed or failed, by the events there are, in whatever order they came."""
+    kind = lambda k: F.count_if(F.col("event_type") == k) > 0
+    told = events.groupBy("run_id").agg(
+        F.max_by("event_type", "id").alias("last_event"), F.count(F.lit(1)).alias("events"), *[kind(k).alias(k) for k in ("run_started", "dataset_export_started", "run_complete", "run_failed")],
+    )
+    ended = F.when(F.col("run_failed"), "failed").when(F.col("run_complete"), "completed")
+    busy = F.when(F.col("dataset_export_started"), "exporting").otherwise("ocr")
+    return told.select("run_id", "last_event", "events", F.coalesce(ended, F.when(F.col("run_started"), "processing").otherwise("queued")).alias("status"), F.coalesce(ended, F.when(F.col("run_started"), busy).otherwise("queued")).alias("stage"))
+
+
 def counters(events: DataFrame) -> DataFrame:
     """Counters over the whole log in one row; times in tenths of a millisecond."""
     kind = lambda k: F.count_if(F.col("event_type") == k)
@@ -84,15 +104,61 @@ def read_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16) -
 
 
 def follow(spark: SparkSession, folder: str, run_id: str, after: int = 0) -> DataFrame:
-    """The events of one run behind an id as they arrive, each once within a day of its time."""
+    """The events of one run behind an id as they arrive, each once, however late; what is remembered is the ids of this one run."""
     stream = read_stream(spark, folder).filter((F.col("run_id") == run_id) & (F.col("id") > after))
-    return stream.withWatermark("created_at", "1 day").dropDuplicatesWithinWatermark(["id"])
-
-
-def progress_stream(spark: SparkSession, folder: str, checkpoint: str, table_name: str):
-    """A running query that keeps the state of every run in a memory table; events may come late and in any order, so no state is dropped."""
-    state = run_state(read_stream(spark, folder).dropDuplicates(["id"]))
-    return state.writeStream.outputMode("complete").format("memory").queryName(table_name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.dropDuplicates(["id"])
+
+
+def follow_to_end(spark: SparkSession, folder: str, run_id: str, checkpoint: str, take: Callable[[DataFrame], None], after: int = 0, timeout: float | None = None) -> bool:
+    """Hand the events of one run to ``take``, batch by batch in order of id, until the run has ended or the time is over; whether it has ended.
+
+    An event of LAST ends it once the files at hand are read, so events written before the end are not lost to it.
+    """
+    ended = []
+
+    def each(batch: DataFrame, _: int) -> None:
+        rows = batch.persist()
+        take(rows.orderBy("id"))
+        if rows.filter(F.col("event_type").isin(*LAST)).limit(1).count():
+            ended.append(True)
+        rows.unpersist()
+
+    left = timeout
+    while not ended:
+        query = follow(spark, folder, run_id, after).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        if ended or left is not None and left <= 0:
+            break
+        time.sleep(PAUSE)
+        left = None if left is None else left - PAUSE
+    return bool(ended)
+
+
+def progress_stream(spark: SparkSession, folder: str, checkpoint: str, path: str, late: str = "30 days"):
+    """A running query that keeps the state of every run in the table at ``path``; only runs that changed are written.
+
+    Ids are remembered for ``late`` behind the newest event. What comes later still is not counted by the stream; ``run_state`` over the log
+    counts it.
+    """
+    state = run_state(read_stream(spark, folder).withWatermark("created_at", late).dropDuplicatesWithinWatermark(["id"]))
+
+    def each(batch: DataFrame, _: int) -> None:
+        merge_states(batch, path)
+
+    return state.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def merge_states(changed: DataFrame, path: str) -> None:
+    """Put changed rows of the runs' states in the place of the old ones."""
+    spark = changed.sparkSession
+    changed = changed.persist()
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    if hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop(path)):
+        kept = spark.read.schema(changed.schema).parquet(path).join(changed.select("run_id"), "run_id", "left_anti")
+        commit(kept.unionByName(changed), path)
+    else:
+        commit(changed, path)
+    changed.unpersist()
 
 
 def append(events: DataFrame, folder: str) -> None:

@@ -14,7 +14,9 @@ from pagewright.operators import rollup as R
 from pagewright.operators.edges import recognize_pages, render_pages
 from pagewright.plans import exports as X
 from pagewright.sources import files
-from pagewright.sources.tables import table
+from pagewright.functions.quality import with_quality
+from pagewright.operators.ranks import ordered_rank
+from pagewright.sources.tables import commit, table
 from pagewright.streaming import events as E
 
 T0 = datetime(2024, 1, 1)
@@ -206,11 +208,74 @@ def test_progress(spark):
 
 
 def test_stream_ends_in_the_batch_state(spark, tmp_path):
+    path = str(tmp_path / "states")
     for part in (LOG[:3], LOG[3:]):
         E.append(spark.createDataFrame(part, E.SCHEMA), str(tmp_path / "log"))
-    E.progress_stream(spark, str(tmp_path / "log"), str(tmp_path / "state"), "run_states").awaitTermination()
+        E.progress_stream(spark, str(tmp_path / "log"), str(tmp_path / "checkpoint"), path).awaitTermination()
     batch = E.run_state(E.once(log(spark))).collect()
-    assert sorted(spark.table("run_states").collect()) == sorted(batch) and len(batch) == 2
+    assert sorted(spark.read.parquet(path).collect()) == sorted(batch) and len(batch) == 2
+
+
+def test_lifecycle(spark):
+    rows = [(1, "a", "run_started"), (2, "b", "run_started"), (3, "b", "dataset_export_started"), (4, "c", "run_complete"), (2, "c", "run_started"), (5, "d", "run_failed"), (6, "e", "page_start")]
+    got = {r.run_id: (r.status, r.stage, r.last_event) for r in E.lifecycle(spark.createDataFrame(rows, "id long, run_id string, event_type string")).collect()}
+    assert got == {"a": ("processing", "ocr", "run_started"), "b": ("processing", "exporting", "dataset_export_started"), "c": ("completed", "completed", "run_complete"), "d": ("failed", "failed", "run_failed"), "e": ("queued", "queued", "page_start")}
+
+
+def test_following_stops_at_the_end(spark, tmp_path):
+    folder, seen = str(tmp_path / "log"), []
+    take = lambda rows: seen.extend(r.id for r in rows.collect())
+    E.append(log(spark), folder)
+    assert not E.follow_to_end(spark, folder, "r", str(tmp_path / "c1"), take, timeout=0) and sorted(seen) == [1, 2, 3, 4]
+    E.append(spark.createDataFrame([(9, "r", "run_complete", "{}", T0), (3, "r", "page_complete", "{}", T0)], E.SCHEMA), folder)
+    seen.clear()
+    # goes on where it stopped, and an event that came before does not come again
+    assert E.follow_to_end(spark, folder, "r", str(tmp_path / "c1"), take) and seen == [9]
+    seen.clear()
+    assert E.follow_to_end(spark, folder, "s", str(tmp_path / "c2"), take, after=5) and seen == [6]
+
+
+def test_commit_replaces_a_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    commit(spark.range(3), path)
+    # the new rows may be made from the old ones
+    assert commit(spark.read.parquet(path).selectExpr("id + 10 AS id"), path).count() == 3
+    assert {r.id for r in spark.read.parquet(path).collect()} == {10, 11, 12} and [p.name for p in tmp_path.iterdir()] == ["t"]
+    with pytest.raises(Exception):
+        commit(spark.range(1).selectExpr("assert_true(id > 5) AS x"), path)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_update_and_scope(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "i int, s string")
+    assert {tuple(r) for r in K.update_rows(df, F.col("s") == "a", i=7).collect()} == {(7, "a"), (2, None)}
+    with pytest.raises(KeyError):
+        K.update_rows(df, F.lit(True), other=1)
+    assert X.export_scope(None) == "all" and X.export_scope(["b", "a"]) == X.export_scope(["a", "b"]) and len(X.export_scope(["a"])) == 12
+    assert X.export_name("text_bundle") == "text_bundle_all" and X.export_name("ocr_pairs", ["x"], "raw", 200).startswith("ocr_pairs_raw_200_")
+
+
+def test_uploads_are_written(spark, tmp_path):
+    rows = [("a/b.pdf", b"1"), ("a/b.pdf", b"1"), ("c.PDF", b""), ("..pdf", b"2"), (None, b"3"), ("d.pdf", None), ("e.txt", b"4")]
+    got = files.store_uploads(spark.createDataFrame([(n, None if c is None else bytearray(c)) for n, c in rows], "filename string, content binary"), str(tmp_path / "in")).collect()
+    assert sorted(p.name for p in (tmp_path / "in").iterdir()) == sorted({r.stored for r in got if not r.refused}) and sum(r.refused for r in got) == 4
+    assert all(Path(r.path).read_bytes() in (b"1", b"") for r in got if not r.refused)
+
+
+def test_ordered_rank_of_a_hot_group(spark):
+    rows = [("hot", i * 7 % 500, i) for i in range(500)] + [("cold", None, i) for i in range(5)] + [("cold", 3, 9)]
+    df = spark.createDataFrame(rows, "g string, t int, i int")
+    got = ordered_rank(df, ["g"], [F.col("t").asc_nulls_last(), F.col("i").asc()], "r").collect()
+    for g in ("hot", "cold"):
+        own = sorted((r for r in got if r.g == g), key=lambda r: r.r)
+        assert [r.r for r in own] == list(range(1, len(own) + 1))
+        assert [(r.t is None, r.t, r.i) for r in own] == sorted(((r.t is None, r.t, r.i) for r in own), key=lambda k: (k[0], k[1] or 0, k[2]))
+
+
+def test_a_filter_on_quality_evaluates_no_rule_twice(spark):
+    df = with_quality(spark.createDataFrame([(1, "metin")], "n int, t string"), "t", "n").filter("quality.status = 'fail'")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE(") + plan.count("RLIKE ") <= 8 and plan.count("_top_character") <= 2
 
 
 def test_follow_one_run(spark, tmp_path):

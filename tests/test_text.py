@@ -53,6 +53,41 @@ def test_normalize_cases(spark):
     assert got == ["mübadelesi", "a b c", "sözcük 12- 13", "", ""]
 
 
+TABLES = [
+    ("a<table x><tr><td>1</td><th> <b>2</b>  &amp; </th><td></td></tr><tr></tr><TR><td>q</td></TR></table>z", "a1 | <b>2</b> &\nqz"),
+    ("<table><tr><td>p<br>q</td></tr></table> <table></table>", "pq "), ("<table><tr><td>never closed", "<table><tr><td>never closed"), ("<tr><td>x</td></tr>", "<tr><td>x</td></tr>"),
+    ("<table><tr><td>a<tr><td>b</td></tr></table>", "ab"), ("<table><td>no row</td><tr><td>k</tr><tr><td>m</td></tr></table>", "m"), ("<table><tr><td>a</th><td>b</td></tr></table>", "a | b"), ("x</table>y", "x</table>y"),
+    ("<table>\n<tr>\n<td>bir\niki</td>\n</tr>\n</table>\n<TABLE><tr><td>ş</td></tr></TABLE>", "bir iki\nş"), ("<tablet><tr><td>q</td></tr></table>", "<tablet><tr><td>q</td></tr></table>"),
+]
+
+
+def test_tables():
+    assert [C.table_lines(a) for a, _ in TABLES] == [b for _, b in TABLES]
+
+
+def plain_tables(t):
+    """Tables told by cutting a text at their tags, again and again."""
+    low, out = t.lower(), ""
+    while True:
+        m = re.search(r"<table\b[^>]*>", low)
+        end = low.find("</table>", m.end()) if m else -1
+        if end < 0:
+            return out + t
+        body, rows = t[m.start() : end], []
+        for row in between(body, "tr"):
+            cells = [" ".join(html.unescape(re.sub(rf"(?i)</?(?:{C.CLEAN_TAGS})\b[^>]*>", "", c)).split()) for c in between(row, "t[dh]")]
+            rows.append(" | ".join(c for c in cells if c))
+        out += t[: m.start()] + "\n".join(r for r in rows if r)
+        t, low = t[end + 8 :], low[end + 8 :]
+
+
+def between(text, tag):
+    at = 0
+    while (m := re.compile(rf"(?i)<{tag}\b[^>]*>").search(text, at)) and (e := re.compile(rf"(?i)</{tag}>").search(text, m.end())):
+        yield text[m.end() : e.start()]
+        at = e.end()
+
+
 def plain_clean(t):
     """The cleaning rules said again in plain Python."""
     sp = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
@@ -62,7 +97,7 @@ def plain_clean(t):
     for x in C.MODEL_TOKENS:
         t = t.replace(x, "")
     t = re.sub(r"<\|/?[a-z_]+\|>|\x00", "", t)
-    t = C.table_lines(t)
+    t = plain_tables(t)
     t = re.sub(rf"(?i)<br{sp}*/?>|</(?:p|div|h[1-6]){sp}*>", "\n", t)
     t = html.unescape(re.sub(rf"(?i)</?(?:{C.CLEAN_TAGS})\b[^>]*>", "", t))
     t = re.sub(r"([^\W])- ?\n([^\W])", r"\1\2", t)
