@@ -8,12 +8,16 @@ from functools import lru_cache
 
 # Letters of other alphabets and the Latin letter of the same shape.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜҺаеѕіјорсухԁԛԝһүѵӏ", "ABESIJKMHOPCTYXYGQWHaesijopcyxdqwhyvl"))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳοϲ", "ABEZHIKMNOPTYXCjoc"))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳοϲανρυι", "ABEZHIKMNOPTYXCjocavpuı"))
+CHEROKEE = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏚᏙᏞᏟᏢᏦᏴ", "DRTAJEWMHGZSVLCPKB"))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+SMALL_CAPITALS = dict(zip("ᴄᴏᴠᴡᴢꜱ", "covwzs"))
 ARMENIAN = dict(zip("ՕՍօոսց", "OUonug"))
-OTHER = {"‐": "-", "‑": "-", "﹣": "-", "－": "-", "˗": "-", "ɑ": "a", "ɡ": "g", "ı̇": "i", "Ɩ": "l", "ǀ": "|", "∣": "|", "’": "'", "ʼ": "'", "′": "'", "″": '"'}
+OTHER = {"‐": "-", "‑": "-", "﹣": "-", "－": "-", "˗": "-", "ɑ": "a", "ɡ": "g", "Ɩ": "l", "ǀ": "|", "∣": "|", "’": "'", "ʼ": "'", "′": "'", "″": '"'}
 #: Kinds of compatibility forms that differ from their plain character in width, font or joining only.
 SAME_SHAPE = {"<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>", "<small>"}
-LIGATURES = range(0xFB00, 0xFB07)
+#: Ligatures and Roman numerals, which look like the letters they are made of.
+LIGATURES, NUMERALS = range(0xFB00, 0xFB07), range(0x2160, 0x2180)
 
 
 @lru_cache(1)
@@ -31,14 +35,19 @@ def table() -> dict[int, str | None]:
             parts = unicodedata.decomposition(ch).split()
             if parts and parts[0] in SAME_SHAPE:
                 out[cp] = unicodedata.normalize("NFKC", ch)
-            elif cp in LIGATURES:
+            elif cp in LIGATURES or cp in NUMERALS:
                 out[cp] = unicodedata.normalize("NFKC", ch)
-    for pairs in (CYRILLIC, GREEK, ARMENIAN, OTHER):
-        out |= {ord(a): b for a, b in pairs.items() if len(a) == 1}
+    for pairs in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, LISU, SMALL_CAPITALS, OTHER):
+        out |= {ord(a): b for a, b in pairs.items()}
     # forms whose plain character is itself a look-alike (bold Greek capitals and the like)
     return {k: v.translate(out) if v else v for k, v in out.items()}
 
 
+def shape(text: str) -> str:
+    """A stretch of text without line breaks as it looks: every character by the table, accents composed, a dot set on a dotless i."""
+    return unicodedata.normalize("NFC", text.translate(table())).replace("ı\u0307", "i")
+
+
 _SPECIAL = re.compile(r"[^\x00-\x7f]")
 _PLAIN = re.compile(r"[\x00-\x7fçğıöşüÇĞİÖŞÜâîûÂÎÛéèêàùäßāūīḥḫṣṭḳġżẕñʿʾء-ي٠-٩یکگپچ،؛؟—–«»\n]*")
 
@@ -51,8 +60,7 @@ def seen(text: str) -> str:
     if _PLAIN.fullmatch(text):
         return _ends(text)
     text = re.sub("\xad(?=[^\\S\\n]*(?:\\n|$))", "-", text)
-    text = re.sub("\r\n?|[\x0b\x85\u2028\u2029]", "\n", text).translate(table())
-    return _ends(unicodedata.normalize("NFC", text))
+    return _ends(shape(re.sub("\r\n?|[\x0b\x85\u2028\u2029]", "\n", text)))
 
 
 def _ends(text: str) -> str:
