@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.functions.fold import py_fold
+from pagewright.functions.fold import fold_letters, py_fold
 from pagewright.llm import glyphs
 from pagewright.llm.inputs import Once
 from pagewright.llm.residue import kind_of
@@ -231,6 +232,7 @@ def is_page_number(line: str) -> bool:
     return bool(line) and len(line) < 24 and bool(PAGE_LINE.fullmatch(line)) and any(ch.isdigit() or ch in "ivxlcIVXLC" for ch in line)
 
 
+@lru_cache(20_000)
 def title_key(text: str) -> str:
     """Letters of a line or title for comparison: folded, spaced letters closed, no figures and signs."""
     return re.sub(r"[^a-zء-يک-ی]", "", py_fold(glyphs.seen(text)))
@@ -298,20 +300,21 @@ def may_name(line: str, longest: int) -> bool:
 def styled(line: str) -> bool:
     """Whether a line is set like a running title: capitals, spaced letters, between signs, beside a number or author / title."""
     t = line.strip()
-    if not t or HEADINGS.search(py_fold(t)) or _SENTENCE_END.search(t):
+    if not t or _SENTENCE_END.search(t):
         return False
     core = re.sub(r"^[\W\d]+|[\W\d]+$", "", t)
-    if len(_LETTERS.findall(core)) < 5 or kind_of(t, py_fold(t)):
+    if len(_LETTERS.findall(core)) < 5:
         return False
     words = core.split()
-    capitals = core == core.upper() and core != core.lower() and len(words) <= 40
-    if re.search(r"[ء-ي]", core):
-        capitals = False
+    capitals = core == core.upper() and core != core.lower() and len(words) <= 40 and not re.search(r"[ء-ي]", core)
     between = bool(re.fullmatch(r"([~*=·•]).+\1", t))
     named = all(w[:1].isupper() for w in words if len(w) > 4)
-    beside = bool(_WITH_NUMBER.match(t)) and len(words) <= 7 and named
+    beside = len(words) <= 7 and named and bool(_WITH_NUMBER.match(t))
     pair = " / " in t and named and len(words) <= 14
-    return capitals or between or beside or pair
+    if not (capitals or between or beside or pair):
+        return False
+    folded = py_fold(t)
+    return not HEADINGS.search(folded) and not kind_of(t, folded)
 
 
 def titled(line: str) -> bool:
@@ -389,8 +392,8 @@ def note(raw: str, words: Words, longest: int) -> tuple[bool, bool, list[dict],
     return hyphen, *any_misread(DIVIDED.sub(_join, body), words), edges
 
 
-def decide_furniture(edges: list[dict], names: list[str], back: set[str]) -> list[tuple[bool, bool]]:
-    """(running title, page number) for each edge line of a page; ``back`` are keys that return on other pages of the volume.
+def decide_furniture(edges: list[dict], names: list[str], back: set[int]) -> list[tuple[bool, bool]]:
+    """(running title, page number) for each edge line of a page; ``back`` are the places of lines that return on other pages of the volume.
 
     A line counts only as part of an unbroken row of furniture from the head or the foot.
     """
@@ -407,7 +410,7 @@ def decide_furniture(edges: list[dict], names: list[str], back: set[str]) -> lis
                 out[k] = (False, True)
                 continue
             m = _WITH_NUMBER.match(e["text"])
-            title = not heading and (repeats_name(e["text"], names) or e["styled"] or titled(e["text"]) and not e["sentence"] and title_key(e["text"]) in back)
+            title = not heading and (repeats_name(e["text"], names) or e["styled"] or titled(e["text"]) and not e["sentence"] and e["place"] in back)
             if title:
                 out[k] = (True, bool(m))
                 continue
@@ -500,24 +503,22 @@ def judge_edges(notes: DataFrame, books: DataFrame, mends: DataFrame) -> DataFra
     pages of a volume.
     """
     rows = notes.select("page_id", "document_id", F.explode("edges").alias("e")).filter("not e.number and not e.sentence")
-    letters = F.lower(F.regexp_replace("e.text", r"[^\p{L}]", ""))
-    back = (
-        rows.select("document_id", "page_id", letters.alias("letters"), F.col("e.text").alias("text"))
-        .filter(F.length("letters") >= 5)
-        .groupBy("document_id", "letters")
-        .agg(F.count_distinct("page_id").alias("n"), F.min("text").alias("text"))
-        .filter("n >= 2")
-        .groupBy("document_id")
-        .agg(F.collect_list("text").alias("back"))
-    )
-    joined = notes.join(books, "document_id", "left").join(back, "document_id", "left").join(mends, "page_id", "left")
+    letters = F.regexp_replace(fold_letters(F.col("e.text")), "[^a-zء-يک-ی]", "")
+    rows = rows.select("page_id", "document_id", F.col("e.place").alias("place"), letters.alias("letters")).filter(F.length("letters") >= 5)
+    again = rows.groupBy("document_id", "letters").agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).filter("lo != hi").select("document_id", "letters")
+    back = rows.join(again, ["document_id", "letters"], "left_semi").groupBy("page_id").agg(F.collect_set("place").alias("back"))
+    joined = notes.join(mends, "page_id", "left").join(back, "page_id", "left").join(books, "document_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             header, number, misread, places = [], [], [], []
+            known: dict[tuple, list[str]] = {}
             for r in b.to_pylist():
                 edges = r["edges"] or []
-                found = decide_furniture(edges, names_of(r["titles"] or [], r["authors"] or [], r["filename"]), {title_key(t) for t in r["back"] or []}) if edges else []
+                about = (*(r["titles"] or []), *(r["authors"] or []), r["filename"])
+                if about not in known:
+                    known[about] = names_of(r["titles"] or [], r["authors"] or [], r["filename"])
+                found = decide_furniture(edges, known[about], set(r["back"] or [])) if edges else []
                 header.append(any(f[0] for f in found))
                 number.append(any(f[1] for f in found))
                 bad = {m["token"] for m in r["mends"] or []}
