@@ -25,6 +25,7 @@ from pagewright.llm.inputs import Once
 from pagewright.llm.residue import kind_of
 from pagewright.llm.trie import Trie, weighted
 from pagewright.llm.vocabulary import LEAST, floor_of, pair_key, token_and_pair_table
+from pagewright.operators.pairs import spread
 from pagewright.sources.tables import settle, table
 
 # Letters and what scanning software reads in their place.
@@ -585,7 +586,8 @@ def vocabulary(pages: DataFrame) -> tuple[Words, DataFrame, DataFrame, DataFrame
     # a frequent misreading of a far more frequent word is no word
     wrong = candidates(often, words, plain=False).filter(F.col("weight") >= CLEAN_RATIO * F.col("own"))
     words.drop(r[0] for r in wrong.select("token").distinct().collect())
-    found = settle(candidates(counts, words), "candidates")
+    # the counts are small and the automaton is not: left as they were written they would be a task or two
+    found = settle(candidates(spread(counts, "word"), words), "candidates")
     frequent = found.filter((F.col("own") >= floor) & (F.col("cost") <= SOUND)).groupBy("token").agg(F.min_by("surface", F.struct("cost", -F.col("weight"), "word")).alias("word"))
     words.told |= {r[0]: r[1] for r in frequent.collect()}
     return words, counts, pairs, found
