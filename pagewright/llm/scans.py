@@ -168,6 +168,7 @@ class Words:
                 known[w] = (total + n, surface if n > most else best, max(n, most))
         self.known = {w: (n, s) for w, (n, s, _) in known.items()}
         self.floor = floor if floor is not None else min((n for n, _ in self.known.values()), default=1)
+        self._misread: frozenset[str] | None = None
         self.told: dict[str, str | None] = {w: None for w in map(fold_i, (c[0] for c in counted)) if w not in self.known}
 
     def drop(self, wrong: Iterable[str]) -> None:
@@ -176,6 +177,12 @@ class Words:
             if self.known.pop(w, None):
                 self.told[w] = None
 
+    def misread(self) -> frozenset[str]:
+        """The frequent tokens that are misreadings."""
+        if self._misread is None:
+            self._misread = frozenset(w for w, word in self.told.items() if word)
+        return self._misread
+
     def divided(self, left: str, sign: str, right: str) -> bool:
         """Whether a word before and after a sign at a line end is one divided word, and no compound with its hyphen."""
         if sign not in "-‐‑":
@@ -566,7 +573,9 @@ def repair(raw: str, furniture: list[int], words: Words, mends: dict[str, str] |
             word = ("İ" if word[0] == "i" and dotted else word[0].upper()) + word[1:]
         return m[0].replace(core, word, 1)
 
-    text = _TOKEN.sub(mend, text)
+    # most pages hold nothing to mend
+    if mends or words.misread() and not words.misread().isdisjoint(map(bare, _TOKEN.findall(fold_i(lower(text))))):
+        text = _TOKEN.sub(mend, text)
     paragraphs = [re.sub(r"\s+", " ", p).strip() for p in re.split(r"\n[^\S\n]*\n|\n(?=[^\S\n]{2,}\S)", text)]
     return "\n\n".join(p for p in paragraphs if p), joined, repaired
 
