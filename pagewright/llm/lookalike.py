@@ -12,6 +12,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -96,42 +97,55 @@ class Canon:
         return self.token(word)
 
 
-def vocabulary(pages: DataFrame, text: str = "clean_text") -> list[tuple[str, int]]:
-    """The frequent tokens of all pages."""
-    return frequent(token_table(pages, text, str.split))
+def vocabulary(pages: DataFrame, *texts: str) -> list[tuple[str, int]]:
+    """The frequent tokens of all pages in ``texts``, by default ``clean_text``.
+
+    Columns that repeat each other would count a token twice, and one that is divided in either of them once; so it counts as often as in
+    the column that holds it most.
+    """
+    counts = [token_table(pages, text, str.split) for text in texts or ("clean_text",)]
+    return frequent(reduce(DataFrame.unionByName, counts).groupBy("token").agg(F.max("n").alias("n")) if len(counts) > 1 else counts[0])
 
 
-def canonical(df: DataFrame, text: str, keep: list[str], words: list[tuple[str, int]], digest: bool = False) -> DataFrame:
+def canonical(df: DataFrame, text: str, keep: list[str], words: list[tuple[str, int]], digest: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` and ``canonical_text``, or with ``digest`` the 128-bit digests ``form`` of the text and ``look`` of its canonical form.
 
+    Each further text column of ``also`` comes out as ``canonical_<column>``; digests are of one text.
     A null text gives nulls, an empty one an empty form.
     """
+    if digest and also:
+        raise ValueError("digests are of one text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
     held = df.sparkSession.sparkContext.broadcast(Once(Canon, words))
-    names = ["form", "look"] if digest else ["canonical_text"]
+    names = ["form", "look"] if digest else ["canonical_text", *(f"canonical_{c}" for c in also)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = held.value.get()
         mark = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            forms = [None if t is None else canon.text(t) for t in texts]
-            if digest:
-                columns = [[None if t is None else mark(t) for t in texts], [None if t is None else mark(t) for t in forms]]
-            else:
-                columns = [forms]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, pa.string()) for c in columns)], names=[*keep, *names])
+            columns = []
+            for c in b.columns[len(keep) :]:
+                texts = c.to_pylist()
+                forms = [None if t is None else canon.text(t) for t in texts]
+                columns += [[None if t is None else mark(t) for t in x] for x in (texts, forms)] if digest else [forms]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(c, pa.string()) for c in columns)], names=[*keep, *names])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, fields + "".join(f", {n} string" for n in names))
+    return df.select(*keep, *[F.col(c).alias(f"__text{i}") for i, c in enumerate((text, *also))]).mapInArrow(run, fields + "".join(f", {n} string" for n in names))
 
 
 # ---------------------------------------------------------------- queries
 
 
 def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page with the canonical form of its clean_text, once."""
-    pages = table(spark, sf_dir, "pages", "page_id", "clean_text")
-    return canonical(pages, "clean_text", ["page_id"], vocabulary(pages)).dropDuplicates(["page_id"])
+    """Every page with the canonical forms of its clean_text and its normalized_text, each row once.
+
+    Rows of one page, or of none, whose texts look different all stay. A table without normalized_text gives nulls for its form.
+    """
+    pages = table(spark, sf_dir, "pages")
+    there = "normalized_text" in pages.columns
+    pages = pages.select("page_id", "clean_text", (F.col("normalized_text") if there else F.lit(None).cast("string")).alias("normalized_text"))
+    words = vocabulary(pages, "clean_text", "normalized_text") if there else vocabulary(pages)
+    return canonical(pages, "clean_text", ["page_id"], words, also=("normalized_text",)).distinct()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,20 @@ def test_empty(spark, tables):
 def test_shapes(a, b):
     assert glyphs.seen(f"x{a}y") == f"x{b}y"
     assert A.Canon([("kalem", 5)]).token(f"x{a}y") == f"x{b}y"
+
+
+def test_canonical_reads_both_texts_and_keeps_every_row(spark, tables):
+    rng = random.Random(3)
+    line = " ".join(BASE.split())
+    pages = [(f"p{i}", spoil(BASE, rng), spoil(line, rng)) for i in range(4)]
+    # one page, and no page, with texts that look different; an id without texts; words that only normalized_text holds whole
+    pages += [("p0", "başka bir metin", None), (None, "bir", "bir"), (None, "iki", ""), ("none", None, None)]
+    pages += [(f"w{i}", "ро-\nсы", "росы") for i in range(8)] + [("w8", "", "pocы")]
+    d = tables(pages=spark.createDataFrame([*pages, *pages[:6]], "page_id string, clean_text string, normalized_text string"))
+    df = A.p5_canonical(spark, d)
+    assert df.columns == ["page_id", "canonical_text", "canonical_normalized_text"]
+    got = sorted(map(tuple, df.collect()), key=str)
+    look = lambda rows: {(p, a and glyphs.seen(a), b and glyphs.seen(b)) for p, a, b in rows}
+    assert len(got) == len(pages) and look(got) == look(pages)
+    assert len({r[1:] for r in got if r[1] and r[1].startswith("Ça")}) == 1
+    assert {r[2] for r in got if (r[0] or "").startswith("w")} == {"росы"}
