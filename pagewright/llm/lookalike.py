@@ -70,11 +70,10 @@ class Canon:
         """The canonical spelling of one token without blanks."""
         found = self.memo.get(token)
         if found is None:
-            plain = unicodedata.normalize("NFC", token)
-            reached = weighted(self.trie, plain, self._edits, 0, least=0)
-            found = self.trie.words[max(reached, key=lambda k: (self.trie.weight[k], self.trie.words[k]))] if reached else self._shape(plain)
-            if not reached and found in self.moved:
-                found = self.moved[found]
+            # by what it looks like: composed first, a Cyrillic o with a diaeresis would be no look-alike any more
+            shape = self._shape(token)
+            reached = weighted(self.trie, shape, self._edits, 0, least=0)
+            found = self.trie.words[max(reached, key=lambda k: (self.trie.weight[k], self.trie.words[k]))] if reached else self.moved.get(shape, shape)
             if len(self.memo) > _MEMO:
                 self.memo.clear()
             self.memo[token] = found

@@ -108,3 +108,11 @@ def test_canonical_reads_both_texts_and_keeps_every_row(spark, tables):
     assert len(got) == len(pages) and look(got) == look(pages)
     assert len({r[1:] for r in got if r[1] and r[1].startswith("Ça")}) == 1
     assert {r[2] for r in got if (r[0] or "").startswith("w")} == {"росы"}
+
+
+@pytest.mark.parametrize("a,b", [("\u043e\u0308", "ö"), ("\u0415\u0300", "È"), ("e\u200b\u0301", "é"), ("\ufb01", "fi"), ("\u2163", "IV")])
+def test_tokens_that_look_equal_have_one_form(a, b):
+    spellings = [*{f"x{b.replace('i', 'і').replace('I', 'І')}y": 30, f"х{b}y": 20, f"x{b}y": 9}.items()]
+    for vocabulary in ([], spellings[-1:], spellings[1:2], spellings):
+        canon = A.Canon(vocabulary)
+        assert canon.text(f"x{a}y") == canon.text(f"x{b}y")
