@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +50,48 @@ def _py_table() -> _Folded:
     return _Folded(str.maketrans(*latin_fold_table()))
 
 
+_NO_LETTERS = re.compile(r"[^\w\n]+|[\d_]+")
+#: In the tables of ``fold_text``: a character not met yet, and one that is dropped.
+_UNMET, _GONE = 0x110000, 0x110001
+_PIECE = 1 << 16
+
+
+@lru_cache(1)
+def _text_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point what it folds to, and the same or a blank where that is no letter; filled as code points are met."""
+    return np.full(_UNMET, _UNMET, np.uint32), np.full(_UNMET, ord(" "), np.uint32)
+
+
+def fold_text(text: str) -> tuple[str, str]:
+    """``py_fold`` of a whole text, and the same with blanks in place of all but letters and line ends.
+
+    Characters are looked up in arrays, some ten times faster than by ``translate`` on long texts; on a few words it is slower.
+    """
+    if "Σ" in text:  # the only letter whose lower-case form depends on its neighbours
+        folded = py_fold(text)
+        return folded, _NO_LETTERS.sub(" ", folded)
+    # piece by piece, so that the arrays stay small
+    parts = [_fold_piece(text[k : k + _PIECE]) for k in range(0, len(text), _PIECE)]
+    return "".join(p[0] for p in parts), "".join(p[1] for p in parts)
+
+
+def _fold_piece(text: str) -> tuple[str, str]:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.intp)
+    small, letters = _text_tables()
+    out = small[points]
+    kept = out < _UNMET
+    if not kept.all():
+        if fresh := set(points[out == _UNMET].tolist()):
+            for cp in fresh:
+                low = py_fold(chr(cp))
+                small[cp] = ord(low) if low else _GONE
+                letters[cp] = ord(" ") if _NO_LETTERS.match(low) else small[cp]
+            out = small[points]
+            kept = out < _UNMET
+        points, out = points[kept], out[kept]
+    return out.tobytes().decode("utf-32-le", "surrogatepass"), letters[points].tobytes().decode("utf-32-le", "surrogatepass")
+
+
 #: Inside of a character class for every character that Python's ``str.split`` takes as white space. Said by properties, which
 #: the regular expressions of the JVM test some thirty times faster than a list of ranges.
 SPACES = r"\p{javaWhitespace}\p{Zs}\x85"

@@ -37,32 +37,95 @@ LEAST_WORDS, LEAST_LETTERS = 8, 40
 #: A paragraph speaks for another language than the main one of its document with at least this confidence.
 SURE = 0.6
 _HELD = 300_000
+#: Characters of words and of texts worked on together at most, unless one alone is longer.
+_TOGETHER = 250_000
 _SENTENCE = re.compile(r"[^\W\d_]{3}[,\"'»”’)]*[.?!;؟؛…:]")
-_BREAK = re.compile(r"\n[^\S\n]*\n\s*|\s*\f\s*|\n(?=[^\S\n]{2,}\S)")
+_BREAK = re.compile(r"\n(?:[^\S\n]*\n\s*|(?=[^\S\n]{2,}\S))")
 
 
-def grams(word: str) -> np.ndarray:
-    """Hashed n-grams of one to four characters of a word with its ends marked."""
-    w = f"^{word}$"
-    seen = [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
-    return np.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) % DIMENSIONS for g in seen if g not in "^$"], np.int64)
+def _crc_table() -> np.ndarray:
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = np.where(out & 1, out >> 1 ^ np.uint32(0xEDB88320), out >> 1)
+    return out
+
+
+_CRC = _crc_table()
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of one to four characters of each word with its ends marked, word after word, and where those of each word begin.
+
+    The hash is the CRC-32 of the UTF-8 bytes, worked out for all words together: that of n characters goes on from that of n - 1.
+    """
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    points = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    length = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+    # the bytes of each character, the first of them marked by the number of bytes
+    octets = np.zeros((4, len(points)), np.uint32)
+    for n, mark in ((1, 0), (2, 0xC0), (3, 0xE0), (4, 0xF0)):
+        own = length == n
+        for k in range(n):
+            part = points[own] >> 6 * (n - 1 - k)
+            octets[k, own] = part & 0x3F | 0x80 if k else part | mark
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    room = np.repeat(ends, sizes) - np.arange(len(points))
+    codes = np.zeros((len(points), 4), np.int64)
+    there = room[:, None] > np.arange(4)
+    crc, at = np.full(len(points), 0xFFFFFFFF, np.uint32), np.arange(len(points))
+    for n in range(4):
+        inside = there[at, n]
+        crc, at = crc[inside], at[inside]
+        wide = length[at + n]
+        for k in range(int(wide.max(initial=0))):
+            crc = np.where(wide > k, _CRC[(crc ^ octets[k, at + n]) & 0xFF] ^ crc >> 8, crc)
+        codes[at, n] = (crc ^ np.uint32(0xFFFFFFFF)) % DIMENSIONS
+    there[starts, 0] = there[ends - 1, 0] = False
+    there[starts[sizes == 2], 1] = False
+    per_word = np.add.reduceat(there.sum(1), starts) if len(words) else sizes
+    return codes[there], np.cumsum(per_word) - per_word
+
+
+def bounded(texts: list[str]) -> Iterator[list[str]]:
+    """Neighbouring texts, as many as make up ``_TOGETHER`` characters; a longer one alone."""
+    size, held = 0, []
+    for t in texts:
+        if held and size + len(t) > _TOGETHER:
+            yield held
+            size, held = 0, []
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
 
 
 def bare(token: str) -> str:
     """The letters of a token as they look, lower-case; empty for figures and signs."""
     token = glyphs.seen(token).replace("İ", "i").lower()
+    if token.isalpha():
+        return token
     return "".join(ch for ch in token if ch.isalpha() or ch in "-'’̇")
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
     """Start and end of each piece between blank lines, indented lines and page breaks."""
     out, at = [], 0
-    for m in _BREAK.finditer(text):
-        if m.start() > at:
-            out.append((at, m.start()))
-        at = m.end()
-    if at < len(text):
-        out.append((at, len(text)))
+    pages = text.split("\f")
+    for n, page in enumerate(pages):
+        a, b = at, at + len(page)
+        at = b + 1
+        # blanks beside a page break belong to it
+        if n:
+            a += len(page) - len(page.lstrip())
+        if n < len(pages) - 1:
+            b -= len(page) - len(page.rstrip())
+        for m in _BREAK.finditer(text, a, b):
+            if m.start() > a:
+                out.append((a, m.start()))
+            a = m.end()
+        if a < b:
+            out.append((a, b))
     return out
 
 
@@ -99,15 +162,12 @@ def train_machine(x: np.ndarray, y: np.ndarray, penalty: float = 0.03, rounds: i
 
 def features(texts: list[str]) -> np.ndarray:
     """Mean n-gram counts per word, to unit length scale, one row per paragraph."""
-    memo: dict[str, np.ndarray] = {}
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
+    met = Met(bare)
     for i, t in enumerate(texts):
-        words = [w for w in map(bare, t.split()) if w]
-        for w in words:
-            if w not in memo:
-                memo[w] = grams(w)
+        words = [w for w in map(met.__getitem__, t.split()) if w]
         if words:
-            out[i] = np.bincount(np.concatenate([memo[w] for w in words]), minlength=DIMENSIONS)[:DIMENSIONS] / len(words)
+            out[i] = sum(np.bincount(grams(part)[0], minlength=DIMENSIONS) for part in bounded(words)) / len(words)
     return out
 
 
@@ -173,55 +233,82 @@ def decide(margins: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return best, confidence
 
 
+class Met(dict):
+    """What ``make`` gives for a key, worked out when the key is first met."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        out = self[key] = self.make(key)
+        return out
+
+
 class Scorer:
-    """Scores of words, each worked out once."""
+    """Scores of words, each worked out once: tokens of one word share its row, and new words of many texts are scored together."""
 
     def __init__(self, model: Machines):
         self.model = model
-        self.rows: dict[str, int] = {}
+        self.by_gram = np.ascontiguousarray(model.weights.T)
+        self.rows: dict[str, int] = Met(lambda token: self.words[bare(token)])
+        self.words: dict[str, int] = Met(self._place)
+        self.fresh: list[str] = []
         self.table = np.zeros((1024, MACHINES + 2), np.float32)
 
+    def _place(self, word: str) -> int:
+        self.fresh.append(word)
+        return len(self.words)
+
+    def _score(self) -> None:
+        """Fill in the rows of the words met since the last call, which are the last ones."""
+        at = len(self.words) - len(self.fresh)
+        if len(self.words) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(len(self.table), len(self.fresh)), MACHINES + 2), np.float32)])
+        for words in bounded(self.fresh):
+            rows = self.table[at : at + len(words)]
+            at += len(words)
+            rows[:] = 0
+            held = np.array([len(w) for w in words])
+            if held.any():
+                codes, starts = grams([w for w in words if w])
+                rows[held > 0, :MACHINES] = np.add.reduceat(self.by_gram[codes], starts, axis=0)
+                rows[:, MACHINES], rows[:, MACHINES + 1] = held > 0, held
+        self.fresh = []
+
     def row(self, token: str) -> int:
         """Place of a token's scores in the table."""
-        if token in self.rows:
-            return self.rows[token]
-        at = len(self.rows)
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        word = bare(token)
-        if word:
-            g = grams(word)
-            self.table[at, :MACHINES] = self.model.weights[:, g].sum(1)
-            self.table[at, MACHINES:] = 1, len(word)
-        else:
-            self.table[at] = 0
-        self.rows[token] = at
-        return at
+        out = self.rows[token]
+        self._score()
+        return out
 
-    def text(self, text: str) -> list[tuple[int, int, int, float, int, int, bool]]:
-        """(start, end, index into CODES, confidence, words, letters, whole) of each paragraph; -1 where there is no word."""
-        spans = paragraphs(text)
-        if not spans:
-            return []
+    def columns(self, texts: list[str]) -> list[list | np.ndarray]:
+        """Of each paragraph of the texts: place of its text, place in it, start, end, index into CODES, confidence, words, letters, whole; -1 for CODES where there is no word."""
         if len(self.rows) > _HELD:
             self.rows.clear()
-        ids, sizes, get = [], [], self.rows.get
-        for a, b in spans:
-            tokens = text[a:b].split()
-            sizes.append(len(tokens))
-            for t in tokens:
-                k = get(t)
-                ids.append(self.row(t) if k is None else k)
-        sums = np.concatenate([np.zeros((1, MACHINES + 2)), np.cumsum(self.table[ids], axis=0, dtype=np.float64)])
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        sums = sums[at[1:]] - sums[at[:-1]]
-        words = sums[:, MACHINES]
-        margins = sums[:, :MACHINES] / np.maximum(words, 1)[:, None] + self.model.bias
-        names, sure = decide(margins, self.model.slope)
-        return [
-            (a, b, int(n) if w else -1, float(c), int(w), int(letters), bool(w >= LEAST_WORDS and letters >= LEAST_LETTERS and _SENTENCE.search(text, a, b)))
-            for (a, b), n, c, w, letters in zip(spans, names, sure, words, sums[:, MACHINES + 1])
-        ]
+            self.words.clear()
+        owner, place, start, end, ids, ends, get = [], [], [], [], [], [0], self.rows.__getitem__
+        for n, text in enumerate(texts):
+            for i, (a, b) in enumerate(paragraphs(text)):
+                ids.extend(map(get, text[a:b].split()))
+                ends.append(len(ids))
+                owner.append(n)
+                place.append(i)
+                start.append(a)
+                end.append(b)
+        self._score()
+        sums = np.concatenate([np.zeros((1, MACHINES + 2)), np.cumsum(self.table[np.array(ids, np.int64)], axis=0, dtype=np.float64)])
+        sums = sums[ends[1:]] - sums[ends[:-1]]
+        words, letters = np.rint(sums[:, MACHINES]).astype(int), np.rint(sums[:, MACHINES + 1]).astype(int)
+        names, sure = decide(sums[:, :MACHINES] / np.maximum(words, 1)[:, None] + self.model.bias, self.model.slope)
+        whole = (words >= LEAST_WORDS) & (letters >= LEAST_LETTERS)
+        for k in np.flatnonzero(whole).tolist():
+            whole[k] = _SENTENCE.search(texts[owner[k]], start[k], end[k]) is not None
+        return [owner, place, start, end, np.where(words > 0, names, -1), sure, words, letters, whole]
+
+    def text(self, text: str) -> list[tuple[int, int, int, float, int, int, bool]]:
+        """(start, end, index into CODES, confidence, words, letters, whole) of each paragraph; -1 where there is no word."""
+        return list(zip(*(c if isinstance(c, list) else c.tolist() for c in self.columns([text])[2:])))
 
 
 def labelled_sample(documents: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:
@@ -259,16 +346,19 @@ def segments(documents: DataFrame, model: Machines) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held.value.get()
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.bool_()]
         for b in batches:
-            rows = [
-                (d, i, s[0], s[1], CODES[s[2]] if s[2] >= 0 else None, s[3] if s[2] >= 0 else 0.0, s[4], s[5], s[6])
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                if t
-                for i, s in enumerate(scorer.text(t))
-            ]
-            columns = list(zip(*rows)) if rows else [[]] * 9
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["doc_id", "segment", "start", "end", "language", "confidence", "words", "letters", "whole"])
+            at = 0
+            for texts in bounded([t or "" for t in b.column(1).to_pylist()]):
+                docs = b.column(0).slice(at, len(texts))
+                at += len(texts)
+                owner, place, start, end, code, sure, *rest = scorer.columns(texts)
+                names = [CODES[k] if k >= 0 else None for k in code.tolist()]
+                columns = [place, start, end, names, np.where(code >= 0, sure, 0.0), *rest]
+                yield pa.RecordBatch.from_arrays(
+                    [docs.take(pa.array(owner, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                    names=["doc_id", "segment", "start", "end", "language", "confidence", "words", "letters", "whole"],
+                )
 
     return documents.select("doc_id", "text").mapInArrow(
         run, "doc_id bigint, segment int, start int, `end` int, language string, confidence double, words int, letters int, whole boolean"

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.functions.fold import py_fold
+from pagewright.functions.fold import fold_text, py_fold
 from pagewright.llm.inputs import slug
 from pagewright.sources.tables import settle, table
 
@@ -65,7 +65,6 @@ DEMAND = re.compile(
 MOST_BROADCAST = 200_000
 MARKS = re.compile(r"[{}<>\[\]%@«»]|__")
 WORDS = re.compile(r"[^\W\d_]+")
-_NO_LETTERS = re.compile(r"[^\w\n]+|[\d_]+")
 _DIGIT = re.compile(r"\d")
 #: A line that returns is a response under so many titles at several hosts, or under ONE_HOST times as many at one; it has LEAST_TERMS words.
 MIN_TITLES, ONE_HOST, LEAST_TERMS = 5, 3, 3
@@ -84,13 +83,26 @@ def has_field(line: str) -> bool:
 def is_filler(folded: str) -> bool:
     """Whether a folded line is filler: stock words, a stock phrase, or one short phrase again and again."""
     words = WORDS.findall(folded)
+    known = _stock_words(words)
+    if known is not None:
+        return known
+    if FILLER_PHRASES.search(folded):
+        hit = sum(len(m.group()) for m in FILLER_PHRASES.finditer(folded))
+        return 2 * hit >= len(folded.strip()) or len(set(words)) <= 4
+    return _repeats(words)
+
+
+def _stock_words(words: list[str]) -> bool | None:
+    """Whether the words of a line are filler by its stock words; None where these do not decide."""
     if not words:
         return False
     if 2 * sum(w in FILLER_WORDS for w in words) > len(words) and (len(words) < 3 or len(set(words) & FILLER_WORDS) >= 2):
         return len(words) >= 3 or bool({"lorem", "ipsum", "adipiscing", "consectetur", "eiusmod"} & set(words))
-    if FILLER_PHRASES.search(folded):
-        hit = sum(len(m.group()) for m in FILLER_PHRASES.finditer(folded))
-        return 2 * hit >= len(folded.strip()) or len(set(words)) <= 4
+    return None
+
+
+def _repeats(words: list[str]) -> bool:
+    """Whether the words of a line are one to four words again and again."""
     for unit in range(1, 5):
         if len(words) >= max(4, 2 * unit) and all(w == words[i % unit] for i, w in enumerate(words)):
             return True
@@ -163,14 +175,12 @@ def _screen():
 
 def _held(folded: str) -> list[bool]:
     """For each line of a folded text, whether it holds a literal that a field mark, a phrase, a message or a demand needs."""
-    ends = sorted({end for end, _ in _screen().iter(folded)})
-    out, k, until = [], 0, -1
-    for line in folded.split("\n"):
-        until += len(line) + 1
-        first = k
-        while k < len(ends) and ends[k] < until:
-            k += 1
-        out.append(k > first)
+    out = [False] * (folded.count("\n") + 1)
+    line = at = 0
+    for end, _ in _screen().iter(folded):
+        line += folded.count("\n", at, end)
+        at = end
+        out[line] = True
     return out
 
 
@@ -186,16 +196,18 @@ def judged_lines(text: str) -> Iterator[tuple[str, str, list[str], str | None]]:
     words again and again.
     """
     text = text.replace("\f", "")
-    folded = py_fold(text)
-    for line, small, letters, held in zip(text.split("\n"), folded.split("\n"), _NO_LETTERS.sub(" ", folded).split("\n"), _held(folded)):
-        words = letters.split()
+    folded, letters = fold_text(text)
+    for line, small, own, held in zip(text.split("\n"), folded.split("\n"), letters.split("\n"), _held(folded)):
+        words = own.split()
         if held:
             if line.strip():
                 yield line, small, words, kind_of(line, small)
         elif words:
-            few = set(words)
-            by_words = len(few) <= 4 or len(few & FILLER_WORDS) >= 2
-            yield line, small, words, "filler" if by_words and is_filler(small) else None
+            # without a literal no phrase stands in it
+            if (len(words) < 3 or len(FILLER_WORDS.intersection(words)) >= 2) and (known := _stock_words(words)) is not None:
+                yield line, small, words, "filler" if known else None
+            else:
+                yield line, small, words, "filler" if len(words) >= 4 and len(set(words[:5])) <= 4 and _repeats(words) else None
         elif line.strip():
             yield line, small, words, None
 

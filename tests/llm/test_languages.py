@@ -1,6 +1,8 @@
 """Label spellings, paragraphs, held-out accuracy, mixed documents."""
 
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -71,6 +73,53 @@ def test_paragraphs_cover_the_text():
     assert G.paragraphs("") == []
 
 
+def test_paragraphs_break_where_the_definition_says():
+    definition = re.compile(r"\n[^\S\n]*\n\s*|\s*\f\s*|\n(?=[^\S\n]{2,}\S)")
+    rng = random.Random(7)
+    for _ in range(20_000):
+        t = "".join(rng.choice("ab \n\n\f \t\x0b\xa0\x1c") for _ in range(rng.randint(0, 14)))
+        cuts = [0, *(x for m in definition.finditer(t) for x in m.span()), len(t)]
+        assert G.paragraphs(t) == [(a, b) for a, b in zip(cuts[::2], cuts[1::2]) if a < b], t
+
+
+def test_grams_are_hashed_as_defined():
+    words = ["a", "ağaç", "ʿilm", "كتاب", "𝒳y-z", "", "\ud800k", "uzunbirsözcük"]
+    codes, starts = G.grams(words)
+    for w, got in zip(words, np.split(codes, starts[1:])):
+        m = f"^{w}$"
+        seen = [m[i : i + n] for i in range(len(m)) for n in (1, 2, 3, 4) if i + n <= len(m)]
+        assert got.tolist() == [zlib.crc32(g.encode("utf-8", "surrogatepass")) % G.DIMENSIONS for g in seen if g not in "^$"]
+    assert [len(x) for x in G.grams([])] == [0, 0]
+
+
+def test_a_word_is_scored_once_and_texts_are_decided_together(model, monkeypatch):
+    rng = random.Random(8)
+    texts = ["\n\n".join(paragraph(c, rng) for c in ("tr", "ar", "de")) + tail for tail in ("", "\n\n1234 5678", " Kitap, kitap; (KİTAP) kitap")] + ["", "\f"]
+    alone = [G.Scorer(model).text(t) for t in texts]
+    apart = G.features(texts)
+    scored, decided = [], []
+    grams, decide = G.grams, G.decide
+    monkeypatch.setattr(G, "grams", lambda words: (scored.extend(words), grams(words))[1])
+    monkeypatch.setattr(G, "decide", lambda *a: (decided.append(1), decide(*a))[1])
+    scorer = G.Scorer(model)
+    owner, place, *columns = scorer.columns(texts)
+    rows = list(zip(*columns))
+    for n, want in enumerate(alone):
+        got = [r for o, r in zip(owner, rows) if o == n]
+        assert [(*r[:3], *r[4:]) for r in got] == [(*r[:3], *r[4:]) for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-6)
+    assert -1 in [r[2] for r in rows]
+    assert len(scored) == len(set(scored)) and scored.count("kitap") == 1 and len(decided) == 1
+    # words are scored in bounded parts whatever their number and length
+    monkeypatch.setattr(G, "_TOGETHER", 5)
+    assert np.allclose(G.Scorer(model).columns(texts)[5], columns[3], atol=1e-6) and np.array_equal(G.features(texts), apart)
+    monkeypatch.undo()
+    # what is held is dropped together and scored anew
+    monkeypatch.setattr(G, "grams", lambda words: (scored.extend(words), grams(words))[1])
+    monkeypatch.setattr(G, "_HELD", 0)
+    scored.clear()
+    assert [r[2] for r in zip(*scorer.columns(texts)[2:])] == [r[2] for r in rows] and scored.count("kitap") == 1
+
+
 def test_label_sets(spark):
     labels = ["tr-TR, English", "Osmanlıca (Latin)", "Osmanlıca", "OTA", "bilinmiyor", "", None, "?", "français; ger", "Türkçe,TUR", "en_GB", "ota-Latn"]
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, x string").orderBy("i").select(language_set(F.col("x"))).collect()]

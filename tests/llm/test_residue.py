@@ -4,7 +4,7 @@ import unicodedata
 
 import pytest
 
-from pagewright.functions.fold import py_fold
+from pagewright.functions.fold import fold_text, py_fold
 from pagewright.llm import residue as X
 
 FIELDS = "doc_id long, source string, filename string, display_title string, pdf_title string, work string, text string, n long, kind string"
@@ -47,6 +47,24 @@ def test_length_of_a_text_hides_no_line(line):
     assert [x for x, _, k in X.kinds_of(prose + "\n" + line + "\n\f\n" + prose) if k] == ([line] if kind else [])
 
 
+def test_whole_texts_are_folded_as_words_are():
+    text = "".join(map(chr, range(0x110000)))
+    for part in (text, text.replace("Σ", ""), "", "ΟΔΟΣ Σ’\nİstanbul’da 12_a²", "Gökçe’nin\nİ́ 3. kitabı\n"):
+        folded, letters = fold_text(part)
+        assert folded == py_fold(part)
+        assert [x.split() for x in letters.split("\n")] == [X.WORDS.findall(x) for x in folded.split("\n")]
+
+
+def test_no_line_is_folded_or_matched_for_its_letters_alone(monkeypatch):
+    seen = []
+    is_filler = X.is_filler
+    monkeypatch.setattr(X, "is_filler", lambda folded: (seen.append(folded), is_filler(folded))[1])
+    lines = ["Kapı", "deniz ve gemi", "lorem", "sed non qui", "dolor", "sed kapı non deniz", "alt üst alt üst", "a b c d e a b c d e", "ve ve ve ve", "est et", "metin gelecek", "Sayfa bulunamadı", "1234", " ", "bir iki üç dört beş altı"]
+    assert [(x, k) for x, _, _, k in X.judged_lines("\n".join(lines))] == [(x, X.kind_of(x, py_fold(x))) for x in lines if x.strip()]
+    # the lines without a literal are judged by the words at hand, the others once here and once by the line above
+    assert seen.count("deniz ve gemi") == 1 and seen.count(py_fold("Sayfa bulunamadı")) == 2
+
+
 def test_literals_cover_every_alternative():
     assert X.needed("(ab|cde)f?|g+hi") == {"ab", "cde", "hi"} and X.needed(r"\bx+ (no|yes)\w*") == {"no", "yes"}
     with pytest.raises(ValueError):
